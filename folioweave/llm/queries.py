@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import packing, token_counts
+from . import packing, quality_rules, token_counts
 
 QUERIES = {
+    "op2_quality_rules": quality_rules.query,
     "op4_token_counts": token_counts.query,
     "op10_best_fit_packing": packing.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_quality_rules": quality_rules.ORACLE,
+}
