@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import packing, quality_rules, token_counts
+from . import chat_format, packing, quality_rules, token_counts
 
 QUERIES = {
     "op2_quality_rules": quality_rules.query,
     "op4_token_counts": token_counts.query,
+    "op6_chat_format": chat_format.query,
     "op10_best_fit_packing": packing.query,
 }
 
