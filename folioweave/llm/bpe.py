@@ -31,26 +31,33 @@ BYTE_LETTERS = _byte_letters()
 
 
 @functools.lru_cache(None)
-def unsafe() -> regex.Pattern:
-    """Finds a character whose letter, number or space class is not the same in every Unicode version since 3.2."""
+def safe() -> frozenset[str]:
+    """Characters whose letter, number or space class is the same in every Unicode version since 3.2."""
 
     def kind(category: str) -> str:
         return category[0] if category[0] in "LN" else "Z"
 
-    bad = []
+    found = []
     for c in range(0x10000):
         x = chr(c)
-        old, new = unicodedata.ucd_3_2_0.category(x), unicodedata.category(x)
-        if old == "Cn" or kind(old) != kind(new) or 0x1C <= c <= 0x1F or c in (0x85, 0x180E, 0x200B, 0xFEFF) or 0xD800 <= c < 0xE000:
-            bad.append(c)
-    spans: list[list[int]] = []
-    for c in bad:
-        if spans and spans[-1][1] == c - 1:
-            spans[-1][1] = c
-        else:
-            spans.append([c, c])
-    inside = "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in spans)
-    return regex.compile(f"[{inside}\\U00010000-\\U0010ffff]")
+        old = unicodedata.ucd_3_2_0.category(x)
+        if old not in ("Cn", "Cs") and kind(old) == kind(unicodedata.category(x)) and not 0x1C <= c <= 0x1F and c not in (0x85, 0x180E, 0x200B, 0xFEFF):
+            found.append(x)
+    return frozenset(found)
+
+
+@functools.lru_cache(None)
+def unsafe_bytes() -> tuple[bytes, ...]:
+    """Those of the first 256 characters that are not safe."""
+    return tuple(bytes([c]) for c in range(256) if chr(c) not in safe())
+
+
+def is_safe(text: str) -> bool:
+    try:
+        narrow = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return safe().issuperset(text)
+    return not any(b in narrow for b in unsafe_bytes())
 
 
 class Encoder:
@@ -64,7 +71,7 @@ class Encoder:
         self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
 
     def plain(self, text: str) -> bool:
-        return not any(t in text for t in self.added) and unsafe().search(text) is None
+        return not any(t in text for t in self.added) and is_safe(text)
 
     def merged(self, piece: str) -> list:
         return self.model.tokenize(piece.encode().decode("latin-1").translate(BYTE_LETTERS))
