@@ -67,6 +67,15 @@ def crc_mod(doc_id: Column, mod: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(mod)
 
 
+def held(df: DataFrame, **cols: Column) -> DataFrame:
+    """``df`` with further columns, each worked out once a row.
+
+    A generator of one row stands between: without it the optimizer may put a column's expression
+    into the lambda function that reads it, where it runs anew for every element.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in cols.items()]))))
+
+
 #: The words of a text: runs without space, tab, LF, VT, FF or CR.
 WORD_SPLIT = "[\\x20\\x09-\\x0D]+"
 
