@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, packing, quality_gam, quality_rules, secret_scan, token_counts, toxicity
+from . import chat_format, decontaminate, near_dedup, packing, quality_gam, quality_rules, secret_scan, token_counts, toxicity
 
 QUERIES = {
     "op2_quality_rules": quality_rules.query,
     "op4_token_counts": token_counts.query,
+    "op3_near_dedup": near_dedup.query,
     "op5_decontamination": decontaminate.query,
     "op6_chat_format": chat_format.query,
     "op7_secret_scan": secret_scan.query,
