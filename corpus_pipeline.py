@@ -1,27 +1,58 @@
-"""A corpus pipeline of operators: STAGES, each of whose functions takes (spark, docs, sf_dir)."""
+"""A corpus pipeline of operators: STAGES, each of whose functions takes (spark, docs, sf_dir).
+
+Each stage works on all that its predecessor kept; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioweave.llm import packing
+from folioweave.llm import decontaminate, near_dedup, packing, quality_rules, secret_scan
 from folioweave.llm.common import cut, table
 
 
-def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes boilerplate lines out; documents that fail the base rules or are depleted go."""
+    return quality_rules.clean(docs)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates stays."""
+    return near_dedup.one_of_each(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a passage of the benchmark go."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark; every document stays."""
+    return secret_scan.redact(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents with their places in sequences of 2048 tokens."""
     return packing.pack(docs)
 
 
-STAGES = [("best-fit packing", best_fit_packing)]
+STAGES = [
+    ("quality rules", keep_by_rules),
+    ("near-duplicates", drop_copies),
+    ("benchmark decontamination", drop_leaks),
+    ("secret scan", redact_secrets),
+    ("best-fit packing", pack_sequences),
+]
 
+#: SQL can't express fingerprints, tokens and bins; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what each keeps is written and read again by the next."""
+    """All stages over documents; what each keeps is written as Parquet and read again by the next."""
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = cut(docs, f"stage-{k}")
+            docs = cut(docs, f"stage-{k}-{name.replace(' ', '-')}")
     return docs

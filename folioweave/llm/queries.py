@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, near_dedup, packing, quality_gam, quality_rules, secret_scan, token_counts, toxicity
+from . import chat_format, decontaminate, lm_score, near_dedup, packing, quality_gam, quality_rules, secret_scan, token_counts, toxicity
 
 QUERIES = {
+    "op1_lm_score": lm_score.query,
     "op2_quality_rules": quality_rules.query,
     "op4_token_counts": token_counts.query,
     "op3_near_dedup": near_dedup.query,
