@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, held, table
 
 SHINGLE, SIMILARITY = 5, 0.8
 BLOCKS, RADIUS = 16, 31
@@ -26,21 +26,21 @@ LONGS = "array<bigint>"
 
 def plain_words(text: Column) -> Column:
     """Runs of letters and digits in lower case."""
-    found = F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "^[^\\p{L}\\p{N}]+", ""), "[^\\p{L}\\p{N}]+")
-    return F.when(F.element_at(found, -1) == "", F.slice(found, F.lit(1), F.size(found) - 1)).otherwise(found)
+    return F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}\\p{N}]+", " "), " ", -1), lambda w: w != "")
 
 
 def _with_shingles(df: DataFrame) -> DataFrame:
-    """Adds n (words) and s (a hash of each run of five words, in order; empty for shorter texts)."""
+    """Adds n (words) and s (a hash of each run of five words, in order; empty for shorter texts) in place of text."""
     none = F.array().cast(LONGS)
-    df = df.withColumn("h", F.transform(plain_words(F.col("text")), lambda w: F.xxhash64(w)))
 
     def pair(a: str, b: str, shift: int) -> Column:
         n = F.size(b) - shift
         return F.when(n > 0, F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(shift + 1), n), lambda x, y: F.xxhash64(x, y))).otherwise(none)
 
-    df = df.withColumn("h2", pair("h", "h", 1)).withColumn("h4", pair("h2", "h2", 2)).withColumn("s", pair("h4", "h", 4))
-    return df.withColumn("n", F.size("h")).drop("h", "h2", "h4")
+    df = held(df, h=F.transform(plain_words(F.col("text")), lambda w: F.xxhash64(w))).drop("text")
+    df = held(df, n=F.size("h"), h2=pair("h", "h", 1))
+    df = held(df, h4=pair("h2", "h2", 2)).drop("h2")
+    return held(df, s=pair("h4", "h", 4)).drop("h", "h4")
 
 
 def fingerprint(shingles: Column) -> tuple[Column, Column]:
@@ -66,7 +66,7 @@ def _block(b: int) -> Column:
 def _items(benchmark: DataFrame) -> DataFrame:
     """item_id, n, s of items with a shingle; equal texts under one id are one item."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL").dropDuplicates()
-    return _with_shingles(items).where(F.size("s") > 0).withColumn("item", F.xxhash64("item_id", "text")).drop("text")
+    return _with_shingles(items.withColumn("item", F.xxhash64("item_id", "text"))).where(F.size("s") > 0)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -91,10 +91,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
     first = F.greatest(F.lit(0), F.least(F.col("at") - F.col("offset"), F.col("n") - F.col("length")))
     windows = cut(met.select("doc_id", "key", first.alias("start"), "length").distinct(), "windows")
 
-    held = windows.select("doc_id", "key").distinct()
-    held = held.select(F.col("doc_id").alias("d"), F.col("key").alias("k"))
-    again = source.join(F.broadcast(held) if held.count() <= SENT_KEYS else held, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left_semi").dropDuplicates(["doc_id", "key"])
-    again = _with_shingles(again).drop("text").select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "s")
+    hit = windows.select("doc_id", "key").distinct()
+    hit = hit.select(F.col("doc_id").alias("d"), F.col("key").alias("k"))
+    again = source.join(F.broadcast(hit) if hit.count() <= SENT_KEYS else hit, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left_semi").dropDuplicates(["doc_id", "key"])
+    again = _with_shingles(again).select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "s")
     window = windows.join(again, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")))
     window = window.select("doc_id", "key", "start", "length", F.array_distinct(F.slice("s", F.col("start") + 1, F.greatest(F.lit(1), F.col("length") - SHINGLE + 1))).alias("s"))
     f1, f2 = fingerprint(F.col("s"))
