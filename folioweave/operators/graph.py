@@ -37,6 +37,13 @@ def topic_edges(chunks: DataFrame, catalog: dict[str, list[str]]) -> DataFrame:
     return extract.topics(chunks, catalog).select(F.col("id").alias("src"), F.lit("HAS_TOPIC").alias("rel"), T.topic_id(F.col("topic")).alias("dst")).distinct()
 
 
+def reference_edges(hrefs: DataFrame, known: DataFrame) -> DataFrame:
+    """(src, dst, rel, href) of rows (page_id, hrefs) to the first page of the path that each link names: one equality join."""
+    each = hrefs.select(F.col("page_id").alias("src"), F.explode(F.array_distinct("hrefs")).alias("href"))
+    first = known.groupBy(F.col("path").alias("href")).agg(F.min("page_id").alias("dst"))
+    return each.join(first, "href").select("src", "dst", F.lit("REFERENCES").alias("rel"), "href")
+
+
 def build(corpus: DataFrame, catalog: dict[str, list[str]] | None = None) -> tuple[DataFrame, DataFrame]:
     """nodes (id, kind, file_path, idx, text) and edges (src, rel, dst) of a corpus of (file_path, text)."""
     chunks = chunk_nodes(corpus)

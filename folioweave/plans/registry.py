@@ -398,15 +398,13 @@ def link_extract(spark, d):
     return corpus.table(spark, d, "pages").select("page_id", F.size(found).alias("n_links"), F.array_join(found, " ").alias("targets"))
 
 
-@query("""WITH p AS (SELECT page_id, url, unnest(list_distinct(regexp_extract_all(html, 'href="([^"]*)"', 1))) AS href FROM pages) SELECT p.page_id AS src, min(q.page_id) AS dst, 'REFERENCES' AS rel, href FROM p JOIN pages q ON q.url = p.href OR ends_with(q.url, p.href) AND starts_with(p.href, '/') WHERE length(href) > 1 GROUP BY p.page_id, href""")
+@query(r"""WITH k AS (SELECT page_id, '/' || regexp_extract(html, '<h1[^>]*>([^ <]+)', 1) AS path FROM pages), p AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages)
+SELECT p.page_id AS src, min(k.page_id) AS dst, 'REFERENCES' AS rel, href FROM p JOIN k ON k.path = p.href GROUP BY p.page_id, href""")
 def references_resolve(spark, d):
     pages = corpus.table(spark, d, "pages")
-    each = pages.select(F.col("page_id").alias("src"), F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)))).alias("href")).where(F.length("href") > 1)
-    # an equality join on every ending of an address that begins with a slash, instead of comparing all pairs
-    slashes = F.filter(F.sequence(F.lit(1), F.length("url")), lambda i: F.substring("url", i, F.lit(1)) == "/")
-    ends = F.array_union(F.array("url"), F.transform(slashes, lambda i: F.substring("url", i, F.length("url"))))
-    known = pages.select(F.col("page_id").alias("dst"), F.explode(ends).alias("href"))
-    return each.join(known, "href").groupBy("src", "href").agg(F.min("dst").alias("dst")).select("src", "dst", F.lit("REFERENCES").alias("rel"), "href")
+    known = pages.select("page_id", F.concat(F.lit("/"), F.regexp_extract("html", "<h1[^>]*>([^ <]+)", 1)).alias("path"))
+    hrefs = pages.select("page_id", F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)).alias("hrefs"))
+    return graph.reference_edges(hrefs, known)
 
 
 SHOTS = "shots AS (SELECT 'k' || event_id AS key, ts, event_type AS branch, (event_id % 7 // 2 + 1)::BIGINT AS total_nodes, (event_id % 5 // 2)::BIGINT AS total_edges, round((event_id % 3) / 4.0::DOUBLE, 2)::DOUBLE AS coverage FROM events WHERE event_id < 300)"
