@@ -31,8 +31,7 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def folder(spark: SparkSession, root: str, extensions: tuple[str, ...] = ("md", "txt", "rst"), exclude: tuple[str, ...] = ()) -> DataFrame:
     """Text files below a folder; skipped are hidden files and folders, build folders and ``exclude``, at any depth."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = F.lit(root.removeprefix("file://").rstrip("/") + "/")
-    rel = F.substring_index(F.col("path"), base, -1)
+    rel = F.substring_index(F.col("path"), root.removeprefix("file://").rstrip("/") + "/", -1)
     parts = F.split(rel, "/")
     hidden = F.exists(parts, lambda p: p.startswith(".")) | F.arrays_overlap(parts, F.array(*map(F.lit, (*SKIPPED_FOLDERS, *(x.rstrip("/") for x in exclude)))))
     wanted = F.lower(F.substring_index(rel, ".", -1)).isin([x.lower() for x in extensions])
