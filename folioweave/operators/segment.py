@@ -26,6 +26,38 @@ def sentence_groups(corpus: DataFrame, size: int = 4, least: int = 50) -> DataFr
     return cut.select("file_path", F.posexplode(kept).alias("idx", "text"))
 
 
+def fixed_size_groups(corpus: DataFrame, size: int = 512, overlap: int = 64, least: int = 50) -> DataFrame:
+    """(file_path, idx, text): sentences gathered up to ``size`` characters; the last ones, up to ``overlap``, begin the next group.
+
+    A sentence longer than ``size`` is a group of its own.  The fold runs within a row, so no row moves.
+    """
+    cut = corpus.select("file_path", sentences(F.col("text")).alias("s")).where(F.size("s") > 0)
+    strings = "array<string>"
+    none = F.array().cast(strings)
+    start = F.struct(F.array().cast("array<array<string>>").alias("done"), none.alias("open"), F.lit(0).alias("n"))
+
+    def tail(group: Column) -> Column:
+        """The longest run of last sentences whose lengths sum to ``overlap`` at most."""
+        kept = F.aggregate(
+            F.reverse(group), F.struct(none.alias("t"), F.lit(0).alias("n"), F.lit(True).alias("more")),
+            lambda a, x: F.when(a["more"] & (a["n"] + F.length(x) <= overlap), F.struct(F.concat(F.array(x), a["t"]).alias("t"), (a["n"] + F.length(x)).alias("n"), F.lit(True).alias("more"))).otherwise(
+                F.struct(a["t"].alias("t"), a["n"].alias("n"), F.lit(False).alias("more"))
+            ),
+        )
+        return F.struct(kept["t"].alias("t"), kept["n"].alias("n"))
+
+    def step(a: Column, x: Column) -> Column:
+        full = (F.size(a["open"]) > 0) & (a["n"] + F.length(x) > size)
+        carried = tail(a["open"])
+        return F.when(full, F.struct(F.concat(a["done"], F.array(a["open"])).alias("done"), F.concat(carried["t"], F.array(x)).alias("open"), (carried["n"] + F.length(x)).alias("n"))).otherwise(
+            F.struct(a["done"].alias("done"), F.concat(a["open"], F.array(x)).alias("open"), (a["n"] + F.length(x)).alias("n"))
+        )
+
+    groups = F.aggregate("s", start, step, lambda a: F.concat(a["done"], F.array(a["open"])))
+    texts = F.filter(F.transform(groups, lambda g: F.array_join(g, " ")), lambda t: F.length(t) >= least)
+    return cut.select("file_path", F.posexplode(texts).alias("idx", "text"))
+
+
 def heading_sections(corpus: DataFrame) -> DataFrame:
     """(file_path, part, level, title, body): text before the first heading has no title; blank untitled parts are dropped."""
     lines = corpus.select("file_path", F.posexplode(F.split("text", "\n")).alias("at", "line"))

@@ -11,6 +11,24 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with the value worked out once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def unit(vector: Column) -> Column:
+    """The vector at length 1; a zero vector stays as it is."""
+    length = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+    return bound(vector, lambda v: bound(length(v), lambda n: F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v)))
+
+
+def hashed_embedding(tokens: Column, dims: int = 64) -> Column:
+    """A stand-in for a model: each token adds 1 or -1 at the place that its hash names; then length 1."""
+    places = F.transform(tokens, lambda t: F.struct(F.pmod(F.xxhash64(t), F.lit(dims)).cast("int").alias("at"), F.when(F.pmod(F.hash(t), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("by")))
+    sums = lambda p: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda k: F.aggregate(F.filter(p, lambda x: x["at"] == k), F.lit(0.0), lambda a, x: a + x["by"]))
+    return unit(bound(places, sums))
+
+
 def nearest(vectors: DataFrame, query: list[float], k: int = 10, where: Column | None = None) -> DataFrame:
     """(id, distance, rank) of the k nearest by cosine; ``where`` filters before the ranking."""
     if isinstance(k, bool) or not 1 <= k <= 100:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import analyze, extract, graph, lexical, retrieve, segment, snapshots, vector
+from ..operators import analyze, cluster, extract, graph, lexical, retrieve, segment, snapshots, vector
 from ..sources import corpus
 
 #: A small catalog for the tables of invented prose: function words of its languages.
@@ -445,3 +445,33 @@ def prune_vectors(spark, d):
 @query("SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
 def only_missing(spark, d):
     return docs_of(spark, d).select(F.col("doc_id").alias("id")).join(vectors_of(spark, d).select("id"), "id", "left_anti")
+
+
+FIXED = f"""WITH RECURSIVE {SENTS}, e AS (SELECT file_path, len(s) AS n, s FROM sents WHERE len(s) > 0),
+f AS (SELECT file_path, n, s, 1 AS i, [s[1]] AS open, length(s[1])::BIGINT AS size, NULL::VARCHAR[] AS closed FROM e
+  UNION ALL SELECT file_path, n, s, i + 1,
+    CASE WHEN i >= n THEN NULL WHEN size + length(s[i + 1]) > 400 THEN [s[i + 1]] ELSE list_append(open, s[i + 1]) END,
+    CASE WHEN i >= n THEN 0 WHEN size + length(s[i + 1]) > 400 THEN length(s[i + 1]) ELSE size + length(s[i + 1]) END,
+    CASE WHEN i >= n OR size + length(s[i + 1]) > 400 THEN open END FROM f WHERE i <= n),
+g AS (SELECT file_path, i, array_to_string(closed, ' ') AS text FROM f WHERE closed IS NOT NULL)
+SELECT file_path, (row_number() OVER (PARTITION BY file_path ORDER BY i) - 1)::INTEGER AS idx, text FROM g WHERE length(text) >= 50"""
+
+
+@query(FIXED)
+def fixed_size_groups(spark, d):
+    return segment.fixed_size_groups(docs_of(spark, d), 400, 0)
+
+
+@query()
+def cluster_vectors(spark, d):
+    return cluster.k_means(vectors_of(spark, d).select("id", "vector"), 10)
+
+
+@query()
+def manifold_spectrum(spark, d):
+    return cluster.spectrum(vectors_of(spark, d))
+
+
+@query()
+def diverse_sample(spark, d):
+    return cluster.diverse_sample(vectors_of(spark, d).select("id", "vector"), 20)

@@ -6,8 +6,9 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from folioweave.engine import DocumentGraph
 from folioweave.functions import text as T
-from folioweave.operators import analyze, extract, graph, lexical, retrieve, segment, snapshots, vector
+from folioweave.operators import analyze, cluster, extract, graph, lexical, retrieve, segment, snapshots, vector
 from folioweave.plans import registry
 from folioweave.sources import corpus
 from folioweave.streaming import ingest
@@ -62,6 +63,39 @@ def test_sentences_and_groups(spark):
     assert [g.idx for g in groups] == [0, 1, 2] and " ".join(g.text for g in groups) == many
 
 
+def test_fixed_size_groups(spark):
+    text = "Aaaa bbb. Cccc ddd. Eeee fff. " + "G" * 60 + ". Hhhh."
+    got = segment.fixed_size_groups(files(spark, [("a", text), ("b", "")]), 20, 10, 1).orderBy("idx").collect()
+    assert [r.text for r in got] == ["Aaaa bbb. Cccc ddd.", "Cccc ddd. Eeee fff.", "Eeee fff. " + "G" * 60 + ".", "Hhhh."]
+
+
+def test_clusters(spark):
+    rows = [(k, [1.0 + k * 0.001, 0.0, 0.0] if k % 2 else [0.0, 1.0, 0.001 * k]) for k in range(20)]
+    v = spark.createDataFrame(rows, "id long, vector array<double>")
+    got = {r.id: r.cluster for r in cluster.k_means(v, 2).collect()}
+    assert len(set(got[k] for k in range(0, 20, 2))) == 1 and got[0] != got[1]
+    assert cluster.diverse_sample(v, 6, 2).count() == 6 and cluster.diverse_sample(v, 50).count() == 20
+    assert cluster.k_means(v.limit(0), 4).collect() == []
+    row = cluster.spectrum(v).first()
+    assert row.dims == 3 and 1 <= row.dims_90 <= row.dims_95 <= row.dims_99 <= 3 and 0 < row.participation <= 3
+
+
+def test_document_graph(spark, tmp_path):
+    corpus_df = files(spark, [("a.txt", "The red fox jumps over the logs near the river bank. It rests there for a long while."), ("b.txt", "Nothing about animals is written here, only numbers and tables of them. So it goes on.")])
+    g = DocumentGraph(corpus_df)
+    g.write(str(tmp_path / "g"))
+    g = DocumentGraph.read(spark, str(tmp_path / "g"))
+    assert g.query("red fox", 1).first().id == "chunk:a.txt:0000"
+    assert g.pack("red fox", 1).first().excerpt.startswith("The red fox")
+    assert g.node("doc:a.txt").count() == 1 and g.neighbours("doc:a.txt").count() == 1
+    assert {(r.part, r.name): r.n for r in g.stats().collect()}[("nodes", "chunk")] == 2
+    for bad in ("", "  "):
+        with pytest.raises(ValueError):
+            g.seeds(bad)
+    with pytest.raises(ValueError):
+        g.seeds("x", 0)
+
+
 def test_headings_repeat(spark):
     md = "intro\n# Title\nx\n## A\none\n## B\ntwo\n## A\nthree\n## A\nfour"
     got = segment.sections(files(spark, [("f.md", md)])).orderBy("part").collect()
