@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_SPLIT, cut, table
+from .common import WORD_SPLIT, cut, held, table
 
 #: A line is boilerplate in a host where it stands in more distinct documents than both of these.
 LINE_DOCS, LINE_SHARE = 100, 0.01
@@ -138,10 +138,10 @@ def quality_rules(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float
     df = df.withColumn("left_text", _left_text(F.col("text"), F.col("removed")))
     df = df.withColumn("n_left_words", F.when(F.size("removed") == 0, F.col("n_words")).otherwise(F.size(_words(F.col("left_text"))).cast("long")))
     depleted = (F.size("removed") > 0) & ((F.col("n_left_words") < LEFT_WORDS) | (F.col("n_left_words") < LEFT_SHARE * F.col("n_words")))
+    df = held(df, kept=~F.col("base_failed") & ~depleted)  # a filter on it stays above the measures
     return df.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_left_words", "left_text",
-        (~F.col("base_failed") & ~depleted).alias("kept"), *(["row"] if carry else []),
-    )
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_left_words", "left_text", "kept", *(["row"] if carry else [])
+    )
 
 
 def clean(docs: DataFrame) -> DataFrame:
