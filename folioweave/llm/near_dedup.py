@@ -7,7 +7,8 @@ prefixes are followed down, and the number of tries is what the base depth needs
 recall at the similarity asked for.  In a crowded prefix every node also meets the hub, the node
 nearest to the majority of bits, so that links grow with the members and not with their square.
 The first tries link nodes to their nearest; the others look only for links between the components
-found so far.  Links are verified by the exact similarity of the shingle sets.
+found so far, first to the nearest two and then, of the nodes with any partner, to more and more of them,
+until a pass has no pair left or adds less than what the target recall allows to be missed.  Links are verified by the exact similarity of the shingle sets.
 """
 
 from __future__ import annotations
@@ -25,11 +26,13 @@ from .common import cut, table, worker_path
 from .components import components
 
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.998
-BITS, RADIUS = 128, 35
+BITS, RADIUS = 128, 31
 #: Unrelated nodes that a prefix of the base depth holds on average; nodes that are compared with each other at most; nodes of a prefix that one task takes.
 CROWD, COMPARED, TASK_NODES = 64, 256, 4096
 #: Tries of the first pass, and shares of nodes (one of so many) from which crowded prefixes are told.
 FIRST_TRIES, CROWD_SAMPLE = 6, 16
+#: Nearest partners of a node in a prefix that are verified in the first pass, in the second, and in the later ones, until the target recall is met.
+NEAREST = (1, 2, 4, 8, 16, 32, 64, 128, 256)
 #: Rows to take out that are broadcast at most.
 SENT_ROWS = 1_000_000
 WORD_CACHE = 800_000
@@ -127,18 +130,16 @@ def _deepened(keys: np.ndarray, group: np.ndarray, depth: int) -> np.ndarray:
     return group
 
 
-def _nearest(a: np.ndarray, b: np.ndarray, d: np.ndarray, per: np.ndarray | None) -> np.ndarray:
-    """Positions of the nearest pair of each ``a``, or of each ``a`` and component ``per`` of the partner."""
-    order = np.lexsort((b, d, a) if per is None else (b, d, per, a))
+def _nearest(a: np.ndarray, b: np.ndarray, d: np.ndarray, few: int) -> np.ndarray:
+    """Positions of the ``few`` nearest pairs of each ``a``."""
+    order = np.lexsort((b, d, a))
     first = np.ones(len(order), bool)
-    first[1:] = a[order][1:] != a[order][:-1]
-    if per is not None:
-        first[1:] |= per[order][1:] != per[order][:-1]
+    first[few:] = a[order][few:] != a[order][:-few]
     return order[first]
 
 
-def bucket_links(ids: np.ndarray, comp: np.ndarray, f0: np.ndarray, f1: np.ndarray, keys: np.ndarray, group: np.ndarray, depth: int, across: bool) -> np.ndarray:
-    """Pairs of ids to verify, of rows in key order with their group (prefix) numbers."""
+def bucket_links(ids: np.ndarray, comp: np.ndarray, f0: np.ndarray, f1: np.ndarray, keys: np.ndarray, group: np.ndarray, depth: int, few: int, across: bool) -> np.ndarray:
+    """Pairs of ids to verify, of rows in key order with their group (prefix) numbers: the ``few`` nearest of each, ``across`` components only."""
     apart = lambda i, j: np.bitwise_count((f0[i] ^ f0[j]).view(np.uint64)).astype(np.int32) + np.bitwise_count((f1[i] ^ f1[j]).view(np.uint64))
     left, right = [], []
     sizes = np.bincount(group)
@@ -167,13 +168,13 @@ def bucket_links(ids: np.ndarray, comp: np.ndarray, f0: np.ndarray, f1: np.ndarr
         keep = comp[i] != comp[j]
         i, j = i[keep], j[keep]
     both_i, both_j = np.concatenate([i, j]), np.concatenate([j, i])
-    at = _nearest(both_i, both_j, apart(both_i, both_j), comp[both_j] if across else None)
+    at = _nearest(both_i, both_j, apart(both_i, both_j), few)
     a, b = ids[both_i[at]], ids[both_j[at]]
     pairs = np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)
     return np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
 
 
-def _candidates(nodes: DataFrame, tries: range, depth: int, across: bool) -> DataFrame:
+def _candidates(nodes: DataFrame, tries: range, depth: int, few: int, across: bool) -> DataFrame:
     """Distinct pairs (a, b) of ``nodes`` (id, f0, f1, c) that meet in one of the tries."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +208,7 @@ def _candidates(nodes: DataFrame, tries: range, depth: int, across: bool) -> Dat
             p = key >> (64 - d.astype(np.int64))
             new = np.ones(len(ids), bool)
             new[1:] = (trie[1:] != trie[:-1]) | (p[1:] != p[:-1]) | (d[1:] != d[:-1])
-            pairs = bucket_links(ids, c, f0, f1, key, np.cumsum(new) - 1, depth, across)
+            pairs = bucket_links(ids, c, f0, f1, key, np.cumsum(new) - 1, depth, few, across)
             return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["a", "b"])
 
         for batch in batches:
@@ -255,6 +256,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return both.select("a", "b", "x", "y").mapInArrow(exact, "a long, b long")
 
 
+def _settled(found: DataFrame) -> int:
+    """How many nodes have gone into the component of another."""
+    row = found.agg(F.count("*").alias("n"), F.sum(F.when(F.col("id") == F.col("c"), 1).otherwise(0)).alias("heads")).first()
+    return row.n - (row.heads or 0)
+
+
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row per input row: doc_id, th (a hash of the text), class_id (the least doc_id of its class), n_class (rows of the class), kept.
 
@@ -270,12 +277,29 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     nodes = cut(rows.groupBy("id").agg(F.first("f0").alias("f0"), F.first("f1").alias("f1")).withColumn("c", F.col("id")), "nodes")
     sets = rows.select("id", "shingles")
     depth, tries = plan(nodes.count(), similarity)
-    links = cut(_verified(cut(_candidates(nodes, range(FIRST_TRIES), depth, False), "pairs"), sets, similarity), "links")
+    # each pass: the tries, of the nodes that matter still, linking components as known so far
+    pairs = cut(_candidates(nodes, range(FIRST_TRIES), depth, NEAREST[0], False), "pairs")
+    links = cut(_verified(pairs, sets, similarity), "links")
     found = components(links)
-    named = cut(nodes.drop("c").join(found, "id", "left").withColumn("c", F.coalesce("c", "id")), "nodes")
-    more = cut(_verified(cut(_candidates(named, range(FIRST_TRIES, tries), depth, True), "pairs"), sets, similarity), "links")
-    if not more.isEmpty():
-        found = components(links.union(more))
+    settled = _settled(found)
+    for few in NEAREST[1:]:
+        named = nodes.drop("c").join(found, "id", "left").withColumn("c", F.coalesce("c", "id"))
+        later = few > NEAREST[1]
+        if later:  # nodes that met none within the radius in any trie meet none now
+            ends = cut(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "ends")
+            named = named.join(ends, "id", "left_semi")
+        met = _candidates(cut(named, "nodes"), range(0 if later else FIRST_TRIES, tries), depth, few, True)
+        fresh = cut(met.join(pairs, ["a", "b"], "left_anti"), "pairs")
+        if later and fresh.isEmpty():
+            break
+        new = cut(_verified(fresh, sets, similarity), "links")
+        if not new.isEmpty():
+            links = links.union(new)
+            found = components(links)
+        before, settled = settled, _settled(found)
+        if later and settled - before <= (1 - RECALL) * settled:
+            break
+        pairs = pairs.union(fresh)
     of_row = rows.select("doc_id", "th", "id").join(found, "id", "left").select("doc_id", "th", F.coalesce("c", "id").alias("c"))
     of_row = cut(of_row, "row-classes")
     heads = of_row.groupBy("c").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "th"))).alias("head"), F.min("th").alias("least_th"), F.count("*").alias("n_class")).where("n_class > 1")
