@@ -6,9 +6,11 @@ is depends on the density: the base depth leaves some tens of unrelated nodes to
 prefixes are followed down, and the number of tries is what the base depth needs for the target
 recall at the similarity asked for.  In a crowded prefix every node also meets the hub, the node
 nearest to the majority of bits, so that links grow with the members and not with their square.
-The first tries link nodes to their nearest; the others look only for links between the components
-found so far, first to the nearest two and then, of the nodes with any partner, to more and more of them,
-until a pass has no pair left or adds less than what the target recall allows to be missed.  Links are verified by the exact similarity of the shingle sets.
+The first tries link nodes to their nearest, the others to their nearest two in other components.  The
+last pass goes over all tries again, of the nodes with any partner, and verifies every pair between
+different components that is left, so that none of those that met stays unverified.  Pairs that
+sizes and parities of the sets rule out for certain aren't verified.  Links are verified by the exact
+similarity of the shingle sets.
 """
 
 from __future__ import annotations
@@ -26,13 +28,15 @@ from .common import cut, table, worker_path
 from .components import components
 
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.998
-BITS, RADIUS = 128, 31
+BITS, RADIUS = 128, 35
+#: Bits of a set's parities: the bits in which two sets differ are at most as many as the shingles that only one has.
+PARITY = 256
 #: Unrelated nodes that a prefix of the base depth holds on average; nodes that are compared with each other at most; nodes of a prefix that one task takes.
 CROWD, COMPARED, TASK_NODES = 64, 256, 4096
 #: Tries of the first pass, and shares of nodes (one of so many) from which crowded prefixes are told.
 FIRST_TRIES, CROWD_SAMPLE = 6, 16
-#: Nearest partners of a node in a prefix that are verified in the first pass, in the second, and in the later ones, until the target recall is met.
-NEAREST = (1, 2, 4, 8, 16, 32, 64, 128, 256)
+#: Nearest partners of a node in a prefix that are verified in the first pass and in the second; in the last all are.
+NEAREST = (1, 2)
 #: Rows to take out that are broadcast at most.
 SENT_ROWS = 1_000_000
 WORD_CACHE = 800_000
@@ -80,6 +84,11 @@ def simhash(shingles: np.ndarray) -> np.ndarray:
     return 2 * ones > len(shingles)
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """Whether an odd number of the (32-bit) shingles falls on each of PARITY bits, as booleans."""
+    return (np.bincount(shingles & np.uint32(PARITY - 1), minlength=PARITY) & 1).astype(bool)
+
+
 def _bits(f0: np.ndarray, f1: np.ndarray) -> np.ndarray:
     return np.unpackbits(np.ascontiguousarray(np.stack([f0, f1], axis=1)).view(np.uint8).reshape(-1, 16), axis=1)
 
@@ -100,18 +109,33 @@ def plan(nodes: int, similarity: float = SIMILARITY, recall: float = RECALL) ->
     return depth, max(FIRST_TRIES + 2, math.ceil(math.log(1 - recall) / math.log(1 - same)))
 
 
+#: Size and parities of a node's set, which the last pass carries.
+MARKS = ("n", "m0", "m1", "m2", "m3")
+
+
+def _can_reach(marks: list[np.ndarray], i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """False where the sizes and parities of two sets rule out ``similarity``; loses no pair that has it."""
+    x, y = marks[0][i], marks[0][j]
+    apart = sum(np.bitwise_count((m[i] ^ m[j]).view(np.uint64)).astype(np.int32) for m in marks[1:])
+    return (np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-9) & (apart <= (1 - similarity) / (1 + similarity) * (x + y) + 1e-6)
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, fs, sets = [], [], []
+        ids, fs, sets, sizes, odd = [], [], [], [], []
         for text in batch.column(2).to_pylist():
             s = shingle_set(text)
             ids.append(xxhash.xxh64_intdigest(s.tobytes()))
             fs.append(simhash(s))
-            sets.append(np.unique((s >> np.uint64(32)).astype("<u4")).tobytes())
+            short = np.unique((s >> np.uint64(32)).astype("<u4"))
+            sets.append(short.tobytes())
+            sizes.append(len(short))
+            odd.append(parities(short))
         f = np.packbits(np.array(fs, bool).reshape(-1, BITS), axis=1).view(np.int64).reshape(-1, 2)
+        m = np.packbits(np.array(odd, bool).reshape(-1, PARITY), axis=1).view(np.int64).reshape(-1, 4)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(np.ascontiguousarray(f[:, 0])), pa.array(np.ascontiguousarray(f[:, 1])), pa.array(sets, pa.binary())],
-            names=["doc_id", "th", "id", "f0", "f1", "shingles"],
+            [batch.column(0), batch.column(1), pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(np.ascontiguousarray(f[:, 0])), pa.array(np.ascontiguousarray(f[:, 1])), pa.array(sizes, pa.int64()), *[pa.array(np.ascontiguousarray(m[:, k])) for k in range(4)], pa.array(sets, pa.binary())],
+            names=["doc_id", "th", "id", "f0", "f1", *MARKS, "shingles"],
         )
 
 
@@ -138,19 +162,28 @@ def _nearest(a: np.ndarray, b: np.ndarray, d: np.ndarray, few: int) -> np.ndarra
     return order[first]
 
 
-def bucket_links(ids: np.ndarray, comp: np.ndarray, f0: np.ndarray, f1: np.ndarray, keys: np.ndarray, group: np.ndarray, depth: int, few: int, across: bool) -> np.ndarray:
-    """Pairs of ids to verify, of rows in key order with their group (prefix) numbers: the ``few`` nearest of each, ``across`` components only."""
+def bucket_links(ids: np.ndarray, comp: np.ndarray, f0: np.ndarray, f1: np.ndarray, marks: list[np.ndarray], keys: np.ndarray, group: np.ndarray, depth: int, few: int | None, across: bool, similarity: float) -> np.ndarray:
+    """Pairs of ids to verify, of rows in key order with their group (prefix) numbers: the ``few`` nearest of each, or all; ``across`` components only."""
     apart = lambda i, j: np.bitwise_count((f0[i] ^ f0[j]).view(np.uint64)).astype(np.int32) + np.bitwise_count((f1[i] ^ f1[j]).view(np.uint64))
     left, right = [], []
+
+    def keep(i: np.ndarray, j: np.ndarray) -> None:
+        ok = apart(i, j) <= RADIUS
+        ok &= (comp[i] != comp[j]) if across else (i != j)
+        i, j = i[ok], j[ok]
+        if marks:
+            ok = _can_reach(marks, i, j, similarity)
+            i, j = i[ok], j[ok]
+        left.append(i)
+        right.append(j)
+
     sizes = np.bincount(group)
     starts = np.concatenate([[0], np.cumsum(sizes)])
     for g in np.flatnonzero(sizes > COMPARED):  # crowded: all meet the hub
         at = np.arange(starts[g], starts[g + 1])
         bits = _bits(f0[at], f1[at])
         hub = at[(bits != (2 * bits.sum(0, dtype=np.int64) > len(at))).sum(1).argmin()]
-        near = at[(apart(at, hub) <= RADIUS) & (at != hub)]
-        left.append(near)
-        right.append(np.full(len(near), hub))
+        keep(at, np.full(len(at), hub))
     group = _deepened(keys, group, depth)
     rest = np.arange(len(ids))
     for step in range(1, COMPARED):
@@ -158,35 +191,34 @@ def bucket_links(ids: np.ndarray, comp: np.ndarray, f0: np.ndarray, f1: np.ndarr
         rest = rest[group[rest] == group[rest + step]]
         if not len(rest):
             break
-        near = rest[apart(rest, rest + step) <= RADIUS]
-        left.append(near)
-        right.append(near + step)
+        keep(rest, rest + step)
     if not left:
         return np.zeros((0, 2), np.int64)
     i, j = np.concatenate(left), np.concatenate(right)
-    if across:
-        keep = comp[i] != comp[j]
-        i, j = i[keep], j[keep]
-    both_i, both_j = np.concatenate([i, j]), np.concatenate([j, i])
-    at = _nearest(both_i, both_j, apart(both_i, both_j), few)
-    a, b = ids[both_i[at]], ids[both_j[at]]
+    if few is not None:
+        i, j = np.concatenate([i, j]), np.concatenate([j, i])
+        at = _nearest(i, j, apart(i, j), few)
+        i, j = i[at], j[at]
+    a, b = ids[i], ids[j]
     pairs = np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)
     return np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
 
 
-def _candidates(nodes: DataFrame, tries: range, depth: int, few: int, across: bool) -> DataFrame:
-    """Distinct pairs (a, b) of ``nodes`` (id, f0, f1, c) that meet in one of the tries."""
+def _candidates(nodes: DataFrame, tries: range, depth: int, few: int | None, across: bool, similarity: float) -> DataFrame:
+    """Distinct pairs (a, b) of ``nodes`` (id, f0, f1, c, and MARKS where ``few`` is None) that meet in one of the tries."""
+    own = ["id", "f0", "f1", "c", *(MARKS if few is None else ())]
+    kind = "trie int, key long, " + ", ".join(f"{c} long" for c in own)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = [batch.column(k) for k in range(4)]
+            cols = [batch.column(k) for k in range(len(own))]
             bits = _bits(cols[1].to_numpy(), cols[2].to_numpy())
             for t in tries:
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bits), t, np.int32)), pa.array(_keys(bits, t)), *cols], names=["trie", "key", "id", "f0", "f1", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bits), t, np.int32)), pa.array(_keys(bits, t)), *cols], names=["trie", "key", *own])
 
-    rows = nodes.select("id", "f0", "f1", "c").mapInArrow(spread, "trie int, key long, id long, f0 long, f1 long, c long")
+    rows = nodes.select(*own).mapInArrow(spread, kind)
     prefix = F.shiftright("key", 64 - depth)
-    some = nodes.where(F.pmod(F.xxhash64("id"), F.lit(CROWD_SAMPLE)) == 0).select("id", "f0", "f1", "c").mapInArrow(spread, "trie int, key long, id long, f0 long, f1 long, c long")
+    some = nodes.where(F.pmod(F.xxhash64("id"), F.lit(CROWD_SAMPLE)) == 0).select(*own).mapInArrow(spread, kind)
     crowds = some.groupBy("trie", prefix.alias("p")).count().where(F.col("count") * CROWD_SAMPLE > TASK_NODES)
     more = F.least(F.lit(40 - min(40, depth)), 4 * F.ceil(F.log2(F.col("count") * CROWD_SAMPLE / TASK_NODES) / 2)).cast("int")
     crowds = cut(crowds.select(F.col("trie").alias("t"), "p", more.alias("more")), "crowds")
@@ -204,15 +236,15 @@ def _candidates(nodes: DataFrame, tries: range, depth: int, few: int, across: bo
         kept = 0
 
         def done(cols: list[np.ndarray]) -> pa.RecordBatch:
-            trie, d, key, ids, f0, f1, c = cols
+            trie, d, key, ids, f0, f1, c, *marks = cols
             p = key >> (64 - d.astype(np.int64))
             new = np.ones(len(ids), bool)
             new[1:] = (trie[1:] != trie[:-1]) | (p[1:] != p[:-1]) | (d[1:] != d[:-1])
-            pairs = bucket_links(ids, c, f0, f1, key, np.cumsum(new) - 1, depth, few, across)
+            pairs = bucket_links(ids, c, f0, f1, marks, key, np.cumsum(new) - 1, depth, few, across, similarity)
             return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["a", "b"])
 
         for batch in batches:
-            held.append([batch.column(k).to_numpy() for k in range(7)])
+            held.append([batch.column(k).to_numpy() for k in range(3 + len(own))])
             kept += batch.num_rows
             if kept >= 100_000:
                 cols = [np.concatenate(x) for x in zip(*held, strict=True)]
@@ -228,7 +260,7 @@ def _candidates(nodes: DataFrame, tries: range, depth: int, few: int, across: bo
         if kept:
             yield done([np.concatenate(x) for x in zip(*held, strict=True)])
 
-    dealt = rows.select("trie", "d", "key", "id", "f0", "f1", "c").repartition("trie", "d", whole).sortWithinPartitions("trie", "d", "key", "id")
+    dealt = rows.select("trie", "d", "key", *own).repartition("trie", "d", whole).sortWithinPartitions("trie", "d", "key", "id")
     return dealt.mapInArrow(compare, "a long, b long").distinct()
 
 
@@ -256,12 +288,6 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return both.select("a", "b", "x", "y").mapInArrow(exact, "a long, b long")
 
 
-def _settled(found: DataFrame) -> int:
-    """How many nodes have gone into the component of another."""
-    row = found.agg(F.count("*").alias("n"), F.sum(F.when(F.col("id") == F.col("c"), 1).otherwise(0)).alias("heads")).first()
-    return row.n - (row.heads or 0)
-
-
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row per input row: doc_id, th (a hash of the text), class_id (the least doc_id of its class), n_class (rows of the class), kept.
 
@@ -273,32 +299,25 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     worker_path(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    rows = cut(source.mapInArrow(_fingerprints, "doc_id long, th long, id long, f0 long, f1 long, shingles binary"), "fingerprints")
-    nodes = cut(rows.groupBy("id").agg(F.first("f0").alias("f0"), F.first("f1").alias("f1")).withColumn("c", F.col("id")), "nodes")
+    rows = cut(source.mapInArrow(_fingerprints, "doc_id long, th long, id long, f0 long, f1 long, " + "".join(f"{c} long, " for c in MARKS) + "shingles binary"), "fingerprints")
+    nodes = cut(rows.groupBy("id").agg(F.first("f0").alias("f0"), F.first("f1").alias("f1"), *[F.first(c).alias(c) for c in MARKS]).withColumn("c", F.col("id")), "nodes")
     sets = rows.select("id", "shingles")
     depth, tries = plan(nodes.count(), similarity)
     # each pass: the tries, of the nodes that matter still, linking components as known so far
-    pairs = cut(_candidates(nodes, range(FIRST_TRIES), depth, NEAREST[0], False), "pairs")
+    pairs = cut(_candidates(nodes, range(FIRST_TRIES), depth, NEAREST[0], False, similarity), "pairs")
     links = cut(_verified(pairs, sets, similarity), "links")
     found = components(links)
-    settled = _settled(found)
-    for few in NEAREST[1:]:
+    for few in (NEAREST[1], None):
         named = nodes.drop("c").join(found, "id", "left").withColumn("c", F.coalesce("c", "id"))
-        later = few > NEAREST[1]
-        if later:  # nodes that met none within the radius in any trie meet none now
+        if few is None:  # nodes that met none within the radius in any trie meet none now
             ends = cut(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "ends")
             named = named.join(ends, "id", "left_semi")
-        met = _candidates(cut(named, "nodes"), range(0 if later else FIRST_TRIES, tries), depth, few, True)
+        met = _candidates(cut(named, "nodes"), range(0 if few is None else FIRST_TRIES, tries), depth, few, True, similarity)
         fresh = cut(met.join(pairs, ["a", "b"], "left_anti"), "pairs")
-        if later and fresh.isEmpty():
-            break
         new = cut(_verified(fresh, sets, similarity), "links")
         if not new.isEmpty():
             links = links.union(new)
             found = components(links)
-        before, settled = settled, _settled(found)
-        if later and settled - before <= (1 - RECALL) * settled:
-            break
         pairs = pairs.union(fresh)
     of_row = rows.select("doc_id", "th", "id").join(found, "id", "left").select("doc_id", "th", F.coalesce("c", "id").alias("c"))
     of_row = cut(of_row, "row-classes")

@@ -1,6 +1,7 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from folioweave.llm import near_dedup as nd
@@ -130,3 +131,28 @@ def test_plan():
     d1, t1 = nd.plan(10_000)
     d2, t2 = nd.plan(1_000_000)
     assert d2 > d1 and t2 > t1
+
+
+def test_partner_behind_nearer_ones():
+    """The last pass gives every pair within the radius, however many nearer ones a node has."""
+    rng = np.random.default_rng(3)
+    base = rng.random(nd.BITS) < 0.5
+    rows = np.array([base] + [base ^ (np.arange(nd.BITS) == k) for k in range(60)] + [base ^ (np.arange(nd.BITS) < 34)])
+    f = np.packbits(rows, axis=1).view(np.int64)
+    n = len(f)
+    marks = [np.full(n, 100)] + [np.zeros(n, np.int64)] * 4
+    ids = np.arange(n)
+    pairs = nd.bucket_links(ids, ids, f[:, 0].copy(), f[:, 1].copy(), marks, np.zeros(n, np.int64), np.zeros(n, np.int64), 8, None, True, 0.8)
+    assert [0, n - 1] in pairs.tolist()
+
+
+def test_marks_lose_nothing():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        x = np.unique(rng.integers(0, 2**32, rng.integers(5, 400), dtype=np.uint32))
+        y = np.union1d(x[rng.random(len(x)) < rng.uniform(0.7, 1)], rng.integers(0, 2**32, rng.integers(0, 20), dtype=np.uint32))
+        m = [np.packbits(nd.parities(s)).view(np.int64) for s in (x, y)]
+        marks = [np.array([len(x), len(y)]), *[np.array([m[0][k], m[1][k]]) for k in range(4)]]
+        both = len(np.intersect1d(x, y))
+        if both >= 0.8 * (len(x) + len(y) - both):
+            assert nd._can_reach(marks, np.array([0]), np.array([1]), 0.8)[0]
