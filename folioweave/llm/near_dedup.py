@@ -9,8 +9,10 @@ nearest to the majority of bits, so that links grow with the members and not wit
 The first tries link nodes to their nearest, the others to their nearest two in other components.  The
 last pass goes over all tries again, of the nodes with any partner, and verifies every pair between
 different components that is left, so that none of those that met stays unverified.  Pairs that
-sizes and parities of the sets rule out for certain aren't verified.  Links are verified by the exact
-similarity of the shingle sets.
+sizes and parities of the sets rule out for certain aren't verified.  Where a node was compared at a
+longer prefix than the base depth, the recall that this costs is added up over the tries; nodes that fall
+short of the target go through further tries until they have it, or, once that is no dearer, are all
+compared with each other in blocks.  Links are verified by the exact similarity of the shingle sets.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ CROWD, COMPARED, TASK_NODES = 64, 256, 4096
 FIRST_TRIES, CROWD_SAMPLE = 6, 16
 #: Nearest partners of a node in a prefix that are verified in the first pass and in the second; in the last all are.
 NEAREST = (1, 2)
+#: Nodes of a block, where all that fall short of the recall are compared with each other.
+BLOCK = 2048
 #: Rows to take out that are broadcast at most.
 SENT_ROWS = 1_000_000
 WORD_CACHE = 800_000
@@ -101,6 +105,11 @@ def _keys(bits: np.ndarray, trie: int) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(bits[:, trie_bits(trie)], axis=1)).view(">i8").astype(np.int64).reshape(-1)
 
 
+def gain(depth: int | np.ndarray, similarity: float) -> float | np.ndarray:
+    """What a try at ``depth`` adds to -log(chance to miss a partner of ``similarity``)."""
+    return -np.log1p(-((1 - math.acos(2 * similarity / (1 + similarity)) / math.pi) ** depth))
+
+
 def plan(nodes: int, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[int, int]:
     """(base depth, tries): the depth by the density, the tries by the recall that it leaves at ``similarity``."""
     depth = min(48, max(8, math.ceil(math.log2(max(1, nodes) / CROWD))))
@@ -139,19 +148,22 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         )
 
 
-def _deepened(keys: np.ndarray, group: np.ndarray, depth: int) -> np.ndarray:
-    """Group numbers of rows in key order, with groups over COMPARED cut along longer prefixes."""
-    while depth < 64:
-        size = np.bincount(group)[group]
+def _deepened(keys: np.ndarray, group: np.ndarray, depth: np.ndarray, comp: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Group numbers and depths of rows in key order, with groups over COMPARED cut along longer prefixes; with ``comp``, not those of one component."""
+    while True:
+        size = np.bincount(group)
         big = size > COMPARED
+        if comp is not None and len(group):
+            starts = np.concatenate([[0], np.cumsum(size)[:-1]])
+            big &= np.minimum.reduceat(comp, starts) != np.maximum.reduceat(comp, starts)
+        big = big[group] & (depth < 64)
         if not big.any():
-            break
-        depth = min(64, depth + 2)
-        prefix = keys >> np.int64(64 - depth) if depth < 64 else keys
+            return group, depth
+        depth = np.where(big, np.minimum(64, depth + 2), depth)
+        prefix = keys >> (64 - depth)
         new = np.ones(len(group), bool)
         new[1:] = (group[1:] != group[:-1]) | (big[1:] & (prefix[1:] != prefix[:-1]))
         group = np.cumsum(new) - 1
-    return group
 
 
 def _nearest(a: np.ndarray, b: np.ndarray, d: np.ndarray, few: int) -> np.ndarray:
@@ -162,8 +174,8 @@ def _nearest(a: np.ndarray, b: np.ndarray, d: np.ndarray, few: int) -> np.ndarra
     return order[first]
 
 
-def bucket_links(ids: np.ndarray, comp: np.ndarray, f0: np.ndarray, f1: np.ndarray, marks: list[np.ndarray], keys: np.ndarray, group: np.ndarray, depth: int, few: int | None, across: bool, similarity: float) -> np.ndarray:
-    """Pairs of ids to verify, of rows in key order with their group (prefix) numbers: the ``few`` nearest of each, or all; ``across`` components only."""
+def bucket_links(ids: np.ndarray, comp: np.ndarray, f0: np.ndarray, f1: np.ndarray, marks: list[np.ndarray], keys: np.ndarray, group: np.ndarray, depth: np.ndarray, few: int | None, across: bool, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of ids to verify, of rows in key order with their group (prefix) numbers and depths: the ``few`` nearest of each, or all; ``across`` components only.  And the gain of each row's try."""
     apart = lambda i, j: np.bitwise_count((f0[i] ^ f0[j]).view(np.uint64)).astype(np.int32) + np.bitwise_count((f1[i] ^ f1[j]).view(np.uint64))
     left, right = [], []
 
@@ -184,8 +196,15 @@ def bucket_links(ids: np.ndarray, comp: np.ndarray, f0: np.ndarray, f1: np.ndarr
         bits = _bits(f0[at], f1[at])
         hub = at[(bits != (2 * bits.sum(0, dtype=np.int64) > len(at))).sum(1).argmin()]
         keep(at, np.full(len(at), hub))
-    group = _deepened(keys, group, depth)
-    rest = np.arange(len(ids))
+    group, depth = _deepened(keys, group, depth, comp if across else None)
+    sizes = np.bincount(group)
+    mixed = np.ones(len(sizes), bool)
+    if across and len(ids):
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        mixed = np.minimum.reduceat(comp, starts) != np.maximum.reduceat(comp, starts)
+    # a group that can't be cut further and isn't compared whole gains nothing
+    gained = np.where((mixed & (sizes > COMPARED))[group], 0.0, gain(depth, similarity))
+    rest = np.flatnonzero(mixed[group])
     for step in range(1, COMPARED):
         rest = rest[rest + step < len(ids)]
         rest = rest[group[rest] == group[rest + step]]
@@ -193,7 +212,7 @@ def bucket_links(ids: np.ndarray, comp: np.ndarray, f0: np.ndarray, f1: np.ndarr
             break
         keep(rest, rest + step)
     if not left:
-        return np.zeros((0, 2), np.int64)
+        return np.zeros((0, 2), np.int64), gained
     i, j = np.concatenate(left), np.concatenate(right)
     if few is not None:
         i, j = np.concatenate([i, j]), np.concatenate([j, i])
@@ -201,11 +220,11 @@ def bucket_links(ids: np.ndarray, comp: np.ndarray, f0: np.ndarray, f1: np.ndarr
         i, j = i[at], j[at]
     a, b = ids[i], ids[j]
     pairs = np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)
-    return np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
+    return np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0), gained
 
 
-def _candidates(nodes: DataFrame, tries: range, depth: int, few: int | None, across: bool, similarity: float) -> DataFrame:
-    """Distinct pairs (a, b) of ``nodes`` (id, f0, f1, c, and MARKS where ``few`` is None) that meet in one of the tries."""
+def _candidates(nodes: DataFrame, tries: range, depth: int, few: int | None, across: bool, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs (a, b) of ``nodes`` (id, f0, f1, c, and MARKS where ``few`` is None) that meet in one of the tries; and (id, lost), what nodes lost to longer prefixes than ``depth``."""
     own = ["id", "f0", "f1", "c", *(MARKS if few is None else ())]
     kind = "trie int, key long, " + ", ".join(f"{c} long" for c in own)
 
@@ -240,8 +259,11 @@ def _candidates(nodes: DataFrame, tries: range, depth: int, few: int | None, acr
             p = key >> (64 - d.astype(np.int64))
             new = np.ones(len(ids), bool)
             new[1:] = (trie[1:] != trie[:-1]) | (p[1:] != p[:-1]) | (d[1:] != d[:-1])
-            pairs = bucket_links(ids, c, f0, f1, marks, key, np.cumsum(new) - 1, depth, few, across, similarity)
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["a", "b"])
+            pairs, gained = bucket_links(ids, c, f0, f1, marks, key, np.cumsum(new) - 1, d.astype(np.int64), few, across, similarity)
+            lost = float(gain(depth, similarity)) - gained
+            short = np.flatnonzero(lost > 1e-12)
+            b = pa.concat_arrays([pa.array(np.ascontiguousarray(pairs[:, 1])), pa.nulls(len(short), pa.int64())])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([pairs[:, 0], ids[short]])), b, pa.array(np.concatenate([np.zeros(len(pairs)), lost[short]]))], names=["a", "b", "lost"])
 
         for batch in batches:
             held.append([batch.column(k).to_numpy() for k in range(3 + len(own))])
@@ -261,7 +283,32 @@ def _candidates(nodes: DataFrame, tries: range, depth: int, few: int | None, acr
             yield done([np.concatenate(x) for x in zip(*held, strict=True)])
 
     dealt = rows.select("trie", "d", "key", *own).repartition("trie", "d", whole).sortWithinPartitions("trie", "d", "key", "id")
-    return dealt.mapInArrow(compare, "a long, b long").distinct()
+    met = cut(dealt.mapInArrow(compare, "a long, b long, lost double"), "met")
+    return met.where("b IS NOT NULL").select("a", "b").distinct(), met.where("b IS NULL").groupBy(F.col("a").alias("id")).agg(F.sum("lost").alias("lost"))
+
+
+def _all_pairs(nodes: DataFrame, count: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) of ``nodes``, ``count`` of them, between different components and not ruled out: every block of nodes with every other, a task each."""
+    blocks = -(-count // BLOCK)
+    own = ["id", "f0", "f1", "c", *MARKS]
+    mine = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    rows = nodes.select(*own, mine.alias("k"), other.alias("o")).select(F.least("k", "o").alias("x"), F.greatest("k", "o").alias("y"), "k", *own)
+
+    def compare(held: pa.Table) -> pa.Table:
+        x, y, k, ids, f0, f1, c, *marks = (held.column(n).to_numpy() for n in range(3 + len(own)))
+        left, right = np.flatnonzero(k == x[0]), np.flatnonzero(k == y[0])
+        found = [np.zeros((0, 2), np.int64)]
+        for i in left:
+            j = right[c[right] != c[i]]
+            apart = np.bitwise_count((f0[j] ^ f0[i]).view(np.uint64)).astype(np.int32) + np.bitwise_count((f1[j] ^ f1[i]).view(np.uint64))
+            j = j[apart <= RADIUS]
+            j = j[_can_reach(marks, np.full(len(j), i), j, similarity)]
+            found.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], axis=1))
+        pairs = np.concatenate(found)
+        return pa.table({"a": np.ascontiguousarray(pairs[:, 0]), "b": np.ascontiguousarray(pairs[:, 1])})
+
+    return rows.groupBy("x", "y").applyInArrow(compare, "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -304,21 +351,45 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     sets = rows.select("id", "shingles")
     depth, tries = plan(nodes.count(), similarity)
     # each pass: the tries, of the nodes that matter still, linking components as known so far
-    pairs = cut(_candidates(nodes, range(FIRST_TRIES), depth, NEAREST[0], False, similarity), "pairs")
+    met, lost = _candidates(nodes, range(FIRST_TRIES), depth, NEAREST[0], False, similarity)
+    pairs = cut(met, "pairs")
     links = cut(_verified(pairs, sets, similarity), "links")
     found = components(links)
-    for few in (NEAREST[1], None):
-        named = nodes.drop("c").join(found, "id", "left").withColumn("c", F.coalesce("c", "id"))
-        if few is None:  # nodes that met none within the radius in any trie meet none now
-            ends = cut(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "ends")
-            named = named.join(ends, "id", "left_semi")
-        met = _candidates(cut(named, "nodes"), range(0 if few is None else FIRST_TRIES, tries), depth, few, True, similarity)
+
+    def named() -> DataFrame:
+        return nodes.drop("c").join(found, "id", "left").withColumn("c", F.coalesce("c", "id"))
+
+    def take(met: DataFrame) -> None:
+        """Verifies the pairs that are new."""
+        nonlocal pairs, links, found
         fresh = cut(met.join(pairs, ["a", "b"], "left_anti"), "pairs")
+        if fresh.isEmpty():
+            return
+        pairs = pairs.union(fresh)
         new = cut(_verified(fresh, sets, similarity), "links")
         if not new.isEmpty():
             links = links.union(new)
             found = components(links)
-        pairs = pairs.union(fresh)
+
+    def short(lost: DataFrame, tries: int) -> DataFrame:
+        """The ids whose ``tries`` haven't given the target recall."""
+        slack = tries * float(gain(depth, similarity)) + math.log(1 - RECALL)
+        return lost.groupBy("id").agg(F.sum("lost").alias("lost")).where(F.col("lost") > slack).select("id")
+
+    met, further = _candidates(cut(named(), "nodes"), range(FIRST_TRIES, tries), depth, NEAREST[1], True, similarity)
+    take(met)
+    # nodes that met none within the radius, at the target recall, meet none now
+    ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).union(short(lost.union(further), tries)).distinct()
+    met, lost = _candidates(cut(named().join(cut(ends, "ends"), "id", "left_semi"), "nodes"), range(tries), depth, None, True, similarity)
+    take(met)
+    while count := (left := cut(short(lost, tries), "short")).count():
+        again = cut(named().join(left, "id", "left_semi"), "nodes")
+        if count <= tries * COMPARED:  # as many comparisons as the tries so far made
+            take(_all_pairs(again, count, similarity))
+            break
+        met, further = _candidates(again, range(tries, 2 * tries), depth, None, True, similarity)
+        take(met)
+        tries, lost = 2 * tries, lost.join(left, "id", "left_semi").union(further)
     of_row = rows.select("doc_id", "th", "id").join(found, "id", "left").select("doc_id", "th", F.coalesce("c", "id").alias("c"))
     of_row = cut(of_row, "row-classes")
     heads = of_row.groupBy("c").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "th"))).alias("head"), F.min("th").alias("least_th"), F.count("*").alias("n_class")).where("n_class > 1")

@@ -142,7 +142,7 @@ def test_partner_behind_nearer_ones():
     n = len(f)
     marks = [np.full(n, 100)] + [np.zeros(n, np.int64)] * 4
     ids = np.arange(n)
-    pairs = nd.bucket_links(ids, ids, f[:, 0].copy(), f[:, 1].copy(), marks, np.zeros(n, np.int64), np.zeros(n, np.int64), 8, None, True, 0.8)
+    pairs, _ = nd.bucket_links(ids, ids, f[:, 0].copy(), f[:, 1].copy(), marks, np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, 8), None, True, 0.8)
     assert [0, n - 1] in pairs.tolist()
 
 
@@ -156,3 +156,24 @@ def test_marks_lose_nothing():
         both = len(np.intersect1d(x, y))
         if both >= 0.8 * (len(x) + len(y) - both):
             assert nd._can_reach(marks, np.array([0]), np.array([1]), 0.8)[0]
+
+
+def test_longer_prefixes_gain_less():
+    """Nodes of a crowd that is cut along longer prefixes gain what those give, and nothing where the crowd can't be cut."""
+    n = nd.COMPARED + 44
+    ids, f = np.arange(n), np.zeros(n, np.int64)
+    marks = [np.full(n, 100)] + [np.zeros(n, np.int64)] * 4
+    links = lambda keys, comp: nd.bucket_links(ids, comp, f, f, marks, keys, np.zeros(n, np.int64), np.full(n, 8), None, True, 0.8)[1]
+    same = np.zeros(n, np.int64)
+    assert not links(same, ids).any()
+    assert np.allclose(links(same, same), nd.gain(8, 0.8))
+    split = np.sort(np.where(ids % 2, np.int64(1) << 44, 0))
+    assert np.allclose(links(split, ids), nd.gain(20, 0.8))
+
+
+def test_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(nd, "BLOCK", 16)
+    rows = [(k, 0, 0, k // 2, 100, 0, 0, 0, 0) for k in range(50)]
+    nodes = spark.createDataFrame(rows, "id long, f0 long, f1 long, c long, n long, m0 long, m1 long, m2 long, m3 long")
+    got = {(r.a, r.b) for r in nd._all_pairs(nodes, 50, 0.8).collect()}
+    assert got == {(a, b) for a in range(50) for b in range(a + 1, 50) if a // 2 != b // 2}
