@@ -21,7 +21,9 @@ from .common import held, table
 #: Shortest candidate; characters before and after it that count as its neighbourhood; score from which it is a secret.
 LEAST, BEFORE, AFTER, THRESHOLD = 20, 48, 16, 0.5
 CHARS = "A-Za-z0-9+/_=.\\-"
-CANDIDATE = f"(?<![{CHARS}])[{CHARS}]{{{LEAST},}}+"
+#: A name with a value after it that is a candidate itself; the name is then left to the neighbourhood.
+NAMED = f"[A-Za-z_][A-Za-z0-9_.\\-]*=(?=[{CHARS}]{{{LEAST}}})(?=[{CHARS}]*[0-9])"
+CANDIDATE = f"(?:(?<![{CHARS}])|(?<=[A-Za-z0-9_.\\-]=))(?!{NAMED})[{CHARS}]{{{LEAST},}}+"
 TREES, DEPTH, LEAF, FINDINGS, SEED = 25, 6, 3, 2400, 11
 REDACTED = "[SECRET]"
 

@@ -56,3 +56,11 @@ def test_planted_tokens(spark):
     found = {r.doc_id for r in ss.scan(docs).where("n_secrets > 0").collect()}
     want = {r.doc_id for r in docs.collect() if re.search(r'token = "[0-9a-f]{40}"', r.text or "")}
     assert found == want and want
+
+
+def test_value_after_name(spark, docs_of):
+    texts = [f"x api_key={KEY} y", f"TOKEN={KEY}", f"api_key={KEY}.{KEY}", "password=hunter2hunter2", f"a=b_2={KEY}"]
+    by = {r.doc_id: r for r in ss.scan(docs_of(list(enumerate(texts)))).collect()}
+    assert [by[k].clean_text for k in (0, 1)] == [f"x api_key={ss.REDACTED} y", f"TOKEN={ss.REDACTED}"]
+    assert [re.findall(ss.CANDIDATE, t) for t in texts[2:]] == [[f"{KEY}.{KEY}"], ["password=hunter2hunter2"], [KEY]]
+    assert [by[k].n_candidates for k in range(5)] == [1] * 5
