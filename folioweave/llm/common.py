@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,12 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where that setting is unset (local tests)."""
+    """The folder in ``spark.checkpoint.dir``; a temporary one only where that setting is unset and the master is local."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         where = held.get() if held.isDefined() else None
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="folioweave-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
@@ -38,7 +44,20 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     if base not in _bases:
         _bases[base] = spark
         atexit.register(_drop, base)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._cut_path = path
+    return written
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of cut() that nothing reads any more."""
+    for df in tables:
+        _delete(df.sparkSession, df._cut_path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 _bases: dict[str, SparkSession] = {}
@@ -49,9 +68,19 @@ def _drop(base: str) -> None:
     spark = _bases.pop(base, None)
     if spark is None or spark.sparkContext._jsc is None:
         return
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(base)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, base)
+
+
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function for mapInArrow that gives memory back to the system at the end of its task: idle workers stay alive between tasks."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # another C library has no such function
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
 
 
 def worker_path(spark: SparkSession) -> None:

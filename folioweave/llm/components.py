@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, discard
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -22,11 +22,16 @@ def components(edges: DataFrame) -> DataFrame:
         while True:
             further = hooks.select(F.col("b").alias("to"), F.col("to").alias("next"))
             jumped = cut(hooks.join(further, "to", "left").select("b", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")), "hooks")
-            hooks = jumped.select("b", "to")
+            discard(hooks)
+            hooks = jumped
             if jumped.where("moved").isEmpty():
                 break
         by = lambda name: hooks.select(F.col("b").alias(name), F.col("to").alias(name + "_to"))
-        labels = cut(labels.join(by("c"), "c", "left").select("id", F.coalesce("c_to", "c").alias("c")), "labels")
+        named = cut(labels.join(by("c"), "c", "left").select("id", F.coalesce("c_to", "c").alias("c")), "labels")
+        discard(labels)
+        labels = named
         moved = rest.join(by("a"), "a", "left").join(by("b"), "b", "left").select(F.coalesce("a_to", "a").alias("x"), F.coalesce("b_to", "b").alias("y"))
-        rest = cut(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        fewer = cut(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        discard(rest, hooks)
+        rest = fewer
     return labels

@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from folioweave.llm import near_dedup as nd
 from folioweave.llm.components import components
@@ -133,47 +134,94 @@ def test_plan():
     assert d2 > d1 and t2 > t1
 
 
-def test_partner_behind_nearer_ones():
-    """The last pass gives every pair within the radius, however many nearer ones a node has."""
+def joined(pairs, n):
+    """Least member of each one's component."""
+    label = np.arange(n)
+    for a, b in list(pairs) * 1:
+        x, y = label[a], label[b]
+        label[label == max(x, y)] = min(x, y)
+    return label.tolist()
+
+
+def test_bucket_links():
+    """What leaves a bucket connects exactly the components that pairs within the radius and the size bound connect."""
     rng = np.random.default_rng(3)
-    base = rng.random(nd.BITS) < 0.5
-    rows = np.array([base] + [base ^ (np.arange(nd.BITS) == k) for k in range(60)] + [base ^ (np.arange(nd.BITS) < 34)])
-    f = np.packbits(rows, axis=1).view(np.int64)
-    n = len(f)
-    marks = [np.full(n, 100)] + [np.zeros(n, np.int64)] * 4
-    ids = np.arange(n)
-    pairs, _ = nd.bucket_links(ids, ids, f[:, 0].copy(), f[:, 1].copy(), marks, np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, 8), None, True, 0.8)
-    assert [0, n - 1] in pairs.tolist()
-
-
-def test_marks_lose_nothing():
-    rng = np.random.default_rng(4)
-    for _ in range(200):
-        x = np.unique(rng.integers(0, 2**32, rng.integers(5, 400), dtype=np.uint32))
-        y = np.union1d(x[rng.random(len(x)) < rng.uniform(0.7, 1)], rng.integers(0, 2**32, rng.integers(0, 20), dtype=np.uint32))
-        m = [np.packbits(nd.parities(s)).view(np.int64) for s in (x, y)]
-        marks = [np.array([len(x), len(y)]), *[np.array([m[0][k], m[1][k]]) for k in range(4)]]
-        both = len(np.intersect1d(x, y))
-        if both >= 0.8 * (len(x) + len(y) - both):
-            assert nd._can_reach(marks, np.array([0]), np.array([1]), 0.8)[0]
-
-
-def test_longer_prefixes_gain_less():
-    """Nodes of a crowd that is cut along longer prefixes gain what those give, and nothing where the crowd can't be cut."""
-    n = nd.COMPARED + 44
-    ids, f = np.arange(n), np.zeros(n, np.int64)
-    marks = [np.full(n, 100)] + [np.zeros(n, np.int64)] * 4
-    links = lambda keys, comp: nd.bucket_links(ids, comp, f, f, marks, keys, np.zeros(n, np.int64), np.full(n, 8), None, True, 0.8)[1]
-    same = np.zeros(n, np.int64)
-    assert not links(same, ids).any()
-    assert np.allclose(links(same, same), nd.gain(8, 0.8))
-    split = np.sort(np.where(ids % 2, np.int64(1) << 44, 0))
-    assert np.allclose(links(split, ids), nd.gain(20, 0.8))
-
-
-def test_all_pairs(spark, monkeypatch):
-    monkeypatch.setattr(nd, "BLOCK", 16)
-    rows = [(k, 0, 0, k // 2, 100, 0, 0, 0, 0) for k in range(50)]
-    nodes = spark.createDataFrame(rows, "id long, f0 long, f1 long, c long, n long, m0 long, m1 long, m2 long, m3 long")
-    got = {(r.a, r.b) for r in nd._all_pairs(nodes, 50, 0.8).collect()}
-    assert got == {(a, b) for a in range(50) for b in range(a + 1, 50) if a // 2 != b // 2}
+    for size, groups in ((40, 5), (700, 2), (1, 30)):
+        heads = rng.random((size // 4 + 1, nd.BITS)) < 0.5
+        rows = heads[rng.integers(0, len(heads), size * groups)] ^ (rng.random((size * groups, nd.BITS)) < 0.13)
+        f = np.packbits(rows, axis=1).view(np.int64)
+        f0, f1 = f[:, 0].copy(), f[:, 1].copy()
+        group = np.repeat(np.arange(groups), size)
+        n = rng.integers(80, 120, size * groups)
+        n = n[np.lexsort((n, group))]
+        c = rng.integers(0, size * groups, size * groups)
+        got = nd.bucket_links(c, f0, f1, n, group, 0.8)
+        assert len(got) < len(set(c.tolist()))
+        near = [(c[i], c[j]) for i in range(len(c)) for j in range(i + 1, len(c)) if group[i] == group[j] and n[i] >= 0.8 * n[j] and (rows[i] != rows[j]).sum() <= nd.RADIUS]
+        assert joined(got, size * groups) == joined(near, size * groups)
+
+
+def test_linked():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 60, dtype=np.uint64)
+    for _ in range(20):
+        sets = []
+        for _ in range(rng.integers(2, 60)):
+            keep = base[rng.random(60) < rng.uniform(0.7, 1)]
+            sets.append(np.unique(np.concatenate([keep, rng.integers(0, 2**63, rng.integers(0, 12), dtype=np.uint64)])))
+        sets.append(np.zeros(0, np.uint64))
+        c = rng.integers(0, len(sets), len(sets))
+        exact = lambda x, y: (b := len(np.intersect1d(x, y))) >= 0.8 * (len(x) + len(y) - b) - 1e-9
+        want = [(c[i], c[j]) for i in range(len(sets)) for j in range(i) if len(sets[i]) and len(sets[j]) and exact(sets[i], sets[j])]
+        assert joined(nd.linked(c, sets, 0.8), len(sets)) == joined(want, len(sets))
+
+
+def test_blocks_meet(spark):
+    """Every two rows of which one is outside the largest component share a block pair."""
+    rows = [(k, k < 30) for k in range(50)]
+    df = spark.createDataFrame(rows, "id int, major boolean")
+    mine = F.pmod("id", F.when(F.col("major"), F.lit(3)).otherwise(F.lit(2)))
+    for b1 in (3, 0):
+        some = df if b1 else df.withColumn("major", F.lit(False))
+        got = {r.id: set(r.each) for r in some.select("id", nd._blocks(F.col("major"), F.pmod("id", F.lit(2)) if not b1 else mine, F.lit(b1), F.lit(2)).alias("each")).collect()}
+        for x, m in rows:
+            for y, k in rows:
+                assert got[x] & got[y] or (b1 and m and k and x % 3 != y % 3)
+
+
+@pytest.mark.parametrize("low", [0.80, 0.85, 0.92])
+def test_recall_by_band(docs_of, low):
+    """Pairs of a band of similarity and little above it, through several tries."""
+    rng = random.Random(int(low * 100))
+    rows, want = [], 0
+    while want < 150:
+        base = text(rng, 140)
+        other = edited(rng, base, max(1, round(140 * (1 - low) / 10)))
+        a, b = shingles(base), shingles(other)
+        if low <= len(a & b) / len(a | b) < low + 0.06:
+            rows += [(2 * want, base), (2 * want + 1, other)]
+            want += 1
+    got = found(nd.classes(docs_of(rows), crowd=8))
+    assert nd.plan(300, crowd=8)[0] > 4
+    assert sum(len(g) == 2 for g in got) >= 0.98 * want
+
+
+@pytest.mark.parametrize("members", [3, 40, 1200])
+def test_recall_by_family(docs_of, monkeypatch, members):
+    """Families whose members are mostly less alike than the threshold, in blocks far smaller than a family."""
+    monkeypatch.setattr(nd, "TASK_NODES", 256)
+    monkeypatch.setattr(nd, "TASK_BYTES", 400_000)
+    rng = random.Random(members)
+    rows = []
+    for f in range(max(1, 300 // members)):
+        base = text(rng, 120)
+        rows += [(f * members + k, edited(rng, base, rng.randint(0, 6))) for k in range(members)]
+    rows += [(10_000 + k, text(rng, 120)) for k in range(200)]
+    want, got = brute(rows), found(nd.classes(docs_of(rows), crowd=32))
+    compare(want, got)
+
+
+def test_levels():
+    climb = nd.levels(1_000_000)
+    assert [d for d, _ in climb] == sorted((d for d, _ in climb), reverse=True) and climb[-1] == nd.plan(1_000_000)
+    assert nd.levels(100) == [(0, 1)]
