@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD_SPLIT, cut, held, table
 
-#: A line is boilerplate in a host where it stands in more distinct documents than both of these.
-LINE_DOCS, LINE_SHARE = 100, 0.01
+#: A line is boilerplate in a host where it stands in more distinct documents than LINE_DOCS, or in more than FEW_DOCS that are more than LINE_SHARE of the host's.
+LINE_DOCS, FEW_DOCS, LINE_SHARE = 100, 5, 0.01
 #: A document that loses lines is depleted if fewer words than this, or a smaller share of its words, are left.
 LEFT_WORDS, LEFT_SHARE = 20, 0.2
 #: Frequent lines travel with the host's name while there are at most so many, and so many for any one host.
@@ -90,17 +90,17 @@ def _line_hashes(text: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(normal_lines(text), lambda x: x != ""), lambda x: F.xxhash64(x)))
 
 
-def frequent_lines(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
-    """(host, line): hashes of lines in more distinct texts of the host than ``line_docs`` and ``line_share`` of its texts."""
+def frequent_lines(docs: DataFrame, line_docs: int = LINE_DOCS, few_docs: int = FEW_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
+    """(host, line): hashes of lines in more than ``line_docs`` distinct texts of the host, or in more than ``few_docs`` that are more than ``line_share`` of its texts."""
     host, text = F.col("source").cast("string").alias("host"), F.col("text").cast("string")
     own = docs.where(text.isNotNull()).select(host, F.xxhash64(text).alias("a"), F.xxhash64(F.reverse(text)).alias("b"), _line_hashes(text).alias("lines"))
     texts = own.groupBy("host", "a", "b").agg(F.first("lines").alias("lines"))
     # a null line stands for the text itself, so that one shuffle counts lines and texts
     each = texts.select("host", F.explode(F.concat(F.array(F.lit(None).cast("bigint")), F.col("lines"))).alias("line"))
-    counts = cut(each.groupBy("host", "line").count().where((F.col("count") > line_docs) | F.col("line").isNull()), "line-counts")
+    counts = cut(each.groupBy("host", "line").count().where((F.col("count") > few_docs) | F.col("line").isNull()), "line-counts")
     hosts = counts.where("line IS NULL").select("host", F.col("count").alias("texts"))
     found = counts.where("line IS NOT NULL").alias("c").join(hosts.alias("t"), F.expr("c.host <=> t.host"))
-    return found.where(F.col("c.count") > line_share * F.col("t.texts")).select("c.host", "c.line")
+    return found.where((F.col("c.count") > line_docs) | (F.col("c.count") > line_share * F.col("t.texts"))).select("c.host", "c.line")
 
 
 def with_removed(df: DataFrame, frequent: DataFrame) -> DataFrame:
@@ -126,7 +126,7 @@ def _left_text(text: Column, removed: Column) -> Column:
     return F.when(F.size(removed) == 0, text).otherwise(F.array_join(F.transform(kept, lambda x: x["line"]), "\n"))
 
 
-def quality_rules(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, carry: bool = False) -> DataFrame:
+def quality_rules(docs: DataFrame, line_docs: int = LINE_DOCS, few_docs: int = FEW_DOCS, line_share: float = LINE_SHARE, carry: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_left_words, left_text, kept.
 
     A null text has no words and fails the base rules; a null source is a host of its own; repeated
@@ -134,7 +134,7 @@ def quality_rules(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float
     an empty result; further columns of the input are not read, but for ``carry``, which keeps the
     row in a struct.
     """
-    df = with_removed(base_rules(docs, carry), frequent_lines(docs, line_docs, line_share))
+    df = with_removed(base_rules(docs, carry), frequent_lines(docs, line_docs, few_docs, line_share))
     df = df.withColumn("left_text", _left_text(F.col("text"), F.col("removed")))
     df = df.withColumn("n_left_words", F.when(F.size("removed") == 0, F.col("n_words")).otherwise(F.size(_words(F.col("left_text"))).cast("long")))
     depleted = (F.size("removed") > 0) & ((F.col("n_left_words") < LEFT_WORDS) | (F.col("n_left_words") < LEFT_SHARE * F.col("n_words")))
@@ -176,7 +176,7 @@ WITH d AS (
   SELECT r, count(*) - count(DISTINCT raw) AS n_dup_lines FROM norm WHERE line <> '' GROUP BY r
 ), freq AS (
   SELECT n.source, n.line FROM norm n JOIN (SELECT source, count(DISTINCT text) AS texts FROM d GROUP BY source) t ON n.source IS NOT DISTINCT FROM t.source
-  WHERE n.line <> '' GROUP BY n.source, n.line, t.texts HAVING count(DISTINCT n.text) > 100 AND count(DISTINCT n.text) > 0.01 * t.texts
+  WHERE n.line <> '' GROUP BY n.source, n.line, t.texts HAVING count(DISTINCT n.text) > 100 OR (count(DISTINCT n.text) > 5 AND count(DISTINCT n.text) > 0.01 * t.texts)
 ), lw AS (
   SELECT n.r, bool_or(f.line IS NOT NULL) AS hit,
     sum(CASE WHEN f.line IS NULL THEN len(list_filter(string_split_regex(n.raw, '[\x20\x09-\x0D]+'), lambda x: x <> '')) ELSE 0 END)::BIGINT AS n_left_words
