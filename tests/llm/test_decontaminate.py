@@ -13,8 +13,8 @@ def brute(docs, items, least=0.8):
     its = {}
     for i, t in items:
         w = words(t)
-        if i is not None and len(w) >= 5:
-            its[(i, t)] = (len(w), {tuple(w[k : k + 5]) for k in range(len(w) - 4)})
+        if i is not None and w:
+            its[(i, t)] = (len(w), {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))})
     df = {}
     for _, s in its.values():
         for x in s:
@@ -23,13 +23,14 @@ def brute(docs, items, least=0.8):
     out = {}
     for d, t in set(docs):
         w = words(t)
-        sh = [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
         for (i, _), (n, s) in its.items():
+            size = min(n, 5)
+            sh = [tuple(w[k : k + size]) for k in range(len(w) - size + 1)]
             if not s & set(sh):
                 continue
             best = 0
             for a in range(max(1, len(w) - n + 1)):
-                v = set(sh[a : a + n - 4])
+                v = set(sh[a : a + max(1, n - 4)])
                 both = sum(map(weight, v & s))
                 best = max(best, both / (sum(map(weight, v | s))))
             if best >= least:
@@ -55,12 +56,24 @@ def test_edges(spark):
     pad = " ".join(f"x{k}" for k in range(300))
     w = a.split()
     docs = [
-        (1, f"{pad} {a.upper()} {pad}"), (2, a), (3, pad), (4, None), (5, ""), (6, f"{pad}\n{b}\n{a}"), (7, " ".join(w[3:])), (8, " ".join(w[:20])), (9, " ".join(w[:20] + ["new"] + w[20:])),
+        (20, "this is too short here now"), (21, "too short there"), (22, f"{pad} too SHORT, here {pad} {a}"), (23, "short"), (24, f"{a} " * 900), (1, f"{pad} {a.upper()} {pad}"), (2, a), (3, pad), (4, None), (5, ""), (6, f"{pad}\n{b}\n{a}"), (7, " ".join(w[3:])), (8, " ".join(w[:20])), (9, " ".join(w[:20] + ["new"] + w[20:])),
         (10, " ".join(w[:10] + ["q"] + w[11:25] + ["q"] + w[26:])), (1, f"{pad} {a.upper()} {pad}"), (1, "another text"), (None, b), (11, "zero one two three four five six"),
     ]
     compare(spark, docs, items)
 
 
+def test_between_two_alignments(spark):
+    """The best window of a framed item with words put into its middle lines up with neither end of it."""
+    head, tail = "in this question you are asked", "give one answer and explain it"
+    items = [(k, f"{head} " + " ".join(f"w{k}x{j}" for j in range(60)) + f" {tail}") for k in range(200)] + [(900, "two words"), (901, "single")]
+    w = items[7][1].split()
+    pad = " ".join(f"p{k}" for k in range(60))
+    docs = [(k, f"{pad} {' '.join(w[:cut] + ['put', 'in', 'between', 'these'][:n] + w[cut:])} {pad}") for k, (cut, n) in enumerate([(36, 4), (36, 2), (10, 4), (64, 4), (26, 0)])]
+    docs += [(100, f"{pad} {head} {pad} {tail}"), (101, "these two words here"), (102, "two other words"), (103, "a single")]
+    assert any(d == 0 for d, _, _ in brute(docs, items))
+    compare(spark, docs, items)
+
+
 def test_nothing(spark):
     compare(spark, [(1, "a b c d e f")], [(1, None)])
     d = spark.createDataFrame([], "doc_id long, text string")
