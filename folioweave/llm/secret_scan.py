@@ -7,7 +7,6 @@ findings below, and travels as arrays in a constant.
 from __future__ import annotations
 
 import base64
-import functools
 import json
 import random
 import string
@@ -18,13 +17,21 @@ from pyspark.sql import functions as F
 
 from .common import held, table
 
-#: Shortest candidate; characters before and after it that count as its neighbourhood; score from which it is a secret.
-LEAST, BEFORE, AFTER, THRESHOLD = 20, 48, 16, 0.5
+#: Shortest candidate anywhere, and after the name of a secret; characters before and after it that count as its neighbourhood; score from which it is a secret.
+LEAST, NAMED_LEAST, BEFORE, AFTER, THRESHOLD = 16, 6, 48, 16, 0.5
 CHARS = "A-Za-z0-9+/_=.\\-"
-#: A name with a value after it that is a candidate itself; the name is then left to the neighbourhood.
-NAMED = f"[A-Za-z_][A-Za-z0-9_.\\-]*=(?=[{CHARS}]{{{LEAST}}})(?=[{CHARS}]*[0-9])"
-CANDIDATE = f"(?:(?<![{CHARS}])|(?<=[A-Za-z0-9_.\\-]=))(?!{NAMED})[{CHARS}]{{{LEAST},}}+"
-TREES, DEPTH, LEAF, FINDINGS, SEED = 25, 6, 3, 2400, 11
+SECRET_WORDS = "key|token|secret|passw|passphrase|pwd|auth|credential|bearer|private|signature|apikey"
+#: What ends where the value of a secret's name begins: ``api_key=``, ``"password": "``, ``Bearer ``.
+ASSIGNED = f"(?i:{SECRET_WORDS})[A-Za-z0-9_]{{0,12}}[\"'`]?\\s{{0,2}}[=:]\\s{{0,2}}[\"'`]?"
+NAMED = f"(?<=[=:\\s\"'`])(?:(?<=[=:][\\s\"'`]{{0,3}})(?<={ASSIGNED})|(?<=(?i:bearer)\\s))(?!\\[SECRET\\])[^\\s\"'`,;]{{{NAMED_LEAST},}}+"
+#: A run of CHARS; of ``name=value`` the value alone.
+RUN = f"(?:(?<![{CHARS}])|(?<=[A-Za-z0-9_.\\-]=))(?![A-Za-z_][A-Za-z0-9_.\\-]*=[{CHARS}]{{{NAMED_LEAST}}})[{CHARS}]{{{LEAST},}}+"
+CANDIDATE = f"{NAMED}|{RUN}"
+#: A text without either has no candidate.
+GATES = (f"[{CHARS}]{{{LEAST}}}", f"(?i)(?:{SECRET_WORDS})[a-z0-9_]{{0,12}}[\"'`]?(?:\\s{{0,2}}[=:]|\\s)")
+#: Runs that stand after no name are candidates if they have one of these.
+MIXED = "[0-9]|[a-z][A-Z]"
+TREES, DEPTH, LEAF, FINDINGS, SEED = 25, 7, 3, 3200, 11
 REDACTED = "[SECRET]"
 
 DICTIONARY = (
@@ -39,10 +46,9 @@ DICTIONARY = (
     "size snapshot source spec stack static status storage store stream string style submit super support system table target task team template test text the this thread time title token tools topic track transaction "
     "type unit update upload user users utils value variable vector vendor version video view virtual web widget width window with word work worker wrapper write www year zone"
 ).split()
-SECRET_WORDS = "key|token|secret|passw|pwd|auth|credential|bearer|private|signature|apikey"
 PLAIN_WORDS = "sha|md5|checksum|commit|digest|hash|uuid|guid|revision|etag|version|image|path|file|import|class|href|src|build|integrity|isbn|blob"
 #: The features, in this order.
-NAMES = ("length", "case_steps", "vowel_steps", "digits", "uppers", "distinct", "hex", "coverage", "slashes", "dots", "joints", "extension", "secret_word", "plain_word", "assigned", "quoted")
+NAMES = ("length", "case_steps", "vowel_steps", "digits", "uppers", "distinct", "hex", "coverage", "slashes", "dots", "joints", "extension", "secret_word", "plain_word", "assigned", "quoted", "symbols", "run")
 
 
 def feature_columns(c: Column, before: Column, after: Column) -> list[Column]:
@@ -69,6 +75,8 @@ def feature_columns(c: Column, before: Column, after: Column) -> list[Column]:
         flag(near.rlike(f"(^|[^a-z])({PLAIN_WORDS})")),
         flag(near.rlike("[=:]\\s*[\"'`]?$")),
         flag(near.rlike("[\"'`]$") & after.rlike("^[\"'`]")),
+        share("[^A-Za-z0-9]"),
+        F.regexp_count(c, F.lit("(.)\\1\\1")) / n,
     ]
 
 
@@ -85,7 +93,20 @@ def labelled_findings(count: int = FINDINGS, seed: int = SEED) -> list[tuple[str
     found = []
     for k in range(count):
         q = quote()
-        if k % 2 == 0:
+        if k % 8 == 6:  # passwords and short keys, with any characters, after the name of a secret
+            body = rng.choice([
+                lambda: some(alnum, 8, 15), lambda: some(alnum + "!@#$%^&*?", 8, 16), lambda: word().title() + str(rng.randint(10, 9999)) + rng.choice("!@#$%&*?") + some(alnum, 0, 4), lambda: some(string.ascii_letters, 12, 32),
+                lambda: some("abcdefghijklmnopqrstuvwxyz", 3, 6) + str(rng.randint(10, 999)) + rng.choice(["!", "$", "x", "Q#"]) + some(alnum, 2, 5), lambda: "$".join(some(alnum, 3, 6) for _ in range(3)), lambda: some(string.ascii_lowercase, 16, 24),
+            ])()
+            found.append((body, f"{prose()} {rng.choice(opens)}{rng.choice([' = ', '=', ': '])}{q}"[-BEFORE:], q + " " + prose()[:8], 1))
+        elif k % 8 == 7:  # what stands after such names without being a secret
+            body = rng.choice([
+                lambda: word(), lambda: word() + "_" + word(), lambda: "".join(some("bcdfghlmnprstvw", 1, 2) + some("aeiou", 1, 1) for _ in range(rng.randint(3, 6))), lambda: f"your_{word()}_here", lambda: "${" + word().upper() + "_" + word().upper() + "}", lambda: "<" + word() + "-" + word() + ">", lambda: rng.choice("x*.-0") * rng.randint(6, 20),
+                lambda: rng.choice(["changeme", "example", "required", "undefined", "placeholder", "REDACTED", "[SECRET]", "missing", "optional", "string"]), lambda: "process.env." + word().upper(), lambda: "os.environ[" + word().upper() + "]",
+                lambda: word() + "." + word() + "()", lambda: word().title() + word().title(), lambda: "https://" + word() + ".com/" + word(), lambda: "/" + word() + "/" + word() + "/" + word() + ".pem", lambda: word() + "-" + word() + "-" + word(),
+            ])()
+            found.append((body if len(body) >= NAMED_LEAST else body + "_" + word(), f"{prose()} {rng.choice(opens)}{rng.choice([' = ', '=', ': '])}{q}"[-BEFORE:], q + " " + prose()[:8], 0))
+        elif k % 2 == 0:
             body = rng.choice([
                 lambda: some(hexes, 32, 64), lambda: some(hexes, 40, 40), lambda: some(hexes.upper(), 32, 40), lambda: some(alnum, 20, 48), lambda: some(b64, 24, 64) + rng.choice(["", "=", "=="]),
                 lambda: "AKIA" + some(string.ascii_uppercase + string.digits, 16, 16), lambda: "ghp_" + some(alnum, 36, 36), lambda: "sk_live_" + some(alnum, 24, 32), lambda: "xoxb-" + some(string.digits, 11, 12) + "-" + some(alnum, 24, 24),
@@ -160,9 +181,10 @@ def forest_column(forest: list, x: Column) -> Column:
     return F.aggregate(trees, F.lit(0.0), lambda a, tree: a + tree["leaf"][down(tree) - (2**DEPTH - 1)]) / len(forest)
 
 
-@functools.lru_cache(2)
-def _forest(session_id: int) -> list:
-    spark = SparkSession.getActiveSession()
+_forests: dict[str, list] = {}
+
+
+def _grown(spark: SparkSession) -> list:
     rows = labelled_findings()
     df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, c string, b string, a string, y int")
     got = sorted(df.select("k", F.array(*feature_columns(F.col("c"), F.col("b"), F.col("a"))).alias("x"), "y").collect())
@@ -170,14 +192,19 @@ def _forest(session_id: int) -> list:
 
 
 def forest_of(spark: SparkSession) -> list:
-    """Grown from FINDINGS labelled rows, once for a session."""
-    return _forest(id(spark))
+    """Grown from FINDINGS labelled rows, once for an application."""
+    key = spark.sparkContext.applicationId
+    if key not in _forests:
+        _forests.clear()
+        _forests[key] = _grown(spark)
+    return _forests[key]
 
 
 def scan(docs: DataFrame, carry: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_candidates, n_secrets, secrets (start and length in code points, score), clean_text.
 
-    A candidate is a run of at least LEAST characters of tokens and paths that has a digit.  clean_text is
+    A candidate is a value of NAMED_LEAST characters or more after the name of a secret, or anywhere a run of
+    LEAST characters or more of tokens and paths that has a digit or changes its case.  clean_text is
     the text with each secret replaced by a mark.  A null text has no candidates and stays null; ids may be
     null; repeated rows are scanned each; an empty table gives an empty result; further columns are
     not read, but for ``carry``, which keeps the row in a struct.
@@ -187,15 +214,13 @@ def scan(docs: DataFrame, carry: bool = False) -> DataFrame:
     keep = ["row"] if carry else []
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *row)
     none = F.array().cast("array<string>")
-    has = F.coalesce(F.col("text").rlike("[0-9]") & F.col("text").rlike(f"[{CHARS}]{{{LEAST}}}"), F.lit(False))
+    has = F.coalesce(F.col("text").rlike(GATES[0]) | F.col("text").rlike(GATES[1]), F.lit(False))
     df = held(df, runs=F.when(has, F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))).otherwise(none), gaps=F.when(has, F.split("text", CANDIDATE, -1)).otherwise(none))
-    # runs without a digit are kept in their place and get a null
+    # runs that are no candidates are kept in their place and get a null
+    before = lambda i: F.right(F.element_at("gaps", i + 1), F.lit(BEFORE))
     near = F.transform(
         "runs",
-        lambda c, i: F.when(
-            c.rlike("[0-9]"),
-            F.array(*feature_columns(c, F.right(F.element_at("gaps", i + 1), F.lit(BEFORE)), F.left(F.element_at("gaps", i + 2), F.lit(AFTER)))),
-        ),
+        lambda c, i: F.when(c.rlike(MIXED) | before(i).rlike(f"(?:{ASSIGNED}|(?i:bearer)\\s)$"), F.array(*feature_columns(c, before(i), F.left(F.element_at("gaps", i + 2), F.lit(AFTER))))),
     )
     df = held(df, features=near)
     df = held(df, scores=F.transform("features", lambda x: F.when(x.isNotNull(), F.round(forest_column(forest, x), 6))))

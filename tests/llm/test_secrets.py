@@ -1,6 +1,8 @@
 import re
 
 import numpy as np
+import pytest
+import regex
 
 from pyspark.sql import functions as F
 
@@ -13,14 +15,18 @@ TEXTS = [
 ]
 
 
+def candidates(t):
+    named = regex.compile(f"(?:{ss.ASSIGNED}|(?i:bearer)\\s)$")
+    return [m for m in regex.finditer(ss.CANDIDATE, t or "") if re.search(ss.MIXED, m[0]) or named.search(t[max(0, m.start() - ss.BEFORE) : m.start()])]
+
+
 def test_scan(spark, docs_of):
     rows = [(k, t) for k, t in enumerate(TEXTS)] + [(3, TEXTS[3]), (None, TEXTS[3])]
     got = ss.scan(docs_of(rows)).collect()
     assert len(got) == len(rows)
     by = {r.doc_id: r for r in got if r.doc_id is not None}
-    pattern = re.compile(ss.CANDIDATE)
     for k, t in enumerate(TEXTS):
-        spans = [m for m in pattern.finditer(t or "") if re.search("[0-9]", m[0])]
+        spans = candidates(t)
         assert by[k].n_candidates == len(spans)
         out, at = "", 0
         for s in by[k].secrets:
@@ -59,8 +65,45 @@ def test_planted_tokens(spark):
 
 
 def test_value_after_name(spark, docs_of):
-    texts = [f"x api_key={KEY} y", f"TOKEN={KEY}", f"api_key={KEY}.{KEY}", "password=hunter2hunter2", f"a=b_2={KEY}"]
+    texts = [
+        f"x api_key={KEY} y", f"TOKEN={KEY}", f"api_key={KEY}.{KEY}", "password=hunter2hunter2", f"a=b_2={KEY}", 'db_password = "Xk9$vQ!m2w#"', "export AWS_SECRET=qWmZpRtYxKvBnLcDfGhJ",
+        'pwd: "tR4!pz8q"', "password=changeme", "api_key = your_key_here", 'token: "${API_TOKEN}"', "the key: something else", "the bearer certificate is here", f'token = "{ss.REDACTED}"',
+    ]
     by = {r.doc_id: r for r in ss.scan(docs_of(list(enumerate(texts)))).collect()}
     assert [by[k].clean_text for k in (0, 1)] == [f"x api_key={ss.REDACTED} y", f"TOKEN={ss.REDACTED}"]
-    assert [re.findall(ss.CANDIDATE, t) for t in texts[2:]] == [[f"{KEY}.{KEY}"], ["password=hunter2hunter2"], [KEY]]
+    assert [by[k].clean_text for k in (2, 3)] == [f"api_key={ss.REDACTED}", f"password={ss.REDACTED}"]
     assert [by[k].n_candidates for k in range(5)] == [1] * 5
+    assert [by[k].n_secrets for k in (5, 6, 7)] == [1] * 3
+    assert [by[k].n_secrets for k in range(8, 14)] == [0] * 6 and by[13].n_candidates == 0
+
+
+def test_forest_is_its_trees(spark):
+    """The column gives what a walk down each tree gives, ties at a threshold included."""
+    rng = np.random.default_rng(2)
+    x = np.round(rng.random((400, 6)), 1)
+    forest = ss.grow_forest(x, (x[:, 0] + x[:, 3] > 1).astype(float), trees=9)
+
+    def walk(tree, row):
+        while not isinstance(tree, float):
+            j, cut, left, right = tree
+            tree = left if row[j] <= cut else right
+        return tree
+
+    df = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "k int, x array<double>")
+    got = {r.k: r.p for r in df.select("k", ss.forest_column(forest, F.col("x")).alias("p")).collect()}
+    for k, row in enumerate(x):
+        assert got[k] == pytest.approx(np.mean([walk(t, row) for t in forest]), abs=1e-5)
+
+
+def test_scores_by_hand(spark, docs_of):
+    """Scores and verdicts of the operator are those of features and trees worked out one candidate at a time."""
+    got = {r.doc_id: r for r in ss.scan(docs_of([(k, t) for k, t in enumerate(TEXTS[:9])])).collect()}
+    forest = ss.forest_of(spark)
+    for k, t in enumerate(TEXTS[:9]):
+        want = []
+        for m in candidates(t):
+            df = spark.createDataFrame([(m[0], t[max(0, m.start() - ss.BEFORE) : m.start()], t[m.end() : m.end() + ss.AFTER])], "c string, b string, a string")
+            p = df.select(ss.forest_column(forest, F.array(*ss.feature_columns(F.col("c"), F.col("b"), F.col("a"))))).first()[0]
+            if round(p, 6) >= ss.THRESHOLD:
+                want.append((m.start(), m.end() - m.start(), round(p, 6)))
+        assert [tuple(s) for s in got[k].secrets] == want
