@@ -2,8 +2,10 @@
 
 Each partition tokenises its rows and packs the pieces by best fit decreasing.  Bins that are
 nearly full leave at once; underfull bins go up a tree, eight partitions to a node, where they
-are the items of another best-fit round.  A bin is a row with its pieces, 2048 at most, so the
-rounds need no join and the last step is an explode.
+are the items of another best-fit round.  A node takes as many bins as hold NODE_PIECES pieces: once the
+tree has narrowed to that, further rounds deal the underfull bins anew, until one saves next to nothing.
+No underfull bin is given up before, but those that no other underfull bin fits into.  A bin is a row with
+its pieces, 2048 at most, so the rounds need no join and the last step is an explode.
 """
 
 from __future__ import annotations
@@ -16,20 +18,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import word_ids
-from .common import cut, table, worker_path
+from .bpe import WordIds
+from .common import cut, released, table, worker_path
 from .token_counts import tokenizer_path
 
 #: Bins with this share of the capacity are nearly full and go no further up.
 NEARLY_FULL = 0.995
-#: Partitions that meet in a node of the tree, and underfull bins that a node sends up at most: the emptiest, the others are final.
-FAN_IN, SENT_UP = 8, 8192
-#: Pieces that a partition packs together at most; a longer partition is packed block by block.
-BLOCK = 400_000
+#: Partitions that meet in a node of the tree; pieces that a partition packs at once, and those of a node; saving of a round, of the bins it took, under which the rounds end.
+FAN_IN, BLOCK, NODE_PIECES, SAVING = 8, 200_000, 100_000, 0.001
 
 PIECE = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("offset", pa.int64())])
-BIN = pa.schema([("bin_id", pa.int64()), ("used", pa.int64()), ("node", pa.int64()), ("pieces", pa.list_(PIECE))])
-BIN_SQL = "bin_id long, used long, node long, pieces array<struct<doc_id:long,piece:int,start:long,length:long,ids_crc32:long,offset:long>>"
+BIN = pa.schema([("bin_id", pa.int64()), ("used", pa.int64()), ("pieces", pa.list_(PIECE))])
+BIN_SQL = "bin_id long, used long, pieces array<struct<doc_id:long,piece:int,start:long,length:long,ids_crc32:long,offset:long>>"
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -81,19 +81,12 @@ def _packed(items: list[tuple[int, list[tuple]]], capacity: int) -> list[tuple[i
     return bins
 
 
-def _rows(bins: list[tuple[int, list[tuple]]], level: int, part: int, seq: int, node: int, limit: int, last: bool) -> tuple[pa.RecordBatch, int]:
-    """Bins as rows; node is null for a final bin and else says where it goes."""
-    short = [] if last else sorted((k for k, (u, _) in enumerate(bins) if u < limit), key=lambda k: bins[k][0])[:SENT_UP]
-    up = set(short)
-    ids = [(level << 58) + (part << 34) + seq + k for k in range(len(bins))]
+def _rows(bins: list[tuple[int, list[tuple]]], level: int, part: int, seq: int) -> tuple[pa.RecordBatch, int]:
+    """Bins as rows, numbered by level, partition and place."""
+    ids = [(level << 54) + (part << 34) + seq + k for k in range(len(bins))]
     names = ("doc_id", "piece", "start", "length", "ids_crc32", "offset")
     batch = pa.RecordBatch.from_arrays(
-        [
-            pa.array(ids, pa.int64()),
-            pa.array([u for u, _ in bins], pa.int64()),
-            pa.array([node if k in up else None for k in range(len(bins))], pa.int64()),
-            pa.array([[dict(zip(names, p, strict=True)) for p in ps] for _, ps in bins], pa.list_(PIECE)),
-        ],
+        [pa.array(ids, pa.int64()), pa.array([u for u, _ in bins], pa.int64()), pa.array([[dict(zip(names, p, strict=True)) for p in ps] for _, ps in bins], pa.list_(PIECE))],
         schema=BIN,
     )
     return batch, seq + len(bins)
@@ -114,37 +107,49 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = 2048, end_id:
     end = int(end_id).to_bytes(4, "little")
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, part, seq, items = word_ids(path), TaskContext.get().partitionId(), 0, []
+        coder, part, seq, items = WordIds(path), TaskContext.get().partitionId(), 0, []
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 items += [(p[3], [p]) for p in pieces_of(doc_id, coder.encode(text or "") + end, capacity)]
-            if len(items) >= BLOCK:
-                rows, seq = _rows(_packed(items, capacity), 0, part, seq, part // FAN_IN, limit, False)
-                items = []
-                yield rows
+                if len(items) >= BLOCK:
+                    rows, seq = _rows(_packed(items, capacity), 0, part, seq)
+                    items = []
+                    yield rows
         if items:
-            yield _rows(_packed(items, capacity), 0, part, seq, part // FAN_IN, limit, False)[0]
+            yield _rows(_packed(items, capacity), 0, part, seq)[0]
 
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    bins = cut(source.mapInArrow(first, BIN_SQL), "packed-0")
-    done = bins.where("node IS NULL")
-    level, nodes = 1, (bins.agg(F.max("node")).first()[0])
-    while nodes is not None:
-        last = nodes == 0
-
-        def merge(batches: Iterator[pa.RecordBatch], level=level, last=last) -> Iterator[pa.RecordBatch]:
+    bins = cut(source.mapInArrow(released(first), BIN_SQL), "packed-0")
+    done = bins.where(F.col("used") >= limit)
+    level, nodes = 0, (bins.agg(F.max(F.shiftright("bin_id", 34))).first()[0] or 0) + 1
+    while True:
+        short = bins.where(F.col("used") < limit)
+        least = short.agg(F.min("used")).first()[0]
+        if least is None:
+            break
+        # a bin without room for the emptiest takes none, and fits into none
+        open_ = short.where(capacity - F.col("used") >= least)
+        done = done.unionByName(short.where(capacity - F.col("used") < least))
+        count, pieces = open_.agg(F.count("*"), F.coalesce(F.sum(F.size("pieces")), F.lit(0))).first()
+        if not count:
+            break
+        level, was, nodes = level + 1, nodes, max(-(-pieces // NODE_PIECES), -(-nodes // FAN_IN))
+        dealt = open_.withColumn("node", F.pmod(F.xxhash64("bin_id", F.lit(level)), F.lit(nodes)).cast("int"))
+
+        def merge(batches: Iterator[pa.RecordBatch], level=level) -> Iterator[pa.RecordBatch]:
             by_node: dict[int, list] = {}
             for batch in batches:
                 got = batch.to_pydict()
-                for used, node, pieces in zip(got["used"], got["node"], got["pieces"], strict=True):
+                for used, pieces, node in zip(got["used"], got["pieces"], got["node"], strict=True):
                     by_node.setdefault(node, []).append((used, [tuple(p.values()) for p in pieces]))
-            for node, items in sorted(by_node.items()):
-                yield _rows(_packed(items, capacity), level, node, 0, node // FAN_IN, limit, last)[0]
-
-        up = bins.where("node IS NOT NULL").repartition(nodes + 1, "node")
-        bins = cut(up.mapInArrow(merge, BIN_SQL), f"packed-{level}")
-        done = done.unionByName(bins.where("node IS NULL"))
-        nodes, level = (None if last else bins.agg(F.max("node")).first()[0]), level + 1
+            for node in sorted(by_node):
+                yield _rows(_packed(by_node.pop(node), capacity), level, node, 0)[0]
+
+        bins = cut(dealt.repartition(nodes, "node").mapInArrow(released(merge), BIN_SQL), f"packed-{level}")
+        done = done.unionByName(bins.where(F.col("used") >= limit))
+        if nodes == 1 or (nodes >= was and count - bins.count() <= SAVING * count):
+            done = done.unionByName(bins.where(F.col("used") < limit))
+            break
 
     each = done.select("bin_id", F.explode("pieces").alias("p"))
     return each.select("p.doc_id", "p.piece", "p.start", "p.length", "p.ids_crc32", F.col("bin_id").alias("sequence_id"), "p.offset")

@@ -6,7 +6,6 @@ saves work, and every count is exact whatever it holds.
 
 from __future__ import annotations
 
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -15,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import PieceCounter
-from .common import table, worker_path
+from .common import released, table, worker_path
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 #: Rows of the sample that fills the first tier, bytes of each that are looked at there, and entries broadcast at most.
@@ -47,10 +46,10 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = 512) ->
     spark = docs.sparkSession
     worker_path(spark)
     path = path or tokenizer_path("byte_bpe_50k.json")
-    sent, mark = spark.sparkContext.broadcast(frequent_lengths(docs, path)), uuid.uuid4().hex
+    sent = spark.sparkContext.broadcast(frequent_lengths(docs, path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _counter(path, sent, mark)
+        counter = PieceCounter(path, sent.value)
         for batch in batches:
             texts = [x or "" for x in batch.column(1).to_pylist()]
             n = [counter.count(x) for x in texts]
@@ -59,19 +58,7 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = 512) ->
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
-
-
-_counters: dict[tuple[str, str], PieceCounter] = {}
-
-
-def _counter(path: str, sent, mark: str) -> PieceCounter:
-    """A worker keeps its counter, and with it the cache of misses, over tasks."""
-    key = (path, mark)
-    if key not in _counters:
-        _counters.clear()
-        _counters[key] = PieceCounter(path, sent.value)
-    return _counters[key]
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(released(run), SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,3 +67,18 @@ def test_repeated_words(spark):
     docs = spark.createDataFrame([(k, t, "h") for k, t in enumerate(texts)], "doc_id long, text string, source string")
     got = {r.doc_id: r.n_repeat_words for r in quality_rules.base_rules(docs).collect()}
     assert got == {k: brute(t.split()) for k, t in enumerate(texts)}
+
+
+def test_run(spark, tmp_path):
+    """The whole pipeline over rows with nulls, an empty and a very long text, repeats, copies, a leak and a secret, and over none."""
+    own = lambda k, n=60: " ".join(f"w{k}x{j}" for j in range(n))
+    leak = " ".join(f"item{j}" for j in range(30))
+    rows = [(1, own(1)), (1, own(1)), (2, own(1)), (3, own(1) + " more"), (4, own(4)), (5, f"{own(5)} {leak} {own(6)}"), (6, f'{own(7)} token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" end'), (7, None), (8, ""), (9, "short text"), (10, own(10, 30_000)), (None, own(11)), (12, "same words again and again here now " * 20)]
+    docs = spark.createDataFrame([(i, t, "en", "h", len(t or ""), "x", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, kept string, start int")
+    for name, part in (("some", docs), ("none", docs.limit(0))):
+        part.write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.createDataFrame([(1, leak), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / name / "benchmark.parquet"))
+    got = cp.run(spark, str(tmp_path / "some")).collect()
+    assert {r.doc_id for r in got} == {1, 4, 6, 10, None}
+    assert len({(r.doc_id, r.piece) for r in got}) == len(got) and sum(r.length for r in got if r.doc_id == 10) > 30_000
+    assert cp.run(spark, str(tmp_path / "none")).collect() == []

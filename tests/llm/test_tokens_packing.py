@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from folioweave.llm import packing
 from folioweave.llm.bpe import PieceCounter, WordIds, is_safe
 from folioweave.llm.packing import best_fit, pack
 from folioweave.llm.token_counts import token_counts
@@ -96,6 +97,17 @@ def test_packing_of_documents(spark, sf, library):
     assert bins <= 1.02 * -(-tokens // 256) + 2
 
 
+@pytest.mark.parametrize("node_pieces", [10, 100_000])
+def test_many_underfull_bins(spark, library, monkeypatch, node_pieces):
+    """Nodes far smaller than the underfull bins: every piece is packed, and hardly worse than in one node."""
+    monkeypatch.setattr(packing, "NODE_PIECES", node_pieces)
+    rows = [(k, "word " * (3 + 7 * k % 60)) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for parts in (1, 8, 40):
+        bins, tokens = check_packing(rows, pack(docs.repartition(parts), capacity=100).collect(), library, 100)
+        assert bins <= 1.15 * -(-tokens // 100) + 2
+
+
 @given(st.lists(st.integers(1, 50), max_size=60))
 def test_best_fit(sizes):
     sizes = sorted(sizes, reverse=True)
