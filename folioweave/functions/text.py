@@ -2,15 +2,27 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TOKEN = "[A-Za-z][A-Za-z0-9_\\-]{1,30}"
-STOP_WORDS = (
-    "the of and to in is it that for was on are as with his they at be this have from or had by not but what all were we when your can said there use an each which she do how their if will up other about out many then "
-    "them these so some her would make like him into time has look two more go see no way could my than been who its now did get may part"
-).split()
-HOP_LABELS = {"CONTAINS": "contains", "NEXT": "followed by", "REFERENCES": "links to", "SIMILAR_TO": "similar to", "HAS_TOPIC": "about", "MENTIONS_ENTITY": "mentions", "HAS_KEYWORD": "tagged", "CO_OCCURS_WITH": "seen with"}
+#: Words that are no keywords, longest first.
+STOP_WORDS = sorted("with will were from that was the has its and are for as be by he in is it of on or to an at a".split(), key=lambda w: (-len(w), w))
+HOP_LABELS = {"SIMILAR_TO": "similar to", "REFERENCES": "links to", "CO_OCCURS_WITH": "co-occurs with", "MENTIONS_ENTITY": "mentions", "HAS_KEYWORD": "keyword", "HAS_TOPIC": "on topic", "NEXT": "then", "CONTAINS": "contains"}
+
+
+def _accents() -> tuple[str, str]:
+    """Latin letters with a mark, and the letters without it."""
+    found = [(chr(c), b) for c in range(0xC0, 0x250) if len(b := "".join(x for x in unicodedata.normalize("NFD", chr(c)) if not unicodedata.combining(x))) == 1 and b != chr(c)]
+    return "".join(a for a, _ in found), "".join(b for _, b in found)
+
+
+def folded(text: Column) -> Column:
+    """Lower case without the marks of Latin letters, composed or combining."""
+    marked, bare = _accents()
+    return F.regexp_replace(F.translate(F.lower(text), marked, bare), "[\\u0300-\\u036f]", "")
 
 
 def slug(name: Column) -> Column:
@@ -62,7 +74,8 @@ def content_tokens(text: Column) -> Column:
 
 
 def search_terms(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+    """Runs of letters and digits of any script, folded."""
+    return F.regexp_extract_all(folded(text), F.lit("[\\p{L}\\p{N}\\p{Co}]+"), F.lit(0))
 
 
 def index_text(kind: Column, name: Column, title: Column, path: Column, text: Column) -> Column:
@@ -77,11 +90,23 @@ def excerpt(text: Column, most: int) -> Column:
 
 
 def quote(text: Column, most: int = 160) -> Column:
-    """White space made single; cut after the first sentence that ends within ``most`` characters, else at them."""
+    """White space made single; cut after the first sentence that ends within ``most`` characters, else at them; null of a blank text."""
     flat = F.trim(F.regexp_replace(text, "\\s+", " "))
     at = [F.instr(flat, F.lit(mark)) for mark in (". ", "! ", "? ")]
-    cut = F.coalesce(*[F.when(a.between(1, most), a) for a in at])
-    return F.when(cut.isNotNull(), F.left(flat, cut)).when(F.length(flat) > most, F.concat(F.left(flat, F.lit(most)), F.lit("…"))).otherwise(flat)
+    # a mark at the very beginning ends no sentence
+    cut = F.coalesce(*[F.when((a > 1) & (a <= most), a) for a in at])
+    short = F.concat(F.rtrim(F.left(flat, F.lit(most))), F.lit("…"))
+    return F.when(flat == "", None).when(cut.isNotNull(), F.left(flat, cut)).when(F.length(flat) > most, short).otherwise(flat)
+
+
+def cite(path: Column, start: Column) -> Column:
+    """file:offset, or the file alone; empty without a file."""
+    return F.when(F.coalesce(path, F.lit("")) == "", "").otherwise(F.concat(path, F.coalesce(F.concat(F.lit(":"), start.cast("string")), F.lit(""))))
+
+
+def relevance(dist: Column) -> Column:
+    """1 - distance, to 4 places, and not under 0."""
+    return F.greatest(F.lit(0.0), F.round(1 - dist, 4))
 
 
 def short_boost(kind: Column, text: Column) -> Column:
@@ -94,18 +119,28 @@ def hop_label(rel: Column, similarity: Column | None = None, href: Column | None
     names = F.create_map(*[F.lit(x) for kv in HOP_LABELS.items() for x in kv])
     label = F.coalesce(F.try_element_at(names, rel), F.lower(F.replace(rel, F.lit("_"), F.lit(" "))))
     if similarity is not None:
-        label = F.when((rel == "SIMILAR_TO") & similarity.isNotNull(), F.concat(label, F.lit(" ("), F.format_number(similarity, 2), F.lit(")"))).otherwise(label)
+        label = F.when(similarity.isNotNull(), F.concat(label, F.lit(" ("), similarity.cast("string"), F.lit(")"))).otherwise(label)
     if href is not None:
-        label = F.when((rel == "REFERENCES") & href.isNotNull(), F.concat(label, F.lit(" ("), href, F.lit(")"))).otherwise(label)
+        label = F.when((similarity.isNull() if similarity is not None else F.lit(True)) & href.isNotNull(), F.concat(label, F.lit(" ("), href, F.lit(")"))).otherwise(label)
     return label
 
 
+#: Headings of main content, and of front matter, as patterns of their lower-case forms.
+MAIN_HEADINGS = "tale ode song section letter scene act canto volume part book chapter night day".split()
+_KINDS = {"editor": "note|remarks|preface|introduction", "translator": "note|remarks|preface|introduction", "publisher": "preface|note", "transcriber": "note"}
+FRONT_HEADINGS = [
+    *[f"{who}['’]?s?\\s*({kinds})" for who, kinds in _KINDS.items()],
+    "select\\s+bibliography", "introductory\\s+essay", "copyright", "by\\s+way\\s+of\\s+introduction", "table\\s+of\\s+contents", "about\\s+the\\s+author", "about\\s+this\\s+(translation|text|edition|book)",
+    "biographical\\s+sketch", "note\\s+on\\s+the\\s+(edition|translation|text)", "a\\s+note\\s+on", "notes?\\s*to\\s+the", "proleg\\w*", "prefator\\w*", "fore\\s*word", "preface", "introduc\\w*",
+]
+
+
 def content_type(path: Column, title: Column, level: Column, start: Column, total: Column) -> Column:
     """front_matter, reference or null of a section, by file, heading and place."""
-    main = F.lower(title).rlike("^(chapter|part|book|section|lesson|act|scene|canto|[ivxlc]+\\.|[0-9]+[.:])")
-    front = F.lower(title).rlike("^(preface|foreword|introduction|contents|table of contents|acknowledge?ments?|dedication|copyright|about|editor|license|note)")
+    main = F.lower(title).rlike(f"^({'|'.join(MAIN_HEADINGS)})\\b")
+    front = F.lower(title).rlike(f"\\b({'|'.join(FRONT_HEADINGS)})\\b")
     return (
-        F.when(F.lower(path).endswith("reference.md"), "reference")
+        F.when(path.endswith("reference.md"), "reference")
         .when(title.isNull() | (level == 1) | main, None)
         .when((total > 0) & (start / total > 0.40), None)
         .when(front, "front_matter")
@@ -114,20 +149,66 @@ def content_type(path: Column, title: Column, level: Column, start: Column, tota
 
 def links(text: Column) -> Column:
     """Targets of inline links, then of link definitions."""
-    return F.concat(F.regexp_extract_all(text, F.lit("\\[([^\\]]*)\\]\\(([^)\\s]+)\\)"), F.lit(2)), F.regexp_extract_all(text, F.lit("(?m)^\\[[^\\]]+\\]:\\s*(\\S+)"), F.lit(1)))
+    return F.concat(F.regexp_extract_all(text, F.lit("\\[([^\\]]*)\\]\\(([^)]+)\\)"), F.lit(2)), F.regexp_extract_all(text, F.lit("(?m)^\\[[^\\]]+\\]:\\s*(\\S+)"), F.lit(1)))
 
 
 def title_of(text: Column, path: Column) -> Column:
     """The first level-one heading of the first 20 lines, else the file's stem in words."""
     heads = F.filter(F.slice(F.split(text, "\n"), 1, 20), lambda x: x.startswith("# "))
-    stem = F.initcap(F.regexp_replace(F.regexp_extract(path, "([^/]+?)(\\.[^./]*)?$", 1), "[_-]", " "))
+    stem = titled(F.regexp_replace(F.regexp_extract(path, "([^/]+?)(\\.[^./]*)?$", 1), "[_-]", " "))
     return F.coalesce(F.trim(F.substring(F.try_element_at(heads, F.lit(1)), 3, 1 << 30)), stem)
 
 
+def titled(text: Column) -> Column:
+    """Each run of letters with a capital and then small letters, also after digits and apostrophes."""
+    runs = F.regexp_extract_all(text, F.lit("\\p{L}+|\\P{L}+"), F.lit(0))
+    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.left(r, F.lit(1))), F.lower(F.substring(r, 2, 1 << 30)))), "")
+
+
 def syllables(word: Column) -> Column:
-    groups = F.regexp_count(F.lower(word), F.lit("[aeiouy]+"))
-    silent = F.lower(word).rlike("[^aeiouyl]e$") & (groups > 1)
-    return F.greatest(F.lit(1), groups - F.when(silent, 1).otherwise(0))
+    """Groups of vowels, one less for a last e but not le; at least one; none of an empty word."""
+    bare = F.btrim(F.lower(word), F.lit(".,!?;:'\""))
+    groups = F.regexp_count(bare, F.lit("[aeiouy]+"))
+    silent = bare.endswith("e") & ~bare.endswith("le")
+    return F.when(bare == "", 0).otherwise(F.greatest(F.lit(1), groups - F.when(silent, 1).otherwise(0)))
+
+
+def reading_grade(words: Column, sentences: Column, syllables_: Column) -> Column:
+    """Flesch-Kincaid grade of counts."""
+    return 0.39 * words / F.greatest(F.lit(1), sentences) + 11.8 * F.coalesce(syllables_ / words, F.lit(0.0)) - 15.59
+
+
+#: Question words with what may follow them, and what is then left of a personal question.
+_ASKS = {"what": "are|does|do|did|were|was|is", "where": "do|did|was|is", "when": "do|did|was|is", "who": "did|was|is"}
+OPENING = "(?i)^(?:" + "|".join(f"{w}(?:'s| (?:{v}))?" for w, v in _ASKS.items()) + "|how(?:\\s+(?:old|far|often|long|much|many))?|why|which)\\s+"
+_DOING = "complete finish start join create lose win earn pack spend find pick use attend do make go buy take have get".split()
+PERSONAL = f"(?i)^(?:(?:did|do|have)\\s+(?:my|i)\\b|was\\s+(?:the|my|i)\\b|(?:is|are)\\s+(?:the|my)\\b|i\\s+(?:{'|'.join(_DOING)})\\b|(?:the|my|i)\\s+)\\s*"
+
+
+def plain_question(text: Column) -> Column:
+    """A question without its mark, its question word and a personal beginning; the question itself if nothing is left."""
+    bare = F.btrim(F.rtrim(F.btrim(text, F.lit(" \n\t\r")), F.lit("?")), F.lit(" \n\t\r"))
+    left = F.trim(F.regexp_replace(F.regexp_replace(bare, OPENING, ""), PERSONAL, ""))
+    return F.when(left == "", text).otherwise(left)
+
+
+def answer_tokens(text: Column) -> Column:
+    """Words of an answer in lower case, without ASCII punctuation and the words a, an, the and and (written small)."""
+    bare = F.regexp_replace(F.replace(text, F.lit(","), F.lit("")), "\\b(?:and|the|an|a)\\b", " ")
+    return F.filter(F.split(F.lower(F.regexp_replace(bare, "\\p{Punct}", "")), "\\s+"), lambda w: w != "")
+
+
+def answer_f1(given: Column, right: Column) -> Column:
+    """F1 of two answers' words as multisets, from two arrays of words; of an empty one, whether both are."""
+    count = lambda words, w: F.size(F.filter(words, lambda x: x == w))
+    both = F.aggregate(F.array_distinct(given), F.lit(0), lambda a, w: a + F.least(count(given, w), count(right, w)))
+    empty = (F.size(given) == 0) | (F.size(right) == 0)
+    return F.when(empty, (F.size(given) == F.size(right)).cast("double")).otherwise(2.0 * both / (F.size(given) + F.size(right)))
+
+
+def session_of(path: Column) -> Column:
+    """The stem of a file's name."""
+    return F.regexp_extract(path, "([^/]+?)(\\.[^./]*)?$", 1)
 
 
 def normal_phrase(text: Column) -> Column:

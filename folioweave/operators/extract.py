@@ -39,22 +39,30 @@ def topics(chunks: DataFrame, catalog: dict[str, list[str]], threshold: float =
     return matched.where(F.col("rank") <= most).unionByName(fallback)
 
 
-ENTITY_STOP = ("The", "This", "That", "And", "But", "For", "With", "From", "When", "Where", "What", "Then", "There", "These", "Those", "She", "They", "His", "Her", "Our", "Your", "Not", "You", "Are", "Was")
+ENTITY_STOP = "with into from the but for and to or on of it is in if by at as an a".split()
+_COLOURS = "khaki tan violet indigo magenta cyan olive maroon navy lavender coral teal silver gold ivory cream beige white black grey gray brown pink purple blue green yellow orange red".split()
+_SHADES = "cool warm soft bold vivid shiny glossy matte bright pale deep dark light darker lighter".split()
+_FIELDS = "principal associate assistant staff head chief lead junior senior financial project product data software sales marketing".split()
+_ROLES = "strategist architect executive advisor scientist officer designer developer coordinator consultant director analyst manager engineer specialist".split()
+#: What is found first and in this order: names, acronyms and mixed-case words together, by place; then each of the others.
+NAMES = "\\b(?:[A-Z][a-z]+(?:\\s+[A-Z][a-z]+){0,3}|[A-Z]{2,}[A-Z0-9]*|[A-Z][a-z]+[A-Z][A-Za-z0-9]*|[A-Z]{2,}[a-z][A-Za-z0-9]*)\\b"
+VALUES = (
+    "\\b\\d+(?:\\.\\d+)?\\s*%",
+    "[¥€£$]\\d[\\d,]*(?:\\.\\d+)?",
+    f"(?i)\\b(?:{'|'.join(_SHADES)})\\s+(?:shade\\s+of\\s+)?(?:{'|'.join(_COLOURS)})\\b",
+    f"(?i)\\b(?:{'|'.join(_COLOURS)})\\b",
+    f"(?i)\\b(?:{'|'.join(_FIELDS)})\\s+(?:{'|'.join(_ROLES)})\\b",
+)
 
 
 def entities(text: Column, most: int = 8) -> Column:
-    """array<string>: runs of capitalised words, acronyms, mixed-case words, percentages and amounts; first spelling kept, in that order."""
-    found = F.concat(
-        F.regexp_extract_all(text, F.lit("\\b[A-Z][a-z]+(?:\\s+[A-Z][a-z]+){1,3}\\b"), F.lit(0)),
-        F.regexp_extract_all(text, F.lit("\\b[A-Z]{2,6}\\b"), F.lit(0)),
-        F.regexp_extract_all(text, F.lit("\\b[A-Z][a-z]+[A-Z]\\w*\\b"), F.lit(0)),
-        F.regexp_extract_all(text, F.lit("\\b\\d+(?:\\.\\d+)?\\s?%"), F.lit(0)),
-        F.regexp_extract_all(text, F.lit("[$€£]\\s?\\d[\\d,]*(?:\\.\\d+)?"), F.lit(0)),
-    )
-    named = F.filter(found, lambda e: ~e.isin(list(ENTITY_STOP)) & (F.length(e) >= 2))
-    lows = F.transform(named, F.lower)
-    first = F.filter(named, lambda e, i: F.array_position(lows, F.lower(e)) == i + 1)
-    return F.slice(first, 1, most)
+    """array<string>: capitalised names, acronyms and mixed-case words by their place, then percentages, amounts, colours and roles; the first spelling of each."""
+    found = F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in (NAMES, *VALUES)])
+    named = F.filter(F.transform(found, F.trim), lambda e: ~F.lower(e).isin(ENTITY_STOP) & (F.length(e) >= 2))
+    pairs = F.transform(named, lambda e: F.struct(F.lower(e).alias("low"), e.alias("e")))
+    start = F.struct(F.array().cast("array<string>").alias("lows"), F.array().cast("array<string>").alias("es"))
+    step = lambda a, p: F.when(F.array_contains(a["lows"], p["low"]) | (F.size(a["es"]) >= most), a).otherwise(F.struct(F.array_append(a["lows"], p["low"]).alias("lows"), F.array_append(a["es"], p["e"]).alias("es")))
+    return F.aggregate(pairs, start, step, lambda a: a["es"])
 
 
 def cooccurrence(members: DataFrame) -> DataFrame:

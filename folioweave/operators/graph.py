@@ -2,22 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.tables import written
 from . import extract, segment
 
 RELATIONS = ("CONTAINS", "NEXT", "REFERENCES", "SIMILAR_TO", "HAS_TOPIC", "MENTIONS_ENTITY", "HAS_KEYWORD")
 
 
+#: What nodes have besides id and kind.
+PLACE = ("file_path", "idx", "text", "char_start", "char_end")
+
+
+def _nodes(df: DataFrame, node_id: Column, kind: Column | str, **own: Column) -> DataFrame:
+    """Nodes with what of PLACE is not in ``own`` as nulls."""
+    kinds = {"file_path": "string", "text": "string"}
+    return df.select(node_id.alias("id"), (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), *[own.get(c, F.lit(None)).cast(kinds.get(c, "int")).alias(c) for c in PLACE])
+
+
 def chunk_nodes(corpus: DataFrame, size: int = 4) -> DataFrame:
     groups = segment.sentence_groups(corpus, size)
-    return groups.select(T.chunk_id(F.col("file_path"), F.col("idx")).alias("id"), F.lit("chunk").alias("kind"), "file_path", "idx", "text")
+    return groups.select(T.chunk_id(F.col("file_path"), F.col("idx")).alias("id"), F.lit("chunk").alias("kind"), *PLACE)
 
 
 def document_nodes(corpus: DataFrame) -> DataFrame:
-    return corpus.select(T.document_id(F.col("file_path")).alias("id"), F.lit("document").alias("kind"), "file_path", F.lit(None).cast("int").alias("idx"), F.lit(None).cast("string").alias("text"))
+    return _nodes(corpus, T.document_id(F.col("file_path")), "document", file_path=F.col("file_path"))
 
 
 def contains_edges(chunks: DataFrame) -> DataFrame:
@@ -45,33 +56,109 @@ def reference_edges(hrefs: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def build(corpus: DataFrame, catalog: dict[str, list[str]] | None = None) -> tuple[DataFrame, DataFrame]:
-    """nodes (id, kind, file_path, idx, text) and edges (src, rel, dst) of a corpus of (file_path, text)."""
+    """nodes (id, kind and PLACE) and edges (src, rel, dst) of a corpus of (file_path, text)."""
     chunks = chunk_nodes(corpus)
     edges = contains_edges(chunks).unionByName(next_edges(chunks)).unionByName(keyword_edges(chunks))
     if catalog:
         edges = edges.unionByName(topic_edges(chunks, catalog))
     named = edges.where(F.col("rel").isin("HAS_KEYWORD", "HAS_TOPIC")).select("dst").distinct()
-    none = F.lit(None)
-    concepts = named.select(F.col("dst").alias("id"), F.substring_index("dst", ":", 1).alias("kind"), none.cast("string").alias("file_path"), none.cast("int").alias("idx"), none.cast("string").alias("text"))
+    concepts = _nodes(named, F.col("dst"), F.substring_index("dst", ":", 1))
     return document_nodes(corpus).unionByName(chunks).unionByName(concepts), edges
 
 
+def entity_edges(chunks: DataFrame, most: int = 8) -> DataFrame:
+    """MENTIONS_ENTITY edges, with the entity's name."""
+    each = chunks.select("id", F.explode(extract.entities(F.col("text"), most)).alias("name"))
+    return each.select(F.col("id").alias("src"), F.lit("MENTIONS_ENTITY").alias("rel"), T.entity_id(F.col("name")).alias("dst"), "name").dropDuplicates(["src", "dst"])
+
+
+def section_id(path: Column, slug: Column, occurrence: Column) -> Column:
+    return F.concat(F.lit("sec:"), path, F.lit(":"), slug, F.when(occurrence > 1, F.concat(F.lit("~"), occurrence.cast("string"))).otherwise(""))
+
+
+def build_markdown(corpus: DataFrame, catalog: dict[str, list[str]] | None = None, size: int = 4) -> tuple[DataFrame, DataFrame]:
+    """nodes (id, kind, PLACE, title, content_type) and edges (src, rel, dst) of Markdown files, with sections, entities, references and co-occurrence.
+
+    A repeated heading is a section of its own, with ~2 and so on at its id; a section spans its own chunks.  NEXT
+    links chunks below the same heading only.  Topics and entities of a chunk co-occur, keywords don't.
+    """
+    rows = segment.section_groups(corpus, size)
+    occurrence = F.dense_rank().over(Window.partitionBy("file_path", "slug").orderBy("island"))
+    total = corpus.select("file_path", F.length("text").alias("total"))
+    rows = rows.withColumn("section", F.when(F.col("slug").isNotNull(), section_id(F.col("file_path"), F.col("slug"), occurrence))).join(total, "file_path")
+    start = F.min("char_start").over(Window.partitionBy("file_path", "island"))
+    rows = rows.withColumn("id", T.chunk_id(F.col("file_path"), F.col("idx"))).withColumn("content_type", T.content_type(F.col("file_path"), F.col("title"), F.col("level"), start, F.col("total")))
+    rows = written(rows, "section-chunks")
+    doc = T.document_id(F.col("file_path"))
+    edge = lambda src, rel, dst: (src.alias("src"), F.lit(rel).alias("rel"), dst.alias("dst"))
+    before = Window.partitionBy("file_path").orderBy("idx")
+    nexts = rows.select("id", F.when(F.lag("island").over(before) == F.col("island"), F.lag("id").over(before)).alias("prev")).where("prev IS NOT NULL")
+    links = rows.select("id", "file_path", F.explode(F.array_distinct(T.links(F.col("text")))).alias("href"))
+    named = entity_edges(rows).select("src", "rel", "dst")
+    parts = [
+        rows.where("section IS NOT NULL").select(*edge(doc, "CONTAINS", F.col("section"))).distinct(), rows.select(*edge(F.coalesce("section", doc), "CONTAINS", F.col("id"))),
+        nexts.select(*edge(F.col("prev"), "NEXT", F.col("id"))), resolved(links, corpus).select(*edge(F.col("id"), "REFERENCES", T.document_id(F.col("target")))).distinct(), named, keyword_edges(rows),
+    ]
+    about = named
+    if catalog:
+        topics = topic_edges(rows, catalog)
+        parts.append(topics)
+        about = about.unionByName(topics)
+    parts.append(extract.cooccurrence(about.select(F.col("src").alias("id"), F.col("dst").alias("target"))))
+    edges = parts[0]
+    for part in parts[1:]:
+        edges = edges.unionByName(part)
+    edges = written(edges, "markdown-edges")
+    none = F.lit(None)
+    more = lambda df, title, kind: df.withColumn("title", title).withColumn("content_type", kind)
+    spans = rows.where("section IS NOT NULL").groupBy("section", "file_path").agg(F.min("char_start").alias("s"), F.max("char_end").alias("e"), F.min_by("title", "idx").alias("title"), F.min_by("content_type", "idx").alias("content_type"))
+    own = lambda *names: {n: F.col(n) for n in names}
+    sections = _nodes(spans, F.col("section"), "section", **own("file_path"), char_start=F.col("s"), char_end=F.col("e")).join(spans.select(F.col("section").alias("id"), "title", "content_type"), "id")
+    chunks = _nodes(rows, F.col("id"), "chunk", **own(*PLACE)).join(rows.select("id", "title", "content_type"), "id")
+    concepts = edges.where(F.col("rel").isin("HAS_KEYWORD", "HAS_TOPIC", "MENTIONS_ENTITY")).select("dst").distinct()
+    concepts = more(_nodes(concepts, F.col("dst"), F.substring_index("dst", ":", 1)), none.cast("string"), none.cast("string"))
+    documents = more(document_nodes(corpus), none.cast("string"), none.cast("string"))
+    return documents.unionByName(sections).unionByName(chunks).unionByName(concepts), edges
+
+
+def store(nodes: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
+    """A built graph as written tables, each read by what it is asked for: nodes by kind and in the order of files, edges by relation and by source, ways (edges in both directions) by where they begin."""
+    nodes = written(nodes.repartition("kind", "file_path").sortWithinPartitions("kind", "file_path", "idx"), "nodes", ["kind"])
+    edges = written(edges.repartitionByRange("rel", "src", "dst").sortWithinPartitions("rel", "src", "dst"), "edges", ["rel"])
+    both = edges.select("src", "rel", "dst").union(edges.select(F.col("dst").alias("src"), "rel", F.col("src").alias("dst")))
+    ways = written(both.distinct().repartitionByRange("src", "dst").sortWithinPartitions("src", "dst"), "ways")
+    return {"nodes": nodes, "edges": edges, "ways": ways}
+
+
+#: Ids whose ways are looked up by a filter that Parquet's statistics prune; beyond it the frontier is joined.
+LOOKED_UP = 1000
+
+
+def _from(ways: DataFrame, frontier: DataFrame) -> DataFrame:
+    """``ways`` that begin in the frontier (id)."""
+    ids = [r.id for r in frontier.select("id").limit(LOOKED_UP + 1).collect()]  # a bounded lookup, no frontier comes whole
+    return ways.where(F.col("src").isin(ids)) if len(ids) <= LOOKED_UP else ways
+
+
 def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(part, name, n): nodes by kind, edges by relation, and their totals."""
     count = lambda df, by, part: df.rollup(by).agg(F.count("*").alias("n")).select(F.lit(part).alias("part"), F.coalesce(by, F.lit("total")).alias("name"), "n")
     return count(nodes, "kind", "nodes").unionByName(count(edges, "rel", "edges"))
 
 
-def scan(nodes: DataFrame, kinds: list[str] | None = None, prefixes: list[str] | None = None, limit: int | None = None, offset: int = 0) -> DataFrame:
+def scan(nodes: DataFrame, kinds: list[str] | None = None, prefixes: list[str] | None = None, file_path: str | None = None, limit: int | None = None, offset: int = 0) -> DataFrame:
     """Nodes in scope, by file and place; the offset counts only with a limit."""
     if kinds:
         nodes = nodes.where(F.col("kind").isin(kinds))
+    if file_path is not None:
+        nodes = nodes.where(F.col("file_path") == file_path)
     if prefixes:
         test = F.lit(False)
         for p in prefixes:
             test = test | F.coalesce(F.col("file_path"), F.lit("")).startswith(p)
         nodes = nodes.where(test)
-    nodes = nodes.orderBy(F.col("file_path").asc_nulls_first(), F.col("idx").asc_nulls_first(), "id")
+    place = "char_start" if "char_start" in nodes.columns else "idx"
+    nodes = nodes.orderBy(F.col("file_path").asc_nulls_first(), F.col(place).asc_nulls_first(), "id")
     return nodes.offset(offset).limit(limit) if limit else nodes
 
 
@@ -98,40 +185,69 @@ def induced(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return edges.join(ids.select(F.col("id").alias("src")), "src", "left_semi").join(ids.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "rel", "dst")
 
 
-def expand(edges: DataFrame, seeds: DataFrame, hops: int = 1, rels: tuple[str, ...] = RELATIONS) -> DataFrame:
+def expand(edges: DataFrame, seeds: DataFrame, hops: int = 1, rels: tuple[str, ...] = RELATIONS, ways: DataFrame | None = None) -> DataFrame:
     """(id, hop, via_seed, dist) of all within ``hops`` of the seeds (id, dist), along edges either way.
 
     A node keeps its least hop and, of the ways there, the seed of least (dist, id).  The frontier is
-    joined to the edges once a hop; at most five hops.
+    joined to the ways once a hop, which are those of store() if given; at most five hops.
     """
     if isinstance(hops, bool) or not 0 <= hops <= 5:
         raise ValueError("hops go from 0 to 5")
-    used = edges.where(F.col("rel").isin(list(rels)))
-    ways = used.select("src", "dst").union(used.select("dst", "src"))
+    if ways is None:
+        used = edges.select("src", "rel", "dst")
+        ways = used.union(used.select(F.col("dst").alias("src"), "rel", F.col("src").alias("dst")))
+    ways = ways.where(F.col("rel").isin(list(rels))).select("src", "dst")
     seen = seeds.select("id", F.lit(0).alias("hop"), F.col("id").alias("via_seed"), F.col("dist").cast("double").alias("dist"))
     frontier = seen
     for hop in range(1, hops + 1):
-        reached = frontier.join(ways, frontier["id"] == ways["src"]).select(F.col("dst").alias("id"), "dist", "via_seed")
+        near = _from(ways, frontier)
+        reached = frontier.join(near, frontier["id"] == near["src"]).select(F.col("dst").alias("id"), "dist", "via_seed")
         best = reached.groupBy("id").agg(F.min(F.struct("dist", "via_seed")).alias("b")).join(seen.select("id"), "id", "left_anti")
-        frontier = best.select("id", F.lit(hop).alias("hop"), "b.via_seed", "b.dist")
+        frontier = written(best.select("id", F.lit(hop).alias("hop"), "b.via_seed", "b.dist"), "frontier")
         seen = seen.unionByName(frontier)
     return seen
 
 
-def trace(edges: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
+def trace(edges: DataFrame, seeds: DataFrame, hops: int = 2, ways: DataFrame | None = None) -> DataFrame:
     """(id, hop, path): one shortest path from a seed to every node reached, parents by least id, relations in between."""
-    ways = edges.select("src", "rel", "dst").union(edges.select(F.col("dst").alias("src"), "rel", F.col("src").alias("dst")))
+    if ways is None:
+        ways = edges.select("src", "rel", "dst").union(edges.select(F.col("dst").alias("src"), "rel", F.col("src").alias("dst")))
     seen = seeds.select("id", F.lit(0).alias("hop"), F.array("id").alias("path"))
     frontier = seen
     for hop in range(1, hops + 1):
-        reached = frontier.join(ways, frontier["id"] == ways["src"]).select(F.col("dst").alias("id"), F.concat("path", F.array(F.concat(F.lit("-"), "rel", F.lit("->")), "dst")).alias("path"))
+        near = _from(ways, frontier)
+        reached = frontier.join(near, frontier["id"] == near["src"]).select(F.col("dst").alias("id"), F.concat("path", F.array(F.concat(F.lit("-"), "rel", F.lit("->")), "dst")).alias("path"))
         best = reached.groupBy("id").agg(F.min("path").alias("path")).join(seen.select("id"), "id", "left_anti")
-        frontier = best.select("id", F.lit(hop).alias("hop"), "path")
+        frontier = written(best.select("id", F.lit(hop).alias("hop"), "path"), "frontier")
         seen = seen.unionByName(frontier)
     return seen
 
 
 def upsert(held: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows of ``new`` in place of those of ``held`` with the same keys, and the others of both."""
+    """The rows of ``new`` in place of those of ``held`` with the same keys, and the others of both; of rows of one key in ``new``, the greatest by its other columns."""
+    rest = [c for c in new.columns if c not in keys]
     both = held.withColumn("_batch", F.lit(0)).unionByName(new.withColumn("_batch", F.lit(1)))
-    return both.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_batch")))).where("_rank = 1").drop("_batch", "_rank")
+    order = [F.desc("_batch"), *[F.desc_nulls_last(c) for c in rest]]
+    return both.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rank = 1").drop("_batch", "_rank")
+
+
+def resolved(hrefs: DataFrame, known: DataFrame) -> DataFrame:
+    """(id, file_path, href, target) of links (id, file_path, href) to a known file (file_path): relative links only, without their anchor.
+
+    The link is joined to the folder of its file and its dots are worked out; it names the first known
+    file, by path, that this ends with or that ends with the link.  Both are equality joins: a known path is
+    looked up under each of its ends at a slash, of which it has as many as folders.
+    """
+    links = hrefs.where(~F.col("href").rlike("^(https?://|ftp://|#|mailto:)")).withColumn("bare", F.trim(F.substring_index("href", "#", 1))).where("bare <> ''")
+    folder = F.regexp_extract("file_path", "^(.*/)?[^/]*$", 1)
+    whole = F.split(F.concat(F.when(F.col("bare").startswith("/"), "").otherwise(folder), "bare"), "/")
+    none = F.array().cast("array<string>")
+    parts = F.aggregate(whole, none, lambda a, p: F.when(p.isin("", "."), a).when(p == "..", F.slice(a, F.lit(1), F.greatest(F.lit(0), F.size(a) - 1))).otherwise(F.array_append(a, p)))
+    links = links.select("id", "file_path", "href", "bare", parts.alias("parts"))
+    ends = lambda parts, path: F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "/")) if path is None else F.array_distinct(F.concat(F.array(path), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "/"))))
+    # known paths that the worked-out link ends with, and known paths that end with the link
+    one = links.where(F.size("parts") > 0).select("id", "file_path", "href", F.explode(ends(F.col("parts"), None)).alias("key")).join(known.select(F.col("file_path").alias("target")), F.col("key") == F.col("target"))
+    tails = known.select(F.col("file_path").alias("target"), F.explode(ends(F.split("file_path", "/"), F.col("file_path"))).alias("tail"))
+    two = links.join(tails, F.col("bare") == F.col("tail"))
+    both = one.select("id", "file_path", "href", "target").union(two.select("id", "file_path", "href", "target"))
+    return both.groupBy("id", "file_path", "href").agg(F.min("target").alias("target"))

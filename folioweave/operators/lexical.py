@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import re
+import unicodedata
 
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.tables import written
 
 K1, B = 1.2, 0.75
 
@@ -19,8 +21,21 @@ def postings(chunks: DataFrame) -> DataFrame:
     return each.groupBy("term", "id", "length").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
 
 
+def store(chunks: DataFrame) -> dict[str, DataFrame]:
+    """Postings and sizes as written tables: postings in the order of terms, so that a query reads those of its own."""
+    index = written(postings(chunks).repartitionByRange("term", "id").sortWithinPartitions("term", "id"), "postings")
+    n, mean = corpus_size(chunks)
+    return {"postings": index, "sizes": written(chunks.sparkSession.createDataFrame([(n, mean)], "chunks long, mean double"), "sizes")}
+
+
+def has_index(tables: dict[str, DataFrame]) -> bool:
+    return "postings" in tables and not tables["postings"].isEmpty()
+
+
 def terms_of(query: str) -> list[str]:
-    return re.findall("[a-z0-9]+", query.lower())
+    """The query's terms as search_terms() gives them."""
+    bare = "".join(x for x in unicodedata.normalize("NFD", query.lower()) if not unicodedata.combining(x))
+    return regex.findall(r"[\p{L}\p{N}\p{Co}]+", bare)
 
 
 def _shifted(positions: Column, by: int) -> Column:
@@ -37,18 +52,22 @@ def _phrase(index: DataFrame, terms: list[str]) -> DataFrame:
     return starts.where(F.size(at) > 0).select("id")
 
 
-def bm25(index: DataFrame, query: str, chunks: int, mean_length: float, limit: int = 24, phrase_first: bool = True) -> DataFrame:
+def bm25(index: DataFrame, query: str, chunks: int, mean_length: float, limit: int = 24, phrase_first: bool = True, scope: DataFrame | None = None) -> DataFrame:
     """(id, score, rank) by BM25 over the query's terms; only chunks with the exact phrase if there are any."""
     terms = terms_of(query)
     hits = index.where(F.col("term").isin(sorted(set(terms))))
+    if scope is not None:  # the ids asked for; how rare a term is stays that of the corpus
+        scoped = hits.join(scope.select("id"), "id", "left_semi")
+    else:
+        scoped = hits
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     if phrase_first and len(terms) > 1:
-        exact = _phrase(index, terms)
+        exact = written(_phrase(index, terms) if scope is None else _phrase(index, terms).join(scope.select("id"), "id", "left_semi"), "phrase")
         if not exact.isEmpty():
-            hits = hits.join(exact, "id", "left_semi")
+            scoped = scoped.join(exact, "id", "left_semi")
     idf = F.greatest(F.lit(1e-6), F.log((F.lit(float(chunks)) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     gain = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(mean_length)))
-    scored = hits.join(F.broadcast(df), "term").groupBy("id").agg(F.round(F.sum(gain), 6).alias("score"))  # df: a row per query term
+    scored = scoped.join(F.broadcast(df), "term").groupBy("id").agg(F.round(F.sum(gain), 6).alias("score"))  # df: a row per query term
     top = scored.orderBy(F.desc("score"), "id").limit(limit)
     rank = F.row_number().over(Window.orderBy(F.desc("score"), "id"))
     return top.withColumn("rank", rank)

@@ -2,74 +2,158 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.tables import written
 from . import graph
 
 RRF = 60
 LEXICAL_BASE, LEXICAL_STEP = 0.45, 0.01
-WEIGHTS = {"HAS_TOPIC": 1.0, "MENTIONS_ENTITY": 0.8, "HAS_KEYWORD": 0.6, "REFERENCES": 0.7, "SIMILAR_TO": 0.9, "CO_OCCURS_WITH": 0.25, "NEXT": 0.3, "CONTAINS": 0.2}
+WEIGHTS = {"CO_OCCURS_WITH": 0.05, "NEXT": 0.1, "CONTAINS": 0.2, "REFERENCES": 0.5, "SIMILAR_TO": 0.8, "HAS_KEYWORD": 1.0, "MENTIONS_ENTITY": 2.5, "HAS_TOPIC": 3.0}
 KIND_ORDER = {"chunk": 0, "section": 1, "document": 2}
+#: What is kept in the graph and led through, but is neither a seed nor a result.
+PREAMBLE = ("front_matter", "reference")
+
+
+def in_scope(prefixes: list[str] | None = None, kinds: list[str] | None = None) -> Column:
+    """Whether a node's file begins with one of ``prefixes`` and its kind is one of ``kinds``; nothing given, all are."""
+    test = F.lit(True)
+    if kinds:
+        test = test & F.col("kind").isin(list(kinds))
+    if prefixes:
+        test = test & F.coalesce(F.greatest(F.lit(False), *[F.col("file_path").startswith(p) for p in prefixes]), F.lit(False))
+    return test
+
+
+def is_content(nodes: DataFrame) -> Column:
+    """False of front matter and reference lists; of a table without content types, True."""
+    kept = ~F.coalesce(F.col("file_path"), F.lit("")).endswith("reference.md") if "file_path" in nodes.columns else F.lit(True)
+    return kept & ~F.coalesce(F.col("content_type"), F.lit("")).isin(*PREAMBLE) if "content_type" in nodes.columns else kept
+
+
+def seed_candidates(found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``found`` (id, rank, ...) without front matter and reference lists, ranked anew; it is a channel's few dozen rows."""
+    kept = found.join(nodes.where(is_content(nodes)).select("id"), "id", "left_semi")
+    return kept.withColumn("rank", F.row_number().over(Window.orderBy("rank", "id")))
 
 
 def fuse(dense: DataFrame, lexical: DataFrame, k: int = 8) -> DataFrame:
-    """(id, score, dist, rank): reciprocal ranks of dense (id, distance, rank) and lexical (id, rank) added up.
+    """(id, score, dist, self_dist, rank): reciprocal ranks of dense (id, distance, rank) and lexical (id, rank) added up.
 
-    A dense seed keeps its distance; one that only words found gets a distance by its lexical rank.
+    A dense seed keeps its distance.  One that only words found has a distance by its lexical rank for
+    its neighbours, and for itself one just behind the best dense seed.
     """
     d = dense.select("id", "distance", F.col("rank").alias("dr"))
     both = d.join(lexical.select("id", F.col("rank").alias("lr")), "id", "full_outer")
     part = lambda r: F.coalesce(1.0 / (RRF + F.col(r) - 1), F.lit(0.0))
-    scored = both.select("id", F.round(part("dr") + part("lr"), 8).alias("score"), F.round(F.coalesce("distance", LEXICAL_BASE + LEXICAL_STEP * (F.col("lr") - 1)), 6).alias("dist"), "dr", "lr")
+    best = F.coalesce(F.min("distance").over(Window.partitionBy()), F.lit(LEXICAL_BASE))  # over a channel's few dozen rows
+    far = LEXICAL_BASE + LEXICAL_STEP * (F.col("lr") - 1)
+    scored = both.select(
+        "id", F.round(part("dr") + part("lr"), 8).alias("score"), F.round(F.coalesce("distance", far), 6).alias("dist"),
+        F.round(F.coalesce("distance", F.least(best + LEXICAL_STEP * F.col("lr"), far)), 6).alias("self_dist"), "dr", "lr",
+    )
     order = [F.desc("score"), F.coalesce("dr", F.lit(1 << 30)), "lr", "id"]
     top = scored.orderBy(*order).limit(k)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order))).select("id", "score", "dist", "rank")
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order))).select("id", "score", "dist", "self_dist", "rank")
 
 
 def boosts(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, boost): weights of the edges at each node within ``ids``, a loop once."""
-    weight = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in WEIGHTS.items() for x in kv]), F.col("rel")), F.lit(0.1))
+    weight = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in WEIGHTS.items() for x in kv]), F.col("rel")), F.lit(0.0))
     ends = graph.induced(edges, ids).select(weight.alias("w"), F.explode(F.array_distinct(F.array("src", "dst"))).alias("id"))
     return ends.groupBy("id").agg(F.round(F.sum("w"), 4).alias("boost"))
 
 
-def query(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, hops: int = 1, most: int = 25, prefixes: list[str] | None = None) -> DataFrame:
-    """(id, kind, hop, dist, boost, rank): nodes near the seeds (id, dist) by distance, hop, boost, kind and id."""
-    near = graph.expand(edges, seeds, hops)
-    rows = near.join(nodes.select("id", "kind", "file_path", "text"), "id")
-    if prefixes:
-        test = F.lit(False)
-        for p in prefixes:
-            test = test | F.coalesce(F.col("file_path"), F.lit("")).startswith(p)
-        rows = rows.where(test)
-    rows = rows.join(boosts(edges, near.select("id")), "id", "left")
-    boost = F.round(F.coalesce("boost", F.lit(0.0)) + T.short_boost(F.col("kind"), F.col("text")), 4)
-    kind = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in KIND_ORDER.items() for x in kv]), F.col("kind")), F.lit(99))
-    rows = rows.select("id", "kind", "hop", F.round("dist", 6).alias("dist"), boost.alias("boost"), kind.alias("ko"))
+def _kind_order() -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in KIND_ORDER.items() for x in kv]), F.col("kind")), F.lit(99))
+
+
+def _near(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, hops: int, ways: DataFrame | None) -> DataFrame:
+    """Nodes within ``hops`` with hop, via_seed and dist: a seed's own distance, of others that of the seed that reached them."""
+    near = graph.expand(edges, seeds, hops, ways=ways)
+    if "self_dist" in seeds.columns:
+        own = seeds.select("id", F.col("self_dist").cast("double").alias("self_dist"))
+        near = near.join(F.broadcast(own), "id", "left").withColumn("dist", F.when(F.col("hop") == 0, F.coalesce("self_dist", "dist")).otherwise(F.col("dist"))).drop("self_dist")  # seeds are some dozens
+    return near.join(nodes, "id")
+
+
+def _boosted(rows: DataFrame, edges: DataFrame, most: int) -> DataFrame:
+    """``rows`` with boost; where more than ten times ``most`` were reached, it is 0 for all."""
+    few = rows.limit(10 * most + 1).count() <= 10 * most
+    if not few:
+        return rows.withColumn("boost", F.lit(0.0))
+    return rows.join(boosts(edges, rows.select("id")), "id", "left").withColumn("boost", F.coalesce("boost", F.lit(0.0)))
+
+
+def query(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, hops: int = 1, most: int = 25, prefixes: list[str] | None = None, kinds: list[str] | None = None, ways: DataFrame | None = None) -> DataFrame:
+    """(id, kind, hop, dist, boost, relevance, rank): nodes near the seeds (id, dist and perhaps self_dist) by distance, hop, boost, kind and id.
+
+    Front matter and reference lists are led through and not returned, and so is what is out of scope.
+    """
+    rows = _boosted(written(_near(nodes, edges, seeds, hops, ways), "near"), edges, most)
+    rows = rows.where(in_scope(prefixes, kinds) & is_content(nodes))
+    boost = F.round(F.col("boost") + T.short_boost(F.col("kind"), F.col("text")), 4)
+    rows = rows.select("id", "kind", "hop", F.round("dist", 6).alias("dist"), boost.alias("boost"), T.relevance(F.col("dist")).alias("relevance"), _kind_order().alias("ko"))
     order = ["dist", "hop", F.desc("boost"), "ko", "id"]
     return rows.orderBy(*order).limit(most).withColumn("rank", F.row_number().over(Window.orderBy(*order))).drop("ko")
 
 
-def pack(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, hops: int = 1, most: int = 15, chars: int = 2000) -> DataFrame:
-    """(id, kind, hop, rank, excerpt): as query(), but documents and sections go where a chunk of their file was reached."""
-    near = graph.expand(edges, seeds, hops)
-    rows = near.join(nodes.select("id", "kind", "file_path", "text"), "id")
+def pack(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, hops: int = 1, most: int = 15, chars: int = 2000, prefixes: list[str] | None = None, kinds: list[str] | None = None, traced: bool = False, ways: DataFrame | None = None) -> DataFrame:
+    """(id, kind, hop, rank, excerpt): as query(), but documents and sections go where a chunk of their file was reached.
+
+    With ``traced``, also ``path``: the steps from a seed, as graph.trace() gives them, over all relations.
+    """
+    near = written(_near(nodes, edges, seeds, hops, ways), "near")
+    rows = _boosted(near, edges, most).where(in_scope(prefixes, kinds) & is_content(nodes))
     files = rows.where("kind = 'chunk'").select("file_path").distinct()
     coarse = rows.where(F.col("kind").isin("document", "section")).join(files, "file_path", "left_anti")
     rows = rows.where(~F.col("kind").isin("document", "section")).unionByName(coarse)
-    rows = rows.join(boosts(edges, near.select("id")), "id", "left").withColumn("boost", F.coalesce("boost", F.lit(0.0)))
-    kind = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in KIND_ORDER.items() for x in kv]), F.col("kind")), F.lit(99))
-    order = ["dist", "hop", F.desc("boost"), kind, "id"]
+    order = ["dist", "hop", F.desc("boost"), _kind_order(), "id"]
     top = rows.orderBy(*order).limit(most).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
-    return top.select("id", "kind", "hop", "rank", T.excerpt(F.col("text"), chars).alias("excerpt"))
+    top = top.select("id", "kind", "hop", "rank", T.excerpt(F.col("text"), chars).alias("excerpt"))
+    if not traced:
+        return top
+    paths = graph.trace(graph.induced(edges, near.select("id")), seeds, max(1, hops))
+    return top.join(paths.select("id", "path"), "id", "left")
+
+
+def path_steps(paths: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, step, node, kind, label, quote, cite) of paths (id, path): a row per step; of relations the label, of nodes with text a quote."""
+    each = paths.select("id", F.posexplode("path").alias("at", "x"))
+    steps = each.where("at % 2 = 0").select("id", F.expr("at div 2").cast("int").alias("step"), F.col("x").alias("node"))
+    rels = each.where("at % 2 = 1").select("id", F.expr("at div 2 + 1").cast("int").alias("step"), F.regexp_replace("x", "^-|->$", "").alias("rel"))
+    start = F.col("char_start") if "char_start" in nodes.columns else F.lit(None).cast("int")
+    own = nodes.select(F.col("id").alias("node"), "kind", T.quote(F.col("text")).alias("quote"), T.cite(F.col("file_path"), start).alias("cite"))
+    return steps.join(rels, ["id", "step"], "left").join(own, "node", "left").select("id", "step", "node", "kind", T.hop_label(F.col("rel")).alias("label"), "quote", "cite")
 
 
 def metrics(ranked: DataFrame, expected: DataFrame, k: int = 10) -> DataFrame:
-    """(qid, recall, mrr, ndcg) at k of ranked (qid, id, rank) against expected (qid, id); the ideal gain is that of all expected, k at most."""
-    hits = expected.join(ranked.where(F.col("rank") <= k), ["qid", "id"], "left")
+    """(qid, recall, recall_any, recall_all, mrr, ndcg, ndcg_found) at k of ranked (qid, id, rank) against expected (qid, id).
+
+    The ideal gain of ``ndcg`` is that of all expected, k at most; of ``ndcg_found``, of as many as were retrieved.
+    """
+    top = ranked.where(F.col("rank") <= k)
+    hits = expected.join(top, ["qid", "id"], "left")
     gain = F.when(F.col("rank").isNotNull(), 1 / F.log2(F.col("rank") + 1)).otherwise(0.0)
     each = hits.groupBy("qid").agg(F.count("*").alias("n"), F.count("rank").alias("found"), F.min("rank").alias("first"), F.sum(gain).alias("gain"))
-    ideal = F.aggregate(F.sequence(F.lit(1), F.least("n", F.lit(k)).cast("int")), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1))
-    return each.select("qid", F.round(F.col("found") / F.col("n"), 6).alias("recall"), F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 6).alias("mrr"), F.round(F.col("gain") / ideal, 6).alias("ndcg"))
+    each = each.join(top.groupBy("qid").agg(F.count("*").alias("got")), "qid", "left")
+    ideal = lambda n: F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), n).cast("int")), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1))
+    return each.select(
+        "qid", F.round(F.col("found") / F.col("n"), 6).alias("recall"), (F.col("found") > 0).cast("int").alias("recall_any"), (F.col("found") == F.col("n")).cast("int").alias("recall_all"),
+        F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 6).alias("mrr"), F.round(F.col("gain") / ideal(F.least("n", F.lit(k))), 6).alias("ndcg"),
+        F.round(F.col("gain") / ideal(F.least("n", F.coalesce("got", F.lit(0)))), 6).alias("ndcg_found"),
+    )
+
+
+def best_of_session(hits: DataFrame, sessions: DataFrame) -> DataFrame:
+    """(session, rank): sessions by the best rank of their hits (id, file_path, rank), then those of ``sessions`` (session) without any, by name."""
+    best = hits.select(T.session_of(F.col("file_path")).alias("session"), "rank").groupBy("session").agg(F.min("rank").alias("best"))
+    rows = sessions.select("session").distinct().join(best, "session", "full_outer")
+    return rows.select("session", F.row_number().over(Window.orderBy(F.col("best").asc_nulls_last(), "session")).alias("rank"))
+
+
+def overlap(words: Column, text: Column) -> Column:
+    """Share of ``words`` that stand in the text, in lower case; 0 without words."""
+    return F.when(F.size(words) > 0, F.size(F.filter(words, lambda w: F.contains(F.lower(text), w))) / F.size(words)).otherwise(0.0)

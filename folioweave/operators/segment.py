@@ -11,19 +11,48 @@ SENTENCE_END = "(?<=[.!?])\\s+(?=[A-Z\"'(\\[])"
 VERSE = "^(\\d+):(\\d+)\\s"
 
 
+#: What is taken off the ends of sentences.
+BLANKS = " \t\n\r\x0b\x0c"
+#: Elements that prefix sums take together.
+STRIDE = 256
+
+
 def sentences(text: Column) -> Column:
     """Cut at white space after . ! or ? and before a capital, quote or bracket; of one sentence, at blank lines; else the whole text."""
-    whole = lambda parts: F.filter(F.transform(parts, F.trim), lambda s: s != "")
+    whole = lambda parts: F.filter(F.transform(parts, lambda s: F.btrim(s, F.lit(BLANKS))), lambda s: s != "")
     first, blank = whole(F.split(text, SENTENCE_END)), whole(F.split(text, "\\n\\s*\\n"))
     return F.when(F.size(first) > 1, first).otherwise(blank)
 
 
+def prefix_sums(lengths: Column) -> Column:
+    """Sums of what stands before each element of an array of ints, by way of sums over strides."""
+    add = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x)
+    strides = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(1), F.size(lengths)) - 1, F.lit(STRIDE)), lambda k: add(F.slice(lengths, k + 1, STRIDE)))
+    before = F.aggregate(strides, F.array(F.lit(0)), lambda a, x: F.array_append(a, F.element_at(a, -1) + x))
+    return F.transform(lengths, lambda _, i: F.get(before, F.floor(i / STRIDE).cast("int")) + add(F.slice(lengths, F.floor(i / STRIDE).cast("int") * STRIDE + 1, i % STRIDE)))
+
+
+def sentence_spans(text: Column) -> Column:
+    """array<struct<start, end>>: where each of sentences() stands in the text, in characters from 0."""
+    bare = lambda parts: F.filter(parts, lambda s: F.btrim(s, F.lit(BLANKS)) != "")
+    first, blank = F.split(text, "(?<=[.!?])(?=\\s+[A-Z\"'(\\[])"), F.split(text, "(?=\\n\\s*\\n)")
+    parts = F.when(F.size(bare(first)) > 1, first).otherwise(blank)
+    spans = lambda p: F.zip_with(p, prefix_sums(F.transform(p, lambda s: F.length(s))), lambda s, b: F.struct((b + F.length(s) - F.length(F.ltrim(s, F.lit(BLANKS)))).alias("start"), (b + F.length(F.rtrim(s, F.lit(BLANKS)))).alias("end")))
+    return F.filter(F.element_at(F.transform(F.array(parts), spans), 1), lambda s: s["end"] > s["start"])
+
+
 def sentence_groups(corpus: DataFrame, size: int = 4, least: int = 50) -> DataFrame:
-    """(file_path, idx, text): groups of ``size`` sentences of at least ``least`` characters, numbered from 0 in each file."""
-    cut = corpus.select("file_path", sentences(F.col("text")).alias("s")).where(F.size("s") > 0)
-    groups = F.transform(F.sequence(F.lit(0), F.size("s") - 1, F.lit(size)), lambda i: F.array_join(F.slice("s", i + 1, size), " "))
-    kept = F.filter(groups, lambda g: F.length(g) >= least)
-    return cut.select("file_path", F.posexplode(kept).alias("idx", "text"))
+    """(file_path, idx, text, char_start, char_end): groups of ``size`` sentences, numbered from 0 in each file.
+
+    A group's text is the part of the source that it spans; dropped are those that are shorter than ``least``
+    with single spaces between their sentences.
+    """
+    cut = corpus.select("file_path", "text", sentence_spans(F.col("text")).alias("s")).where(F.size("s") > 0)
+    groups = F.transform(F.sequence(F.lit(0), F.size("s") - 1, F.lit(size)), lambda i: F.slice("s", i + 1, size))
+    joined = lambda g: F.aggregate(g, F.lit(0), lambda a, x: a + x["end"] - x["start"]) + F.size(g) - 1
+    kept = F.transform(F.filter(groups, lambda g: joined(g) >= least), lambda g: F.struct(F.element_at(g, 1)["start"].alias("s"), F.element_at(g, -1)["end"].alias("e")))
+    each = cut.select("file_path", "text", F.posexplode(kept).alias("idx", "g"))
+    return each.select("file_path", "idx", F.substring("text", F.col("g.s") + 1, F.col("g.e") - F.col("g.s")).alias("text"), F.col("g.s").alias("char_start"), F.col("g.e").alias("char_end"))
 
 
 def fixed_size_groups(corpus: DataFrame, size: int = 512, overlap: int = 64, least: int = 50) -> DataFrame:
@@ -47,7 +76,8 @@ def fixed_size_groups(corpus: DataFrame, size: int = 512, overlap: int = 64, lea
         return F.struct(kept["t"].alias("t"), kept["n"].alias("n"))
 
     def step(a: Column, x: Column) -> Column:
-        full = (F.size(a["open"]) > 0) & (a["n"] + F.length(x) > size)
+        # the open group counts as it stands joined, spaces included
+        full = (F.size(a["open"]) > 0) & (a["n"] + F.size(a["open"]) - 1 + F.length(x) > size)
         carried = tail(a["open"])
         return F.when(full, F.struct(F.concat(a["done"], F.array(a["open"])).alias("done"), F.concat(carried["t"], F.array(x)).alias("open"), (carried["n"] + F.length(x)).alias("n"))).otherwise(
             F.struct(a["done"].alias("done"), F.concat(a["open"], F.array(x)).alias("open"), (a["n"] + F.length(x)).alias("n"))
@@ -59,16 +89,19 @@ def fixed_size_groups(corpus: DataFrame, size: int = 512, overlap: int = 64, lea
 
 
 def heading_sections(corpus: DataFrame) -> DataFrame:
-    """(file_path, part, level, title, body): text before the first heading has no title; blank untitled parts are dropped."""
+    """(file_path, part, level, title, body, start): text before the first heading has no title; blank untitled parts are dropped; ``start`` is the body's place in the file."""
     lines = corpus.select("file_path", F.posexplode(F.split("text", "\n")).alias("at", "line"))
     head = F.regexp_extract("line", "^(#{1,6})\\s+(.+)$", 1)
     w = Window.partitionBy("file_path").orderBy("at")
     lines = lines.withColumn("level", F.length(head)).withColumn("part", F.sum(F.when(F.col("level") > 0, 1).otherwise(0)).over(w))
+    lines = lines.withColumn("before", (F.sum(F.length("line") + 1).over(w) - F.length("line") - 1).cast("int"))
     title = F.max(F.when(F.col("level") > 0, F.trim(F.regexp_extract("line", "^(#{1,6})\\s+(.+)$", 2))))
     rows = F.array_sort(F.collect_list(F.when(F.col("level") == 0, F.struct("at", "line"))))
-    parts = lines.groupBy("file_path", "part").agg(F.max("level").alias("level"), title.alias("title"), rows.alias("rows"))
-    body = F.btrim(F.array_join(F.transform("rows", lambda r: r["line"]), "\n"), F.lit(" \n\t\r"))
-    parts = parts.select("file_path", "part", F.when(F.col("level") > 0, F.col("level")).alias("level"), "title", body.alias("body"))
+    parts = lines.groupBy("file_path", "part").agg(F.max("level").alias("level"), title.alias("title"), rows.alias("rows"), F.min(F.when(F.col("level") == 0, F.col("before"))).alias("before"))
+    whole = F.array_join(F.transform("rows", lambda r: r["line"]), "\n")
+    blanks = F.lit(" \n\t\r")
+    start = F.coalesce("before", F.lit(0)) + F.length(whole) - F.length(F.ltrim(whole, blanks))
+    parts = parts.select("file_path", "part", F.when(F.col("level") > 0, F.col("level")).alias("level"), "title", F.btrim(whole, blanks).alias("body"), start.alias("start"))
     return parts.where("title IS NOT NULL OR body <> ''")
 
 
@@ -89,17 +122,65 @@ def is_verse_document(text: Column) -> Column:
 
 
 def verse_groups(corpus: DataFrame, size: int = 5, least: int = 30) -> DataFrame:
-    """(file_path, chapter, verse_start, verse_end, text): ``size`` verses of one chapter of a file together."""
+    """(file_path, book, chapter, verse_start, verse_end, text): ``size`` verses of one chapter of a book together; a book is what stands below a heading of the second level."""
     lines = corpus.select("file_path", F.posexplode(F.split("text", "\n")).alias("at", "line"))
     anchor = F.col("line").rlike(VERSE)
     w = Window.partitionBy("file_path").orderBy("at")
+    lines = lines.withColumn("book", F.last(F.when(F.col("line").rlike("^##\\s"), F.trim(F.regexp_replace("line", "^##\\s+", ""))), True).over(w))
     lines = lines.withColumn("verse_no", F.sum(F.when(anchor, 1).otherwise(0)).over(w)).where((F.col("verse_no") > 0) & ~F.col("line").rlike("^#{1,6}\\s"))
-    verse = lines.groupBy("file_path", "verse_no").agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("rows"))
+    verse = lines.groupBy("file_path", "verse_no").agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("rows"), F.min_by("book", "at").alias("book"))
     flat = F.trim(F.regexp_replace(F.array_join(F.transform("rows", lambda r: r["line"]), " "), "\\s+", " "))
-    verse = verse.select("file_path", "verse_no", flat.alias("line"))
+    verse = verse.select("file_path", "verse_no", "book", flat.alias("line"))
     verse = verse.select(
-        "file_path", "verse_no", F.regexp_extract("line", VERSE, 1).cast("int").alias("chapter"), F.regexp_extract("line", VERSE, 2).cast("int").alias("verse"), F.trim(F.regexp_replace("line", VERSE, "")).alias("text")
+        "file_path", "verse_no", "book", F.regexp_extract("line", VERSE, 1).cast("int").alias("chapter"), F.regexp_extract("line", VERSE, 2).cast("int").alias("verse"), F.trim(F.regexp_replace("line", VERSE, "")).alias("text")
     ).where("text <> ''")
-    k = F.floor((F.row_number().over(Window.partitionBy("file_path", "chapter").orderBy("verse_no")) - 1) / size)
-    groups = verse.withColumn("k", k).groupBy("file_path", "chapter", "k").agg(F.min("verse").alias("verse_start"), F.max("verse").alias("verse_end"), F.array_sort(F.collect_list(F.struct("verse_no", "text"))).alias("rows"))
-    return groups.select("file_path", "chapter", "verse_start", "verse_end", F.array_join(F.transform("rows", lambda r: r["text"]), " ").alias("text")).where(F.length("text") >= least)
+    k = F.floor((F.row_number().over(Window.partitionBy("file_path", "book", "chapter").orderBy("verse_no")) - 1) / size)
+    groups = verse.withColumn("k", k).groupBy("file_path", "book", "chapter", "k").agg(F.min("verse").alias("verse_start"), F.max("verse").alias("verse_end"), F.array_sort(F.collect_list(F.struct("verse_no", "text"))).alias("rows"))
+    return groups.select("file_path", "book", "chapter", "verse_start", "verse_end", F.array_join(F.transform("rows", lambda r: r["text"]), " ").alias("text")).where(F.length("text") >= least)
+
+
+def section_groups(corpus: DataFrame, size: int = 4, least: int = 50) -> DataFrame:
+    """sentence_groups() within the sections of Markdown files: (file_path, idx, text, char_start, char_end, title, level, slug, island).
+
+    Groups never cross a heading; indices run through a file.  An island is a run of groups below one heading, or
+    of neighbours with the same; ``slug`` is null where there is no heading.
+    """
+    parts = heading_sections(corpus).where("body <> ''")
+    key = F.concat("file_path", F.lit("\u0001"), F.lpad(F.col("part").cast("string"), 9, "0"))
+    groups = sentence_groups(parts.select(key.alias("file_path"), F.col("body").alias("text")), size, least).withColumnRenamed("file_path", "key").withColumnRenamed("idx", "g")
+    rows = groups.join(parts.select(key.alias("key"), "file_path", "part", "title", "level", "start"), "key")
+    w = Window.partitionBy("file_path").orderBy("part", "g")
+    rows = rows.withColumn("idx", F.row_number().over(w) - 1).withColumn("slug", T.heading_slug(F.col("title")))
+    new = F.when((F.col("idx") > 0) & F.lag("slug").over(w).eqNullSafe(F.col("slug")), 0).otherwise(1)
+    rows = rows.withColumn("new", new).withColumn("island", F.sum("new").over(w))
+    return rows.select("file_path", "idx", "text", (F.col("start") + F.col("char_start")).alias("char_start"), (F.col("start") + F.col("char_end")).alias("char_end"), "title", "level", "slug", "island")
+
+
+#: How files are cut by default: by the ends of their names, first match; then everything as plain text.
+ROUTES = (((".md", ".markdown", ".mdx"), "sections"), ((".txt", ".rst", ""), "plain"))
+
+
+def chunks(corpus: DataFrame, strategy: str | None = None, size: int = 4, least: int = 50, most: int = 0) -> DataFrame:
+    """(file_path, idx, text, strategy) of every file by ``strategy`` (sections, plain, fixed or verse), or by what its name and text call for.
+
+    Markdown goes by sections, verse documents by verses, all else as plain text; a verse document without verse
+    groups falls back to sections.  ``most`` keeps that many chunks of a file at most.
+    """
+    if strategy not in (None, "sections", "plain", "fixed", "verse"):
+        raise ValueError(f"no such strategy: {strategy}")
+    route = F.lit("plain")
+    for ends, name in reversed(ROUTES):
+        route = F.when(F.exists(F.array(*map(F.lit, ends)), lambda e: F.lower("file_path").endswith(e)), name).otherwise(route)
+    route = F.when(is_verse_document(F.col("text")), "verse").otherwise(route) if strategy is None else F.lit(strategy)
+    files = corpus.select("file_path", "text", route.alias("strategy"))
+    part = lambda name: files.where(F.col("strategy") == name).select("file_path", "text")
+    w = Window.partitionBy("file_path").orderBy("book", "chapter", "verse_start")
+    verse = verse_groups(part("verse"), least=min(30, least)).select("file_path", (F.row_number().over(w) - 1).alias("idx"), "text")
+    unversed = part("verse").join(verse.select("file_path").distinct(), "file_path", "left_anti")
+    found = None
+    for name, rows in (
+        ("sections", section_groups(part("sections").unionByName(unversed), size, least)), ("plain", sentence_groups(part("plain"), size, least)), ("fixed", fixed_size_groups(part("fixed"), least=least)), ("verse", verse),
+    ):
+        rows = rows.select("file_path", "idx", "text", F.lit(name).alias("strategy"))
+        found = rows if found is None else found.unionByName(rows)
+    return found.where(F.col("idx") < most) if most else found

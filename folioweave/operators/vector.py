@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
+
+#: Vectors of a block: two blocks and their products are what a task holds.
+BLOCK = 2048
+
 
 def dot(a: Column, b: Column) -> Column:
     """Dot product in double; with unit vectors, the cosine."""
@@ -34,45 +41,102 @@ def nearest(vectors: DataFrame, query: list[float], k: int = 10, where: Column |
     if isinstance(k, bool) or not 1 <= k <= 100:
         raise ValueError("k goes from 1 to 100")
     rows = vectors if where is None else vectors.where(where)
-    distance = F.round(1 - dot(F.col("vector"), F.array(*[F.lit(float(x)) for x in query])), 6)
-    top = rows.select("id", distance.alias("distance")).orderBy("distance", "id").limit(k)
+    # a sum of products with constants, which is compiled with the scan
+    same = F.lit(0.0)
+    for place, x in enumerate(query):
+        same = same + F.get("vector", F.lit(place)).cast("double") * F.lit(float(x))
+    top = rows.select("id", F.round(1 - same, 6).alias("distance")).orderBy("distance", "id").limit(k)
     return top.withColumn("rank", F.row_number().over(Window.orderBy("distance", "id")))
 
 
-def pairs_in_blocks(vectors: DataFrame, blocks: int = 8) -> DataFrame:
-    """(a, b, similarity) of all ordered pairs.  Exact, so quadratic by nature: a stated set against itself, in blocks.
+def neighbours_in_blocks(vectors: DataFrame, k: int = 0, threshold: float | None = None) -> DataFrame:
+    """(a, b, similarity, r): of each vector a, those at ``threshold`` or above, the ``k`` most similar if k, in the order r; ties go by b.
 
-    Each row goes to ``blocks`` of the block pairs, so that a task holds two blocks and not a whole side.
+    Exact, so quadratic by nature: the set against itself, in blocks of BLOCK, each pair of blocks once, as a
+    matrix product.  Of each pair of blocks only what may be among the k leaves the task.
     """
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    rows = vectors.select("id", "vector", block.alias("block"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = rows.select(F.col("id").alias("a"), F.col("vector").alias("va"), F.col("block").alias("x"), other.alias("y"))
-    right = rows.select(F.col("id").alias("b"), F.col("vector").alias("vb"), F.col("block").alias("y"), other.alias("x"))
-    return left.join(right, ["x", "y"]).where("a <> b").select("a", "b", F.round(dot(F.col("va"), F.col("vb")), 6).alias("similarity"))
+    blocks = max(1, -(-vectors.count() // BLOCK))
+    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    rows = vectors.select("id", F.transform("vector", lambda x: x.cast("double")).alias("vector"), own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
+    rows = rows.select(F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "vector")
+    kind = dict(vectors.select("id").dtypes)["id"]
+
+    def compare(held: pa.Table) -> pa.Table:
+        x, y = held.column("x")[0].as_py(), held.column("y")[0].as_py()
+        own = held.column("own").to_numpy()
+        sides = []
+        for block in {x, y}:
+            part = held.filter(pa.array(own == block)).sort_by("id").combine_chunks()
+            if part.num_rows:
+                flat = part.column("vector").combine_chunks().flatten().to_numpy()
+                sides.append((part.column("id").combine_chunks(), flat.reshape(part.num_rows, -1)))
+        if x != y and len(sides) < 2:
+            sides = []
+        out = [[], [], []]
+
+        def put(left, right, sims):
+            ok = np.ones(sims.shape, bool) if threshold is None else sims >= threshold
+            if left is right:
+                np.fill_diagonal(ok, False)
+            if k and sims.shape[1] > k:
+                at_least = np.partition(np.where(ok, sims, -np.inf), -k, axis=1)[:, -k]
+                ok &= sims >= at_least[:, None]
+            i, j = np.nonzero(ok)
+            out[0].append(left.take(pa.array(i)))
+            out[1].append(right.take(pa.array(j)))
+            out[2].append(pa.array(sims[i, j]))
+
+        if sides:
+            left, right = sides[0], sides[-1]
+            sims = np.round(left[1] @ right[1].T, 6)
+            put(left[0], right[0], sims)
+            if x != y:
+                put(right[0], left[0], sims.T)
+        kinds = held.schema.field("id").type
+        cols = [pa.concat_arrays(c) if c else pa.array([], t) for c, t in zip(out, (kinds, kinds, pa.float64()), strict=True)]
+        return pa.table(dict(zip(("a", "b", "similarity"), cols, strict=True)))
+
+    found = rows.groupBy("x", "y").applyInArrow(compare, f"a {kind}, b {kind}, similarity double")
+    found = found.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), "b")))
+    return found.where(F.col("r") <= k) if k else found
 
 
 def similar_edges(vectors: DataFrame, k: int = 5, threshold: float = 0.85, max_degree: int = 0) -> DataFrame:
     """SIMILAR_TO edges (src < dst, similarity to 4 places) to the k most similar of each; 0 means no limit."""
-    near = pairs_in_blocks(vectors).where(F.col("similarity") >= threshold)
-    if k:
-        near = near.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), "b"))).where(F.col("r") <= k)
+    near = neighbours_in_blocks(vectors, k, threshold)
     edges = near.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), F.round("similarity", 4).alias("similarity")).distinct()
     return capped(edges, max_degree) if max_degree else edges
 
 
 def capped(edges: DataFrame, most: int) -> DataFrame:
-    """Edges that are among the ``most`` best of both their ends."""
-    ends = edges.select("src", "dst", "similarity", F.explode(F.array("src", "dst")).alias("end"))
+    """Edges taken from the most similar on while both ends have fewer than ``most``; ties go by src and dst.
+
+    Candidates are the ``most`` best edges of each node.  A round takes every edge that is so good at both of
+    its ends that none before it can use up their room, and drops those with an end that is full; it always takes
+    the best that is left, and most edges fall in the first few rounds.
+    """
+    ends = lambda df: df.select("src", "dst", "similarity", F.explode(F.array("src", "dst")).alias("end"))
     rank = F.row_number().over(Window.partitionBy("end").orderBy(F.desc("similarity"), "src", "dst"))
-    kept = ends.withColumn("r", rank).where(F.col("r") <= most).groupBy("src", "dst", "similarity").count()
-    return kept.where("count = 2").drop("count")
+    left = written(ends(edges).withColumn("r", rank).where(F.col("r") <= most).select("src", "dst", "similarity").distinct(), "capping")
+    taken = None
+    while not left.isEmpty():
+        ranked = ends(left).withColumn("r", rank)
+        if taken is not None:
+            used = ends(taken).groupBy("end").agg(F.count("*").alias("used"))
+            ranked = ranked.join(used, "end", "left").withColumn("r", F.col("r") + F.coalesce("used", F.lit(0))).drop("used")
+        chosen = written(ranked.groupBy("src", "dst", "similarity").agg(F.max("r").alias("r")).where(F.col("r") <= most).drop("r"), "capped")
+        taken = chosen if taken is None else taken.unionByName(chosen)
+        full = ends(taken).groupBy("end").count().where(F.col("count") >= most).select("end")
+        rest = left.join(chosen, ["src", "dst"], "left_anti")
+        for end in ("src", "dst"):
+            rest = rest.join(full.withColumnRenamed("end", end), end, "left_anti")
+        left = written(rest.select("src", "dst", "similarity"), "capping")
+    return edges.limit(0) if taken is None else taken
 
 
 def two_nn(vectors: DataFrame) -> DataFrame:
     """Intrinsic dimension from the ratio of the two nearest distances; 0 of fewer than ten vectors."""
-    near = pairs_in_blocks(vectors).select("a", (1 - F.col("similarity")).alias("d"), "b")
-    near = near.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))).where("r <= 2")
+    near = neighbours_in_blocks(vectors, 2).select("a", (1 - F.col("similarity")).alias("d"), "r")
     each = near.groupBy("a").agg(F.max(F.when(F.col("r") == 1, F.col("d"))).alias("d1"), F.max(F.when(F.col("r") == 2, F.col("d"))).alias("d2")).where("d1 > 1e-10 AND d2 > d1")
     total = each.agg(F.count("*").alias("n"), F.sum(F.log(F.col("d2") / F.col("d1"))).alias("s"))
     return total.select("n", F.when(F.col("n") < 5, 0.0).otherwise(F.round(F.col("n") / F.col("s"), 4)).alias("dimension"))
@@ -80,13 +144,12 @@ def two_nn(vectors: DataFrame) -> DataFrame:
 
 def truncated_mrr(vectors: DataFrame, dims: tuple[int, ...] = (16, 32), k: int = 10) -> DataFrame:
     """(dim, mrr): of vectors cut to ``dim``, the reciprocal rank of the full vectors' nearest, within k."""
-    best = lambda v: pairs_in_blocks(v).withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), "b")))
-    full = best(vectors).where("r = 1").select("a", "b")
+    full = neighbours_in_blocks(vectors, 1).select("a", "b")
     found = None
     for dim in dims:
         part = F.slice("vector", 1, dim)
         unit = vectors.select("id", part.alias("p")).select("id", F.transform("p", lambda x: x.cast("double") / F.sqrt(dot(F.col("p"), F.col("p")))).alias("vector"))
-        ranks = best(unit).where(F.col("r") <= k)
+        ranks = neighbours_in_blocks(unit, k)
         one = full.join(ranks.select("a", "b", "r"), ["a", "b"], "left").agg(F.round(F.avg(F.coalesce(1.0 / F.col("r"), F.lit(0.0))), 6).alias("mrr")).select(F.lit(dim).alias("dim"), "mrr")
         found = one if found is None else found.unionByName(one)
     return found

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import analyze, cluster, extract, graph, lexical, retrieve, segment, snapshots, vector
-from ..sources import corpus
+from ..sources import corpus, tables
 
 #: A small catalog for the tables of invented prose: function words of its languages.
 CATALOG = {"english": ["the", "and", "with", "this", "from"], "french": ["dans", "pour", "que", "les", "avec"], "german": ["der", "und", "mit", "das", "ein"], "phrases": ["of the", "de la", "que el"]}
@@ -19,21 +19,31 @@ NODE = "chunk:src0/000000.txt:0001"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+#: DuckDB's word boundaries know ASCII alone; other letters become underscores, which are word characters and match nothing that is sought.
+BOUNDED = r"regexp_replace(text, '[\x{AA}\x{B5}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{2AF}\x{300}-\x{1FFF}\x{3040}-\x{D7FF}]', '_', 'g')"
 STOP = "(" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + ")"
 TOKENS = r"list_transform(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_\-]{1,30}'), lambda t: lower(t))"
 SLUG = "regexp_replace(regexp_replace(lower(trim({x})), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
 CORPUS = "corpus AS (SELECT source || '/' || lpad(doc_id::VARCHAR, 6, '0') || '.txt' AS file_path, coalesce(text, '') AS text, doc_id, lang FROM documents)"
+WS = "' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)"
 SENTS = (
     CORPUS
-    + r""", cut AS (SELECT file_path, text, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+([A-Z"''(\[])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '') AS s1,
-  list_filter(list_transform(string_split_regex(text, '\n\s*\n'), lambda s: trim(s)), lambda s: s <> '') AS s2 FROM corpus),
+    + rf""", cut AS (SELECT file_path, text, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+([A-Z"''(\[])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: trim(s, {WS})), lambda s: s <> '') AS s1,
+  list_filter(list_transform(string_split_regex(text, '\n\s*\n'), lambda s: trim(s, {WS})), lambda s: s <> '') AS s2 FROM corpus),
 sents AS (SELECT file_path, text, CASE WHEN len(s1) > 1 THEN s1 ELSE s2 END AS s FROM cut)"""
 )
+#: Sentences with their places: the white space before a sentence stays with it, so that lengths add up to offsets.
+SPANS = rf"""raw AS (SELECT file_path, text, string_split(regexp_replace(text, '([.!?])(\s+[A-Z"''(\[])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS p1, string_split(regexp_replace(text, '(\n\s*\n)', chr(1) || '\1', 'g'), chr(1)) AS p2 FROM {{corpus}}),
+parts AS (SELECT file_path, text, CASE WHEN len(list_filter(p1, lambda s: trim(s, {WS}) <> '')) > 1 THEN p1 ELSE p2 END AS p FROM raw),
+places AS (SELECT file_path, i, x, sum(length(x)) OVER (PARTITION BY file_path ORDER BY i) - length(x) AS before FROM (SELECT file_path, unnest(p) AS x, generate_subscripts(p, 1) AS i FROM parts)),
+spans AS (SELECT file_path, before + length(x) - length(ltrim(x, {WS})) AS s, before + length(rtrim(x, {WS})) AS e, row_number() OVER (PARTITION BY file_path ORDER BY i) - 1 AS k FROM places WHERE trim(x, {WS}) <> ''),
+groups AS (SELECT file_path, k // 4 AS g, min(s) AS s, max(e) AS e, sum(e - s) + count(*) - 1 AS joined FROM spans GROUP BY ALL)"""
 CHUNKS = (
-    SENTS
-    + """, groups AS (SELECT file_path, p, array_to_string(s[p + 1:p + 4], ' ') AS text FROM (SELECT file_path, s, unnest(range(0, len(s), 4)) AS p FROM sents)),
-chunks AS (SELECT 'chunk:' || file_path || ':' || lpad(idx::VARCHAR, 4, '0') AS id, 'chunk' AS kind, file_path, idx, text
-  FROM (SELECT file_path, (row_number() OVER (PARTITION BY file_path ORDER BY p) - 1)::INTEGER AS idx, text FROM groups WHERE length(text) >= 50))"""
+    CORPUS
+    + ", "
+    + SPANS.format(corpus="corpus")
+    + """, chunks AS (SELECT 'chunk:' || file_path || ':' || lpad(idx::VARCHAR, 4, '0') AS id, 'chunk' AS kind, file_path, idx, substr(text, s::BIGINT + 1, (e - s)::BIGINT) AS text, s::INTEGER AS char_start, e::INTEGER AS char_end
+  FROM (SELECT g.file_path, (row_number() OVER (PARTITION BY g.file_path ORDER BY g) - 1)::INTEGER AS idx, text, s, e FROM groups g JOIN corpus c ON c.file_path = g.file_path WHERE joined >= 50))"""
 )
 KEYWORDS = CHUNKS + f", kw AS (SELECT id, token, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, token) AS rank FROM (SELECT id, token, count(*) AS n FROM (SELECT id, unnest({TOKENS}) AS token FROM chunks) WHERE token NOT IN {STOP} GROUP BY ALL)) WHERE rank <= 4)"
 GRAPH = (
@@ -42,9 +52,9 @@ GRAPH = (
   SELECT 'doc:' || file_path AS src, 'CONTAINS' AS rel, id AS dst FROM chunks
   UNION ALL SELECT 'chunk:' || file_path || ':' || lpad((idx - 1)::VARCHAR, 4, '0'), 'NEXT', id FROM chunks WHERE idx > 0
   UNION ALL SELECT DISTINCT id, 'HAS_KEYWORD', 'keyword:' || {SLUG.format(x="token")} FROM kw),
-nodes AS (SELECT 'doc:' || file_path AS id, 'document' AS kind, file_path, NULL::INTEGER AS idx, NULL::VARCHAR AS text FROM corpus
-  UNION ALL SELECT id, kind, file_path, idx, text FROM chunks
-  UNION ALL SELECT DISTINCT dst, 'keyword', NULL, NULL, NULL FROM edges WHERE rel = 'HAS_KEYWORD')"""
+nodes AS (SELECT 'doc:' || file_path AS id, 'document' AS kind, file_path, NULL::INTEGER AS idx, NULL::VARCHAR AS text, NULL::INTEGER AS char_start, NULL::INTEGER AS char_end FROM corpus
+  UNION ALL SELECT id, kind, file_path, idx, text, char_start, char_end FROM chunks
+  UNION ALL SELECT DISTINCT dst, 'keyword', NULL, NULL, NULL, NULL, NULL FROM edges WHERE rel = 'HAS_KEYWORD')"""
 )
 WAYS = GRAPH + ", ways AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges)"
 
@@ -65,12 +75,24 @@ def docs_of(spark, d):
     return corpus.documents(spark, d)
 
 
-def chunks_of(spark, d):
-    return graph.chunk_nodes(docs_of(spark, d))
+def tables_of(spark, d):
+    """The graph of the documents, built and written at the first query that asks for it."""
+    return tables.stored(spark, "graph", d, lambda: graph.store(*graph.build(docs_of(spark, d))))
 
 
 def graph_of(spark, d):
-    return graph.build(docs_of(spark, d))
+    held = tables_of(spark, d)
+    return held["nodes"], held["edges"]
+
+
+def chunks_of(spark, d):
+    return graph_of(spark, d)[0].where("kind = 'chunk'")
+
+
+def index_of(spark, d):
+    """Postings, number of chunks and their mean length."""
+    held = tables.stored(spark, "lexical", d, lambda: lexical.store(chunks_of(spark, d)))
+    return held["postings"], *held["sizes"].first()
 
 
 @query(f"WITH {SENTS} SELECT file_path, len(s) AS n_sentences, coalesce(list_sum(list_transform(s, lambda x: length(x))), 0)::BIGINT AS n_chars FROM sents")
@@ -79,9 +101,9 @@ def sentence_split(spark, d):
     return cut.select("file_path", F.size("s").alias("n_sentences"), F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("n_chars"))
 
 
-@query(f"WITH {CHUNKS} SELECT id, file_path, idx, text FROM chunks")
+@query(f"WITH {CHUNKS} SELECT id, file_path, idx, text, char_start, char_end FROM chunks")
 def sentence_groups(spark, d):
-    return chunks_of(spark, d).select("id", "file_path", "idx", "text")
+    return graph.chunk_nodes(docs_of(spark, d)).drop("kind")
 
 
 @query(f"""WITH x AS (SELECT item_id, left(text, 90) AS name FROM benchmark), y AS (SELECT *, {SLUG.format(x="name")} AS s FROM x)
@@ -125,9 +147,17 @@ def cooccur_edges(spark, d):
     return extract.cooccurrence(members)
 
 
-@query()
+def _entities_sql() -> str:
+    """Each pattern's finds in turn."""
+    found = " || ".join(f"regexp_extract_all({BOUNDED}, '{x}')" for x in (extract.NAMES, *extract.VALUES))
+    stop = ", ".join(f"'{w}'" for w in extract.ENTITY_STOP)
+    return f"""WITH {CHUNKS}, f AS (SELECT id, unnest(l) AS e, generate_subscripts(l, 1) AS i FROM (SELECT id, {found} AS l FROM chunks)), k AS (SELECT id, e, i FROM f WHERE lower(e) NOT IN ({stop}) AND length(e) >= 2 QUALIFY row_number() OVER (PARTITION BY id, lower(e) ORDER BY i) = 1),
+t AS (SELECT id, e, i FROM k QUALIFY row_number() OVER (PARTITION BY id ORDER BY i) <= 8) SELECT chunks.id, coalesce(string_agg(e, '|' ORDER BY i), '') AS entities FROM chunks LEFT JOIN t ON t.id = chunks.id GROUP BY chunks.id"""
+
+
+@query(_entities_sql())
 def entities(spark, d):
-    return chunks_of(spark, d).select("id", extract.entities(F.col("text")).alias("entities"))
+    return chunks_of(spark, d).select("id", F.array_join(extract.entities(F.col("text")), "|").alias("entities"))
 
 
 @query(f"WITH {GRAPH} SELECT 'nodes' AS part, coalesce(kind, 'total') AS name, count(*) AS n FROM nodes GROUP BY ROLLUP (kind) UNION ALL SELECT 'edges', coalesce(rel, 'total'), count(*) FROM edges GROUP BY ROLLUP (rel)")
@@ -135,9 +165,9 @@ def graph_stats(spark, d):
     return graph.stats(*graph_of(spark, d))
 
 
-@query(f"WITH {GRAPH} SELECT id, kind, file_path, idx FROM nodes WHERE kind IN ('chunk', 'document') AND (starts_with(coalesce(file_path, ''), 'src1/') OR starts_with(coalesce(file_path, ''), 'src7/')) ORDER BY file_path NULLS FIRST, idx NULLS FIRST, id LIMIT 40 OFFSET 15")
+@query(f"WITH {GRAPH} SELECT id, kind, file_path, idx FROM nodes WHERE kind IN ('chunk', 'document') AND (starts_with(coalesce(file_path, ''), 'src1/') OR starts_with(coalesce(file_path, ''), 'src7/')) ORDER BY file_path NULLS FIRST, char_start NULLS FIRST, id LIMIT 40 OFFSET 15")
 def node_scan_scoped(spark, d):
-    return graph.scan(graph_of(spark, d)[0], ["chunk", "document"], PREFIXES, 40, 15).select("id", "kind", "file_path", "idx")
+    return graph.scan(graph_of(spark, d)[0], ["chunk", "document"], PREFIXES, limit=40, offset=15).select("id", "kind", "file_path", "idx")
 
 
 @query(f"WITH {GRAPH} SELECT src, rel, dst FROM edges WHERE src = '{NODE}' OR dst = '{NODE}' ORDER BY rel, src, dst LIMIT 50")
@@ -185,27 +215,30 @@ def seeds_of(spark):
 @query(f"""WITH {EXPAND}, r2 AS (SELECT w.dst AS id, 2 AS hop, min(struct_pack(dist := h.b.dist, via_seed := h.b.via_seed)) AS b FROM r1 h JOIN ways w ON h.id = w.src WHERE w.dst NOT IN (SELECT id FROM h1) GROUP BY w.dst)
 SELECT * FROM h1 UNION ALL SELECT id, hop, b.via_seed, b.dist FROM r2""")
 def expand_two_hop(spark, d):
-    return graph.expand(graph_of(spark, d)[1], seeds_of(spark), 2)
+    held = tables_of(spark, d)
+    return graph.expand(held["edges"], seeds_of(spark), 2, ways=held["ways"])
 
 
 @query(f"""WITH {GRAPH}, {SEEDS_SQL}, two AS (SELECT src, rel, dst FROM edges UNION ALL SELECT dst, rel, src FROM edges)
 SELECT id, 0 AS hop, [id] AS path FROM seeds UNION ALL
 SELECT w.dst, 1, min([s.id, '-' || w.rel || '->', w.dst]) FROM seeds s JOIN two w ON s.id = w.src WHERE w.dst NOT IN (SELECT id FROM seeds) GROUP BY w.dst""")
 def trace_paths(spark, d):
-    return graph.trace(graph_of(spark, d)[1], seeds_of(spark), 1)
+    held = tables_of(spark, d)
+    return graph.trace(held["edges"], seeds_of(spark), 1, held["ways"])
 
 
 BOOST = """near AS (SELECT id FROM h1), inside AS (SELECT src, rel, dst FROM edges WHERE src IN (SELECT id FROM near) AND dst IN (SELECT id FROM near)),
 ends AS (SELECT rel, src AS id FROM inside UNION ALL SELECT rel, dst FROM inside WHERE dst <> src),
-boost AS (SELECT id, round(sum(CASE rel WHEN 'HAS_KEYWORD' THEN 0.6::DOUBLE WHEN 'NEXT' THEN 0.3::DOUBLE WHEN 'CONTAINS' THEN 0.2::DOUBLE ELSE 0.1::DOUBLE END), 4) AS boost FROM ends GROUP BY id)"""
+boost AS (SELECT id, round(sum(CASE rel WHEN 'HAS_KEYWORD' THEN 1.0::DOUBLE WHEN 'NEXT' THEN 0.1::DOUBLE WHEN 'CONTAINS' THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END), 4) AS boost FROM ends GROUP BY id)"""
 
 
 @query(f"""WITH {EXPAND}, {BOOST}, rows AS (SELECT h.id, n.kind, h.hop, round(h.dist, 6) AS dist,
   round(coalesce(b.boost, 0) + CASE WHEN n.kind = 'chunk' AND length(n.text) >= 50 AND length(n.text) < 200 THEN round(1.5 * (1 - length(n.text) / 200.0::DOUBLE), 4) ELSE 0 END, 4)::DOUBLE AS boost,
   CASE n.kind WHEN 'chunk' THEN 0 WHEN 'section' THEN 1 WHEN 'document' THEN 2 ELSE 99 END AS ko FROM h1 h JOIN nodes n USING (id) LEFT JOIN boost b USING (id))
-SELECT id, kind, hop, dist, boost, row_number() OVER (ORDER BY dist, hop, boost DESC, ko, id) AS rank FROM rows QUALIFY rank <= 25""")
+SELECT id, kind, hop, dist, boost, greatest(0.0, round(1 - dist, 4))::DOUBLE AS relevance, row_number() OVER (ORDER BY dist, hop, boost DESC, ko, id) AS rank FROM rows QUALIFY rank <= 25""")
 def hybrid_query(spark, d):
-    return retrieve.query(*graph_of(spark, d), seeds_of(spark), 1, 25)
+    held = tables_of(spark, d)
+    return retrieve.query(held["nodes"], held["edges"], seeds_of(spark), 1, 25, ways=held["ways"])
 
 
 @query(f"""WITH {EXPAND}, {BOOST}, rows AS (SELECT h.id, n.kind, h.hop, h.dist, n.text, n.file_path, coalesce(b.boost, 0)::DOUBLE AS boost,
@@ -213,22 +246,23 @@ def hybrid_query(spark, d):
 kept AS (SELECT * FROM rows r WHERE kind NOT IN ('document', 'section') OR r.file_path NOT IN (SELECT file_path FROM rows WHERE kind = 'chunk'))
 SELECT id, kind, hop, row_number() OVER (ORDER BY dist, hop, boost DESC, ko, id) AS rank, CASE WHEN length(text) > 120 THEN left(text, 120) || '…' ELSE text END AS excerpt FROM kept QUALIFY rank <= 15""")
 def hybrid_pack(spark, d):
-    return retrieve.pack(*graph_of(spark, d), seeds_of(spark), 1, 15, 120)
+    held = tables_of(spark, d)
+    return retrieve.pack(held["nodes"], held["edges"], seeds_of(spark), 1, 15, 120, ways=held["ways"])
 
 
 def _quote_sql(x: str) -> str:
-    hits = [f"CASE WHEN strpos(f, '{m}') BETWEEN 1 AND 160 THEN strpos(f, '{m}') END" for m in (". ", "! ", "? ")]
-    return f"SELECT id, CASE WHEN coalesce({', '.join(hits)}) IS NOT NULL THEN left(f, coalesce({', '.join(hits)})) WHEN length(f) > 160 THEN left(f, 160) || '…' ELSE f END AS quote, CASE WHEN length(text) > 80 THEN left(text, 80) || '…' ELSE text END AS excerpt FROM (SELECT id, text, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS f FROM {x})"
+    hits = [f"CASE WHEN strpos(f, '{m}') BETWEEN 2 AND 160 THEN strpos(f, '{m}') END" for m in (". ", "! ", "? ")]
+    return f"SELECT id, CASE WHEN coalesce({', '.join(hits)}) IS NOT NULL THEN left(f, coalesce({', '.join(hits)})) WHEN length(f) > 160 THEN rtrim(left(f, 160)) || '…' ELSE f END AS quote, file_path || ':' || char_start AS cite, CASE WHEN length(text) > 80 THEN left(text, 80) || '…' ELSE text END AS excerpt FROM (SELECT id, text, file_path, char_start, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS f FROM {x})"
 
 
 @query(f"WITH {CHUNKS} {_quote_sql('chunks')}")
 def excerpts(spark, d):
-    return chunks_of(spark, d).select("id", T.quote(F.col("text")).alias("quote"), T.excerpt(F.col("text"), 80).alias("excerpt"))
+    return chunks_of(spark, d).select("id", T.quote(F.col("text")).alias("quote"), T.cite(F.col("file_path"), F.col("char_start")).alias("cite"), T.excerpt(F.col("text"), 80).alias("excerpt"))
 
 
 def _bm25_sql(filter_ids: str = "") -> str:
-    return f"""WITH {CHUNKS}, q AS (SELECT DISTINCT unnest(regexp_extract_all(lower((SELECT text FROM benchmark ORDER BY item_id LIMIT 1)), '[a-z0-9]+')) AS term),
-tt AS (SELECT id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM chunks), size AS (SELECT count(*) AS n, avg(len(t)) AS m FROM tt WHERE len(t) > 0),
+    return f"""WITH {CHUNKS}, q AS (SELECT DISTINCT unnest(regexp_extract_all(strip_accents(lower((SELECT text FROM benchmark ORDER BY item_id LIMIT 1))), '[\\p{{L}}\\p{{N}}]+')) AS term),
+tt AS (SELECT id, regexp_extract_all(strip_accents(lower(text)), '[\\p{{L}}\\p{{N}}]+') AS t FROM chunks), size AS (SELECT count(*) AS n, avg(len(t)) AS m FROM tt WHERE len(t) > 0),
 p AS (SELECT id, length, term, count(*) AS tf FROM (SELECT id, len(t) AS length, unnest(t) AS term FROM tt) WHERE term IN (SELECT term FROM q) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
 sc AS (SELECT id, round(sum(greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * length / m))), 6) AS score FROM p JOIN df USING (term), size {filter_ids} GROUP BY id)
 SELECT id, score::DOUBLE AS score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM sc QUALIFY rank <= 24"""
@@ -240,17 +274,17 @@ def _first_item(spark, d):
 
 @query(_bm25_sql())
 def bm25_terms(spark, d):
-    chunks = chunks_of(spark, d)
-    return lexical.bm25(lexical.postings(chunks), _first_item(spark, d), *lexical.corpus_size(chunks), phrase_first=False)
+    index, n, mean = index_of(spark, d)
+    return lexical.bm25(index, _first_item(spark, d), n, mean, phrase_first=False)
 
 
 PHRASE = "and the"
 
 
-@query(_bm25_sql("WHERE id IN (SELECT id FROM tt WHERE contains(' ' || array_to_string(t, ' ') || ' ', ' and the '))").replace("lower((SELECT text FROM benchmark ORDER BY item_id LIMIT 1))", f"'{PHRASE}'"))
+@query(_bm25_sql("WHERE id IN (SELECT id FROM tt WHERE contains(' ' || array_to_string(t, ' ') || ' ', ' and the '))").replace("(SELECT text FROM benchmark ORDER BY item_id LIMIT 1)", f"'{PHRASE}'"))
 def bm25_phrase(spark, d):
-    chunks = chunks_of(spark, d)
-    return lexical.bm25(lexical.postings(chunks), PHRASE, *lexical.corpus_size(chunks))
+    index, n, mean = index_of(spark, d)
+    return lexical.bm25(index, PHRASE, n, mean)
 
 
 def vectors_of(spark, d):
@@ -288,27 +322,47 @@ def twonn(spark, d):
     return vector.two_nn(vectors_of(spark, d))
 
 
-@query()
+def _unit_sql(dim: int) -> str:
+    cut = f"list_transform(list_slice(embedding, 1, {dim}), lambda x: x::DOUBLE)"
+    return f"(SELECT vec_id, list_transform({cut}, lambda x: x / sqrt(list_sum(list_transform({cut}, lambda y: y * y)))) AS v FROM embeddings)"
+
+
+def _mrr_sql(dims=(16, 32)) -> str:
+    found = []
+    for dim in dims:
+        u = _unit_sql(dim)
+        found.append(f"SELECT {dim} AS dim, round(avg(CASE WHEN r.r <= 10 THEN 1.0::DOUBLE / r.r ELSE 0 END), 6) AS mrr FROM best LEFT JOIN (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM (SELECT x.vec_id AS a, y.vec_id AS b, round({DOT.format(a='x.v', b='y.v')}, 6) AS s FROM {u} x JOIN {u} y ON x.vec_id <> y.vec_id)) r USING (a, b)")
+    return f"WITH {PAIRS}, best AS (SELECT a, b FROM pairs QUALIFY row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) = 1) {' UNION ALL '.join(found)}"
+
+
+@query(_mrr_sql())
 def mrl_mrr(spark, d):
     return vector.truncated_mrr(vectors_of(spark, d))
 
 
-FUSE = """WITH dense AS (SELECT vec_id AS id, round(0.2 + vec_id * 0.01, 6)::DOUBLE AS distance, vec_id + 1 AS rank FROM embeddings WHERE vec_id < 20), lexical AS (SELECT vec_id AS id, vec_id - 9 AS rank FROM embeddings WHERE vec_id >= 10 AND vec_id < 40),
-b AS (SELECT coalesce(d.id, l.id) AS id, round(coalesce(1.0::DOUBLE / (59 + d.rank), 0) + coalesce(1.0::DOUBLE / (59 + l.rank), 0), 8) AS score, round(coalesce(d.distance, 0.45 + 0.01 * (l.rank - 1)), 6) AS dist, d.rank AS dr, l.rank AS lr FROM dense d FULL JOIN lexical l USING (id))
-SELECT id, score, dist::DOUBLE AS dist, row_number() OVER (ORDER BY score DESC, coalesce(dr, 1073741824), lr NULLS FIRST, id) AS rank FROM b QUALIFY rank <= 12"""
+FUSE = """WITH q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id AS id, label, round(1 - """ + DOT.format(a="embedding", b="v") + """, 6) AS distance FROM embeddings, q),
+dense AS (SELECT id, distance, row_number() OVER (ORDER BY distance, id) AS rank FROM s QUALIFY rank <= 24), lexical AS (SELECT id, row_number() OVER (ORDER BY abs(label - 3), id) AS rank FROM s QUALIFY rank <= 24),
+b AS (SELECT coalesce(d.id, l.id) AS id, round(coalesce(1.0::DOUBLE / (59 + d.rank), 0) + coalesce(1.0::DOUBLE / (59 + l.rank), 0), 8) AS score, round(coalesce(d.distance, 0.45 + 0.01 * (l.rank - 1)), 6) AS dist,
+  round(coalesce(d.distance, least((SELECT min(distance) FROM dense) + 0.01 * l.rank, 0.45 + 0.01 * (l.rank - 1))), 6) AS self_dist, d.rank AS dr, l.rank AS lr FROM dense d FULL JOIN lexical l USING (id))
+SELECT id, score, dist::DOUBLE AS dist, self_dist::DOUBLE AS self_dist, row_number() OVER (ORDER BY score DESC, coalesce(dr, 1073741824), lr NULLS FIRST, id) AS rank FROM b QUALIFY rank <= 12"""
 
 
 @query(FUSE)
 def rrf_fusion(spark, d):
-    ids = vectors_of(spark, d).select("id")
-    dense = ids.where("id < 20").select("id", F.round(0.2 + F.col("id") * 0.01, 6).alias("distance"), (F.col("id") + 1).alias("rank"))
-    return retrieve.fuse(dense, ids.where("id >= 10 AND id < 40").select("id", (F.col("id") - 9).alias("rank")), 12)
+    """A vector ranking of all vectors, and a ranking by closeness of labels in the place of one by words."""
+    from pyspark.sql import Window
+
+    rows = vectors_of(spark, d)
+    by = [F.abs(F.col("label") - 3), F.col("id")]
+    words = rows.orderBy(*by).limit(24).select("id", F.row_number().over(Window.orderBy(*by)).alias("rank"))
+    return retrieve.fuse(vector.nearest(rows, _first_vector(spark, d), 24), words, 12)
 
 
 @query("""WITH ranked AS (SELECT conv_id AS qid, turn AS id, row_number() OVER (PARTITION BY conv_id ORDER BY length(text), turn) AS rank FROM conversations), expected AS (SELECT conv_id AS qid, turn AS id FROM conversations WHERE role = 'user'),
 h AS (SELECT e.qid, r.rank FROM expected e LEFT JOIN ranked r ON e.qid = r.qid AND e.id = r.id AND r.rank <= 3),
 m AS (SELECT qid, count(*) AS n, count(rank) AS f, min(rank) AS first, sum(CASE WHEN rank IS NULL THEN 0 ELSE 1 / log2(rank + 1) END) AS g FROM h GROUP BY qid)
-SELECT qid, round(f / n, 6) AS recall, round(coalesce(1 / first, 0), 6) AS mrr, round(g / list_sum(list_transform(range(1, least(n, 3) + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg FROM m""")
+SELECT qid, round(f / n, 6) AS recall, (f > 0)::INTEGER AS recall_any, (f = n)::INTEGER AS recall_all, round(coalesce(1 / first, 0), 6) AS mrr, round(g / list_sum(list_transform(range(1, least(n, 3) + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg,
+  round(g / list_sum(list_transform(range(1, greatest(1, least(n, t)) + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg_found FROM m JOIN (SELECT qid, least(3, max(rank)) AS t FROM ranked GROUP BY qid) USING (qid)""")
 def retrieval_metrics(spark, d):
     from pyspark.sql import Window
 
@@ -324,16 +378,16 @@ def doc_metrics(spark, d):
     return analyze.document_metrics(*graph_of(spark, d))
 
 
-@query(f"WITH {GRAPH} SELECT rel, count(DISTINCT src) AS covered, round(count(DISTINCT src) / (SELECT count(*) FROM chunks), 6) AS share FROM edges WHERE rel = 'HAS_KEYWORD' GROUP BY rel")
+@query(f"WITH {GRAPH}, r AS (SELECT unnest(['HAS_TOPIC', 'MENTIONS_ENTITY', 'HAS_KEYWORD', 'CO_OCCURS_WITH', 'SIMILAR_TO']) AS rel) SELECT r.rel, count(DISTINCT src) AS covered, round(count(DISTINCT src) / (SELECT count(*) FROM chunks), 6) AS share FROM r LEFT JOIN edges ON edges.rel = r.rel GROUP BY r.rel")
 def semantic_coverage(spark, d):
     return analyze.coverage(*graph_of(spark, d))
 
 
-@query(f"WITH {GRAPH} SELECT kind, count(*) AS n FROM (SELECT * FROM nodes UNION ALL SELECT 'keyword:' || i, 'keyword', NULL, NULL, NULL FROM range(3) t(i)) WHERE kind IN ('topic', 'entity', 'keyword') AND id NOT IN (SELECT dst FROM edges) GROUP BY kind")
+@query(f"WITH {GRAPH} SELECT kind, count(*) AS n FROM (SELECT id, kind FROM nodes UNION ALL SELECT 'keyword:' || i, 'keyword' FROM range(3) t(i)) WHERE kind IN ('topic', 'entity', 'keyword') AND id NOT IN (SELECT dst FROM edges WHERE rel = 'HAS_KEYWORD') GROUP BY kind")
 def orphan_nodes(spark, d):
     nodes, edges = graph_of(spark, d)
-    loose = spark.range(3).select(F.concat(F.lit("keyword:"), "id").alias("id"), F.lit("keyword").alias("kind"), F.lit(None).cast("string").alias("file_path"), F.lit(None).cast("int").alias("idx"), F.lit(None).cast("string").alias("text"))
-    return analyze.orphans(nodes.unionByName(loose), edges)
+    loose = spark.range(3).select(F.concat(F.lit("keyword:"), "id").alias("id"), F.lit("keyword").alias("kind"))
+    return analyze.orphans(nodes.select("id", "kind").unionByName(loose), edges)
 
 
 @query(f"WITH {GRAPH} SELECT src AS id, sum(CASE WHEN rel = 'REFERENCES' THEN 1 ELSE 0 END)::BIGINT AS refs, sum(CASE WHEN rel = 'HAS_KEYWORD' THEN 1 ELSE 0 END)::BIGINT AS semantic, count(*) AS total FROM edges WHERE src IN (SELECT id FROM chunks) GROUP BY src ORDER BY total DESC, id LIMIT 15")
@@ -341,7 +395,10 @@ def hot_chunks(spark, d):
     return analyze.busy_chunks(*graph_of(spark, d))
 
 
-@query(f"WITH {GRAPH} SELECT dst, count(*) AS n FROM edges WHERE rel = 'HAS_KEYWORD' GROUP BY dst ORDER BY n DESC, dst LIMIT 40")
+NO_CONTENT = "(" + ", ".join(f"'{w}'" for w in analyze.NO_CONTENT) + ")"
+
+
+@query(f"WITH {GRAPH}, n AS (SELECT dst, regexp_replace(dst, '^[a-z]+:', '') AS name, count(*) AS n FROM edges WHERE rel = 'HAS_KEYWORD' GROUP BY dst) SELECT dst, n FROM n WHERE length(name) > 1 AND NOT regexp_matches(name, '^[0-9]+$') AND name NOT IN {NO_CONTENT} ORDER BY n DESC, dst LIMIT 40")
 def keyword_freq(spark, d):
     return analyze.keyword_frequency(graph_of(spark, d)[1])
 
@@ -351,13 +408,44 @@ def keyword_spread(spark, d):
     return analyze.spread(*graph_of(spark, d), "HAS_KEYWORD")
 
 
-@query(f"""WITH {CHUNKS}, w AS (SELECT unnest({TOKENS}) AS w FROM chunks WHERE length(text) > 10), p AS (SELECT w, count(*) AS n, CASE WHEN w IN {STOP} THEN 0 ELSE 1 END AS c, len(regexp_extract_all(w, '[aeiouy]+')) AS g FROM w GROUP BY w),
-s AS (SELECT *, greatest(1, g - CASE WHEN g > 1 AND regexp_matches(w, '[^aeiouyl]e$') THEN 1 ELSE 0 END) AS s FROM p)
-SELECT sum(n)::BIGINT AS words, count(*) AS vocabulary, round(count(*) / sum(n), 6) AS type_token, round(sum(n * c) / sum(n), 6) AS density, round(sum(n * s) / sum(n), 6) AS syllables FROM s""")
+WORDS = rf"regexp_extract_all({BOUNDED}, '\b[a-zA-Z'']+\b')"
+SYLLABLES = r"CASE WHEN trim(w, '.,!?;:''\"') = '' THEN 0 ELSE greatest(1, len(regexp_extract_all(trim(w, '.,!?;:''\"'), '[aeiouy]+')) - CASE WHEN regexp_matches(trim(w, '.,!?;:''\"'), 'e$') AND NOT regexp_matches(trim(w, '.,!?;:''\"'), 'le$') THEN 1 ELSE 0 END) END"
+
+
+@query(rf"""WITH {CHUNKS}, own AS (SELECT id, text FROM chunks WHERE length(text) > 10), w AS (SELECT lower(w) AS w, count(*) AS n FROM (SELECT unnest({WORDS}) AS w FROM own) GROUP BY 1),
+sl AS (SELECT len(regexp_extract_all(unnest(string_split_regex({BOUNDED}, '[.!?]+')), '\b[a-zA-Z'']+\b')) AS c FROM own), s AS (SELECT count(*) AS k, sum(c) AS m FROM sl WHERE c > 0),
+t AS (SELECT sum(n) AS words, count(*) AS vocabulary, sum(n * ({SYLLABLES})) AS syl, sum(CASE WHEN length(w) > 2 AND w NOT IN {NO_CONTENT} THEN n ELSE 0 END) AS content FROM w)
+SELECT words::BIGINT AS words, vocabulary, round(vocabulary / words, 4) AS type_token, round(m / k, 1)::DOUBLE AS sentence_words, round(words / (SELECT count(*) FROM own), 1)::DOUBLE AS chunk_words, round(content / words, 4)::DOUBLE AS density,
+  round(0.39::DOUBLE * words / greatest(1, k) + 11.8::DOUBLE * (syl / words) - 15.59::DOUBLE, 1) AS grade FROM t, s""")
 def language_measures(spark, d):
     return analyze.language(chunks_of(spark, d))
 
 
+@query(rf"WITH {CHUNKS}, w AS (SELECT lower(w) AS word, count(*) AS n FROM (SELECT unnest({WORDS}) AS w FROM chunks WHERE length(text) > 10) GROUP BY 1) SELECT word, n FROM w WHERE length(word) > 2 AND word NOT IN {NO_CONTENT} ORDER BY n DESC, word LIMIT 40")
+def content_words(spark, d):
+    return analyze.content_words(chunks_of(spark, d))
+
+
+@query(f"""WITH {GRAPH}, u AS (SELECT file_path, regexp_replace(dst, '^[a-z]+:', '') AS name, count(*) AS n FROM edges e JOIN chunks c ON e.src = c.id WHERE rel = 'HAS_KEYWORD' GROUP BY ALL),
+k AS (SELECT file_path, string_agg(name, ' ' ORDER BY r) AS keywords FROM (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY n DESC, name) AS r FROM u WHERE length(name) > 1 AND NOT regexp_matches(name, '[0-9]') AND name NOT IN {NO_CONTENT}) WHERE r <= 6 GROUP BY 1)
+SELECT file_path, count(*) AS chunks, sum(length(text) - length(replace(text, ' ', '')) + 1)::BIGINT AS words, coalesce(any_value(keywords), '') AS keywords FROM chunks LEFT JOIN k USING (file_path) GROUP BY file_path""")
+def doc_signatures(spark, d):
+    return analyze.signatures(*graph_of(spark, d)).select("file_path", "chunks", "words", F.array_join("keywords", " ").alias("keywords"))
+
+
+@query(f"""WITH {GRAPH}, f AS (SELECT dst, count(DISTINCT file_path) AS files FROM edges e JOIN chunks c ON e.src = c.id WHERE rel = 'HAS_KEYWORD' GROUP BY dst)
+SELECT coalesce(round(sum(CASE WHEN files >= 3 THEN 1 ELSE 0 END) / count(*), 3), 0)::DOUBLE AS score FROM f""")
+def cohesion(spark, d):
+    return analyze.cohesion(analyze.spread(*graph_of(spark, d), "HAS_KEYWORD"))
+
+
+@query(f"""WITH {GRAPH}, b AS (SELECT src AS id, sum(CASE WHEN rel = 'HAS_KEYWORD' THEN 1 ELSE 0 END) AS s, count(*) AS t FROM edges WHERE src IN (SELECT id FROM chunks) GROUP BY src ORDER BY t DESC, id LIMIT 10)
+SELECT (SELECT count(*) FROM nodes) AS total_nodes, (SELECT count(*) FROM edges) AS total_edges, (SELECT count(*) FROM nodes WHERE kind <> 'document') AS meaningful_nodes,
+  round((SELECT round(count(DISTINCT src) / (SELECT count(*) FROM chunks), 6) FROM edges WHERE rel = 'HAS_KEYWORD') / 3, 6) AS coverage_score, coalesce((SELECT list_sort(list(s))[len(list(s)) // 2 + 1] FROM b), 0)::DOUBLE AS complexity_median""")
+def snapshot_metrics(spark, d):
+    return analyze.snapshot_metrics(*graph_of(spark, d))
+
+
 @query(f"WITH {SENTS} SELECT file_path, left(sha256(text), 16) AS file_hash, len({TOKENS}) AS n_tokens, greatest(1, len(s)) AS n_sentences, len(list_distinct({TOKENS})) AS n_unique, length(text) AS text_length FROM sents")
 def doc_features(spark, d):
     return analyze.features(docs_of(spark, d))
@@ -392,6 +480,40 @@ def section_islands(spark, d):
     return s.groupBy("section_id").agg(F.count("*").alias("n_parts"), F.min("part").alias("first_part"))
 
 
+#: Sessions as Markdown, cut at their headings; a part's sentences are found as a file's are.
+MARKDOWN = (
+    TALKS
+    + r""", ln AS (SELECT file_path, i, x, sum(length(x) + 1) OVER (PARTITION BY file_path ORDER BY i) - length(x) - 1 AS before, CASE WHEN regexp_matches(x, '^#{1,6}\s+.+$') THEN 1 ELSE 0 END AS head
+  FROM (SELECT file_path, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM talks)),
+pt AS (SELECT *, sum(head) OVER (PARTITION BY file_path ORDER BY i) AS part FROM ln),
+secs AS (SELECT file_path, part, max(CASE WHEN head = 1 THEN trim(regexp_extract(x, '^(#{1,6})\s+(.+)$', 2)) END) AS title, max(CASE WHEN head = 1 THEN length(regexp_extract(x, '^(#{1,6})\s', 1)) END) AS level,
+  min(CASE WHEN head = 0 THEN before END)::BIGINT AS a, max(CASE WHEN head = 0 THEN before + length(x) END)::BIGINT AS z FROM pt GROUP BY ALL),
+bodies AS (SELECT s.file_path || chr(1) || lpad(part::VARCHAR, 9, '0') AS file_path, s.file_path AS file, part, title, level, a, substr(t.text, a + 1, z - a) AS text, length(t.text) AS total FROM secs s JOIN talks t ON t.file_path = s.file_path WHERE a IS NOT NULL), """
+    + SPANS.replace("groups AS", "groups4 AS").format(corpus="bodies")
+    + r""", ch AS (SELECT b.file AS file_path, b.part, g.g, title, level, total, substr(b.text, g.s::BIGINT + 1, (g.e - g.s)::BIGINT) AS text, (b.a + g.s)::INTEGER AS char_start, (b.a + g.e)::INTEGER AS char_end,
+  (row_number() OVER (PARTITION BY b.file ORDER BY b.part, g.g) - 1)::INTEGER AS idx, lower(title) AS low FROM groups4 g JOIN bodies b ON b.file_path = g.file_path WHERE joined >= 50),
+isl AS (SELECT *, 'chunk:' || file_path || ':' || lpad(idx::VARCHAR, 4, '0') AS id, regexp_replace(low, '\s+', '-', 'g') AS slug, sum(n) OVER (PARTITION BY file_path ORDER BY idx) AS island
+  FROM (SELECT *, CASE WHEN lag(low) OVER (PARTITION BY file_path ORDER BY idx) IS NOT DISTINCT FROM low AND idx > 0 THEN 0 ELSE 1 END AS n FROM ch)),
+sec AS (SELECT *, CASE WHEN title IS NOT NULL THEN 'sec:' || file_path || ':' || slug || CASE WHEN o > 1 THEN '~' || o ELSE '' END END AS section FROM (SELECT *, dense_rank() OVER (PARTITION BY file_path, slug ORDER BY island) AS o FROM isl))"""
+)
+
+
+def talks_graph(spark, d):
+    return tables.stored(spark, "talks", d, lambda: dict(zip(("nodes", "edges"), (tables.written(x, "talks") for x in graph.build_markdown(corpus.sessions(spark, d))), strict=True)))
+
+
+@query(f"""WITH {MARKDOWN} SELECT section AS id, 'section' AS kind, file_path, min(char_start) AS char_start, max(char_end) AS char_end, any_value(title) AS title FROM sec WHERE section IS NOT NULL GROUP BY section, file_path
+UNION ALL SELECT id, 'chunk', file_path, char_start, char_end, title FROM sec UNION ALL SELECT 'doc:' || file_path, 'document', file_path, NULL, NULL, NULL FROM talks""")
+def session_nodes(spark, d):
+    return talks_graph(spark, d)["nodes"].where("kind IN ('document', 'section', 'chunk')").select("id", "kind", "file_path", "char_start", "char_end", "title")
+
+
+@query(f"""WITH {MARKDOWN} SELECT DISTINCT 'doc:' || file_path AS src, 'CONTAINS' AS rel, section AS dst FROM sec WHERE section IS NOT NULL UNION ALL SELECT coalesce(section, 'doc:' || file_path), 'CONTAINS', id FROM sec
+UNION ALL SELECT p, 'NEXT', id FROM (SELECT id, island, lag(id) OVER w AS p, lag(island) OVER w AS pi FROM sec WINDOW w AS (PARTITION BY file_path ORDER BY idx)) WHERE pi = island""")
+def session_edges(spark, d):
+    return talks_graph(spark, d)["edges"].where("rel IN ('CONTAINS', 'NEXT')").select("src", "rel", "dst")
+
+
 @query(r"""SELECT page_id, len(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS n_links, array_to_string(regexp_extract_all(html, 'href="([^"]*)"', 1), ' ') AS targets FROM pages""")
 def link_extract(spark, d):
     found = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))
@@ -407,12 +529,39 @@ def references_resolve(spark, d):
     return graph.reference_edges(hrefs, known)
 
 
-SHOTS = "shots AS (SELECT 'k' || event_id AS key, ts, event_type AS branch, (event_id % 7 // 2 + 1)::BIGINT AS total_nodes, (event_id % 5 // 2)::BIGINT AS total_edges, round((event_id % 3) / 4.0::DOUBLE, 2)::DOUBLE AS coverage FROM events WHERE event_id < 300)"
+@query(r"""WITH t AS (SELECT conv_id, turn, role, text FROM conversations WHERE text IS NOT NULL), q AS (SELECT *, trim(regexp_replace(regexp_replace(trim(rtrim(trim(text, ' ' || chr(10) || chr(9) || chr(13)), '?'), ' ' || chr(10) || chr(9) || chr(13)), 'OPENING', ''), 'PERSONAL', '')) AS p FROM t)
+SELECT conv_id, turn, role, md5(CASE WHEN p = '' THEN text ELSE p END) AS digest FROM q""".replace("OPENING", T.OPENING.replace("'", "''")).replace("PERSONAL", T.PERSONAL))
+def plain_questions(spark, d):
+    turns = corpus.table(spark, d, "conversations").where("text IS NOT NULL")
+    return turns.select("conv_id", "turn", "role", F.md5(T.plain_question(F.col("text"))).alias("digest"))
+
+
+@query(r"""WITH n AS (SELECT conv_id, turn, role, text, list_filter(string_split_regex(lower(regexp_replace(regexp_replace(replace(text, ',', ''), '\b(?:and|the|an|a)\b', ' ', 'g'), '[!-/:-@\[-`{-~]', '', 'g')), '\s+'), lambda w: w <> '') AS w FROM conversations WHERE text IS NOT NULL),
+p AS (SELECT a.conv_id, a.turn, a.role, a.text, a.w AS x, b.w AS y FROM n a JOIN n b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)
+SELECT conv_id, turn, round(CASE WHEN len(x) = 0 OR len(y) = 0 THEN (len(x) = len(y))::INTEGER ELSE 2.0::DOUBLE * coalesce(list_sum(list_transform(list_distinct(x), lambda w: least(len(list_filter(x, lambda v: v = w)), len(list_filter(y, lambda v: v = w))))), 0) / (len(x) + len(y)) END, 6)::DOUBLE AS f1 FROM p""")
+def answer_f1(spark, d):
+    """Each turn against the next of its conversation."""
+    turns = corpus.table(spark, d, "conversations").where("text IS NOT NULL").select("conv_id", "turn", T.answer_tokens(F.col("text")).alias("x"))
+    after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("x").alias("y"))
+    return turns.join(after, ["conv_id", "turn"]).select("conv_id", "turn", F.round(T.answer_f1(F.col("x"), F.col("y")), 6).alias("f1"))
+
+
+@query("""WITH h AS (SELECT 'sessions/' || conv_id || '.md' AS file_path, row_number() OVER (ORDER BY length(text) DESC, conv_id, turn, role) AS rank FROM conversations WHERE role = 'user'), b AS (SELECT regexp_extract(file_path, '([^/]+)\\.md$', 1) AS session, min(rank) AS best FROM h GROUP BY 1)
+SELECT s.session, row_number() OVER (ORDER BY best NULLS LAST, s.session) AS rank FROM (SELECT DISTINCT conv_id::VARCHAR AS session FROM conversations) s FULL JOIN b USING (session)""")
+def session_ranks(spark, d):
+    from pyspark.sql import Window
+
+    turns = corpus.table(spark, d, "conversations")
+    hits = turns.where("role = 'user'").select(F.concat(F.lit("sessions/"), "conv_id", F.lit(".md")).alias("file_path"), F.row_number().over(Window.orderBy(F.length("text").desc(), "conv_id", "turn", "role")).alias("rank"))
+    return retrieve.best_of_session(hits, turns.select(F.col("conv_id").cast("string").alias("session")))
+
+
+SHOTS = "shots AS (SELECT 'k' || event_id AS key, ts, event_type AS branch, (event_id % 7 // 2 + 1)::BIGINT AS total_nodes, (event_id % 5 // 2)::BIGINT AS total_edges, round((event_id % 3) / 4.0::DOUBLE, 2)::DOUBLE AS coverage FROM events)"
 
 
 def shots_of(spark, d):
     e = F.col("event_id")
-    return corpus.table(spark, d, "events").where("event_id < 300").select(
+    return corpus.table(spark, d, "events").select(
         F.concat(F.lit("k"), e).alias("key"), "ts", F.col("event_type").alias("branch"), F.expr("(event_id % 7) div 2 + 1").alias("total_nodes"), F.expr("(event_id % 5) div 2").alias("total_edges"), F.round((e % 3) / 4.0, 2).alias("coverage")
     )
 
@@ -429,6 +578,15 @@ def snapshot_prune(spark, d):
     return snapshots.prune(shots_of(spark, d)).select("key", "branch", "total_nodes")
 
 
+@query(f"""WITH {SHOTS}, p AS (SELECT branch, first(key ORDER BY ts, key) AS a, last(key ORDER BY ts, key) AS b FROM shots GROUP BY branch)
+SELECT p.a, p.b, y.total_nodes - x.total_nodes AS total_nodes, y.total_edges - x.total_edges AS total_edges, round(y.coverage - x.coverage, 6) AS coverage FROM p JOIN shots x ON x.key = p.a JOIN shots y ON y.key = p.b""")
+def snapshot_diff(spark, d):
+    """The newest snapshot of each branch against the oldest."""
+    shots = shots_of(spark, d)
+    order = F.struct("ts", "key")
+    return snapshots.diff(shots, shots.groupBy("branch").agg(F.min_by("key", order).alias("a"), F.max_by("key", order).alias("b")).select("a", "b"))
+
+
 @query(f"WITH {CHUNKS}, held AS (SELECT id, text FROM chunks WHERE starts_with(file_path, 'src2/')), new AS (SELECT id, reverse(text) AS text FROM chunks WHERE starts_with(file_path, 'src2/') AND idx < 2 UNION ALL SELECT id, text FROM chunks WHERE starts_with(file_path, 'src4/')) SELECT id, text FROM new UNION ALL SELECT id, text FROM held WHERE id NOT IN (SELECT id FROM new)")
 def upsert_nodes(spark, d):
     chunks = chunks_of(spark, d)
@@ -450,9 +608,9 @@ def only_missing(spark, d):
 FIXED = f"""WITH RECURSIVE {SENTS}, e AS (SELECT file_path, len(s) AS n, s FROM sents WHERE len(s) > 0),
 f AS (SELECT file_path, n, s, 1 AS i, [s[1]] AS open, length(s[1])::BIGINT AS size, NULL::VARCHAR[] AS closed FROM e
   UNION ALL SELECT file_path, n, s, i + 1,
-    CASE WHEN i >= n THEN NULL WHEN size + length(s[i + 1]) > 400 THEN [s[i + 1]] ELSE list_append(open, s[i + 1]) END,
-    CASE WHEN i >= n THEN 0 WHEN size + length(s[i + 1]) > 400 THEN length(s[i + 1]) ELSE size + length(s[i + 1]) END,
-    CASE WHEN i >= n OR size + length(s[i + 1]) > 400 THEN open END FROM f WHERE i <= n),
+    CASE WHEN i >= n THEN NULL WHEN size + len(open) - 1 + length(s[i + 1]) > 400 THEN [s[i + 1]] ELSE list_append(open, s[i + 1]) END,
+    CASE WHEN i >= n THEN 0 WHEN size + len(open) - 1 + length(s[i + 1]) > 400 THEN length(s[i + 1]) ELSE size + length(s[i + 1]) END,
+    CASE WHEN i >= n OR size + len(open) - 1 + length(s[i + 1]) > 400 THEN open END FROM f WHERE i <= n),
 g AS (SELECT file_path, i, array_to_string(closed, ' ') AS text FROM f WHERE closed IS NOT NULL)
 SELECT file_path, (row_number() OVER (PARTITION BY file_path ORDER BY i) - 1)::INTEGER AS idx, text FROM g WHERE length(text) >= 50"""
 

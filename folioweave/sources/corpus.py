@@ -36,7 +36,7 @@ def folder(spark: SparkSession, root: str, extensions: tuple[str, ...] = ("md",
     hidden = F.exists(parts, lambda p: p.startswith(".")) | F.arrays_overlap(parts, F.array(*map(F.lit, (*SKIPPED_FOLDERS, *(x.rstrip("/") for x in exclude)))))
     wanted = F.lower(F.substring_index(rel, ".", -1)).isin([x.lower() for x in extensions])
     text = F.replace(F.expr("make_valid_utf8(cast(content as string))"), F.lit("�"), F.lit(""))
-    return files.where(wanted & ~hidden).select(rel.alias("file_path"), text.alias("text")).orderBy("file_path")
+    return files.where(wanted & ~hidden).select(rel.alias("file_path"), text.alias("text"))
 
 
 def topic_catalog(path: str) -> dict[str, list[str]]:
