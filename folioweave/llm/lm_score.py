@@ -1,11 +1,13 @@
 """Operator 1, LM scoring: masked pseudo-likelihood with a bidirectional window network.
 
-A small network predicts each token from the two tokens on either side: position-wise embeddings, one
-hidden layer, and a softmax in two steps, over 32 classes and over the 32 tokens of a class.  The
-vocabulary comes from word counts of the whole corpus; words outside it share tokens by their ending.
-Every 32nd window of every document trains the network: each partition trains a replica in numpy,
-replicas are averaged up a tree, and a second round starts from the average.  A document's score is the
-sum of the log-probabilities of its tokens, each given its neighbours.
+A small network predicts each token from the two tokens on either side: an embedding for each place, one
+hidden layer, and a softmax in two steps, over 32 classes and over the 32 tokens of a class.  The most frequent
+words of the whole corpus are tokens of their own; other words share tokens by their ending, and a word's
+share of its token comes from the corpus counts, so that every word has a probability of its own.  Every window
+of every document trains the network once: documents are dealt by a hash of their tokens to as many replicas
+as the corpus's words ask for, replicas are trained in numpy and averaged up a tree, first on an eighth of the
+documents and from there on the others.  A document's score is the sum of the log-probabilities of its
+words, each given its neighbours.  Neither replicas nor scores depend on how rows lie in files.
 """
 
 from __future__ import annotations
@@ -15,55 +17,96 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_SPLIT, cut, table, worker_path
+from .common import WORD_SPLIT, cut, released, table, worker_path
 
 CLASSES, PER_CLASS = 32, 32
 TOKENS = CLASSES * PER_CLASS
 #: Tokens that are words of their own; the others are shared by words of like endings.  PAD stands beyond a text's ends.
 FREQUENT, PAD = TOKENS // 2, TOKENS
-WIDTH, HIDDEN, SIDE = 16, 48, 2
-#: One window in so many trains; examples of a step; rounds; step size; replicas that meet in a node of the tree.
-ONE_IN, STEP, ROUNDS, RATE, FAN_IN = 32, 256, 2, 0.04, 8
-WORD_CACHE = 800_000
+#: Words with a count of their own in the table that workers get; the others of a token share what is left of it.
+LISTED = 200_000
+HIDDEN, SIDE = 24, 2
+#: Words of a replica; examples of a step; step size; replicas that meet in a node of the tree; the first round takes one document in so many.
+REPLICA_WORDS, STEP, RATE, FAN_IN, FIRST = 4_000_000, 4096, 0.1, 8, 8
+#: Tokens that are scored at once; words that a worker's cache holds.
+CHUNK, WORD_CACHE = 32_768, 300_000
 SEED = 7
 
 
-class _Ids(dict):
-    """Token ids of words, found when first met."""
+def _scattered(k: int) -> int:
+    """Deals tokens over the classes, so that each class has frequent and rare ones."""
+    return (k % CLASSES) * PER_CLASS + k // CLASSES
 
-    def __init__(self, frequent: list[str]):
-        self.frequent = {w: _scattered(k) for k, w in enumerate(frequent)}
-        self.update(self.frequent)
+
+def ending(word: str) -> int:
+    """Which of the shared tokens a word falls to, by its last three characters."""
+    return zlib.crc32(word[-3:].encode()) % (TOKENS - FREQUENT)
+
+
+class Vocabulary:
+    """Words by number: the listed ones first, then one number for the other words of each shared token."""
+
+    def __init__(self, words: list[str], counts: np.ndarray, shared: dict[int, tuple[int, int]]):
+        """``shared`` has, by ending, the sum of counts and the number of words that fall there, listed or not."""
+        self.words, self.counts, self.shared = words, counts, shared
+        n = len(words)
+        self.listed = n
+        self.token = np.empty(n + TOKENS - FREQUENT, np.int16)
+        self.log_share = np.zeros(n + TOKENS - FREQUENT)
+        sums, kinds = np.zeros(TOKENS - FREQUENT), np.zeros(TOKENS - FREQUENT)
+        for e, (total, distinct) in shared.items():
+            sums[e], kinds[e] = total, distinct
+        for k in range(min(n, FREQUENT)):
+            self.token[k] = _scattered(k)
+        at = np.array([ending(w) for w in words[FREQUENT:]], np.int64)
+        self.token[FREQUENT:n] = [_scattered(FREQUENT + e) for e in at] if n > FREQUENT else []
+        rest = np.arange(TOKENS - FREQUENT)
+        self.token[n:] = [_scattered(FREQUENT + e) for e in rest]
+        # one more count than there are stands for words that the corpus doesn't have
+        if n > FREQUENT:
+            self.log_share[FREQUENT:n] = np.log(counts[FREQUENT:] / (sums[at] + 1))
+            left, own = sums - np.bincount(at, counts[FREQUENT:], TOKENS - FREQUENT), kinds - np.bincount(at, minlength=TOKENS - FREQUENT)
+        else:
+            left, own = sums, kinds
+        self.log_share[n:] = np.log((left + 1) / (sums + 1) / (own + 1))
+
+
+class Numbers(dict):
+    """Numbers of words, found when first met."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.base = {w: k for k, w in enumerate(vocabulary.words)}
+        self.first = vocabulary.listed
+        self.update(self.base)
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= WORD_CACHE:
+        if len(self) >= len(self.base) + WORD_CACHE:
             self.clear()
-            self.update(self.frequent)
-        value = self[word] = _scattered(FREQUENT + zlib.crc32(word[-3:].encode()) % (TOKENS - FREQUENT))
+            self.update(self.base)
+        value = self[word] = self.first + ending(word)
         return value
 
 
-def _scattered(k: int) -> int:
-    """Deals tokens over the classes, so that each class has frequent and rare ones."""
-    return (k % CLASSES) * PER_CLASS + k // CLASSES
-
-
-def token_ids(text: str | None, ids: _Ids) -> np.ndarray:
+def numbers_of(text: str | None, numbers: Numbers) -> np.ndarray:
     words = (text or "").lower().split()
-    return np.fromiter(map(ids.__getitem__, words), np.int16, len(words))
+    return np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))
 
 
-def windows(tokens: np.ndarray) -> np.ndarray:
-    """(n, 5): two tokens before, two after, and the token itself."""
-    wide = np.concatenate([[PAD] * SIDE, tokens, [PAD] * SIDE]).astype(np.int16)
-    n = len(tokens)
-    return np.stack([wide[0:n], wide[1 : n + 1], wide[3 : n + 3], wide[4 : n + 4], tokens], axis=1)
+def windows(tokens: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """(n, 5) at a time: two tokens before, two after, and the token itself, of several texts one after the other."""
+    gap = np.full(SIDE, PAD, np.int16)
+    wide = np.concatenate([gap, *[x for t in tokens for x in (t.astype(np.int16), gap)]])
+    places = np.flatnonzero(wide != PAD)
+    for a in range(0, len(places), CHUNK):
+        at = places[a : a + CHUNK]
+        yield np.stack([wide[at - 2], wide[at - 1], wide[at + 1], wide[at + 2], wide[at]], axis=1)
 
 
-SHAPES = {"embed": (TOKENS + 1, WIDTH), "mix": (2 * SIDE, WIDTH, HIDDEN), "bias": (HIDDEN,), "to_class": (HIDDEN, CLASSES), "class_bias": (CLASSES,), "to_word": (CLASSES, HIDDEN, PER_CLASS), "word_bias": (CLASSES, PER_CLASS)}
+SHAPES = {"places": (2 * SIDE, TOKENS + 1, HIDDEN), "bias": (HIDDEN,), "to_class": (HIDDEN, CLASSES), "class_bias": (CLASSES,), "to_word": (CLASSES, HIDDEN, PER_CLASS), "word_bias": (CLASSES, PER_CLASS)}
 
 
 def start() -> dict[str, np.ndarray]:
@@ -84,142 +127,193 @@ def from_bytes(raw: bytes) -> dict[str, np.ndarray]:
     return net
 
 
-def _softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Probabilities, and the logs of their sums before normalising."""
-    top = x.max(axis=1, keepdims=True)
-    e = np.exp(x - top)
-    total = e.sum(axis=1, keepdims=True)
-    return e / total, (np.log(total) + top)[:, 0]
+def _softmax(x: np.ndarray) -> np.ndarray:
+    """Probabilities, in place."""
+    x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(axis=1, keepdims=True)
+    return x
 
 
-def _by_class(kinds: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(kinds, kind="stable")
-    ends = np.searchsorted(kinds[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        if ends[c] < ends[c + 1]:
-            yield c, order[ends[c] : ends[c + 1]]
+def _log_of(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Log-probability of one column of each row of logits."""
+    x -= x.max(axis=1, keepdims=True)
+    own = x[np.arange(len(x)), at]
+    np.exp(x, out=x)
+    return own - np.log(x.sum(axis=1))
 
 
-def train_replica(net: dict[str, np.ndarray], w: np.ndarray) -> None:
-    """One pass over windows in place, by Adagrad."""
-    past = {k: np.full(v.shape, 1e-8, np.float32) for k, v in net.items()}
+def _hidden(net: dict[str, np.ndarray], part: np.ndarray) -> np.ndarray:
+    h = net["places"][0][part[:, 0]]
+    for k in range(1, 2 * SIDE):
+        h += net["places"][k][part[:, k]]
+    h += net["bias"]
+    return np.tanh(h, out=h)
 
-    def move(k: str, g: np.ndarray, at=...) -> None:
-        past[k][at] += g * g
-        net[k][at] -= RATE * g / np.sqrt(past[k][at])
 
-    for a in range(0, len(w), STEP):
-        part = w[a : a + STEP]
-        n, target = len(part), part[:, 4].astype(np.int64)
-        kinds, members, rows = target // PER_CLASS, target % PER_CLASS, np.arange(len(part))
-        e = net["embed"][part[:, :4]]
-        h = np.tanh(sum(e[:, k] @ net["mix"][k] for k in range(4)) + net["bias"])
-        g_class, _ = _softmax(h @ net["to_class"] + net["class_bias"])
-        g_class[rows, kinds] -= 1
-        g_class /= n
-        g_h = g_class @ net["to_class"].T
-        for c, at in _by_class(kinds):
-            g, _ = _softmax(h[at] @ net["to_word"][c] + net["word_bias"][c])
-            g[np.arange(len(at)), members[at]] -= 1
-            g /= n
-            g_h[at] += g @ net["to_word"][c].T
-            move("to_word", h[at].T @ g, c)
-            move("word_bias", g.sum(0), c)
-        move("to_class", h.T @ g_class)
-        move("class_bias", g_class.sum(0))
-        g_h *= 1 - h * h
-        g_embed = np.zeros_like(net["embed"])
-        for k in range(4):
-            np.add.at(g_embed, part[:, k], g_h @ net["mix"][k].T)
-            move("mix", e[:, k].T @ g_h, k)
-        touched = np.unique(part[:, :4])
-        move("embed", g_embed[touched], touched)
-        move("bias", g_h.sum(0))
+def _classed(part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows in the order of their target's class, those classes, and where each class begins and ends."""
+    part = part[np.argsort(part[:, 4] // PER_CLASS, kind="stable")]
+    kinds = part[:, 4] // PER_CLASS
+    return part, kinds, np.searchsorted(kinds, np.arange(CLASSES + 1))
 
 
-class Scorer:
-    """Log-probabilities of all tokens of a batch; embeddings and first layer are one table for each place."""
+class Trainer:
+    """Adagrad over windows, in steps."""
 
     def __init__(self, net: dict[str, np.ndarray]):
         self.net = net
-        self.tables = [net["embed"] @ net["mix"][k] for k in range(4)]
-        self.tables[0] = self.tables[0] + net["bias"]
-
-    def __call__(self, w: np.ndarray) -> np.ndarray:
-        out = np.empty(len(w), np.float32)
-        for a in range(0, len(w), 16_384):
-            part = w[a : a + 16_384]
-            h = self.tables[0][part[:, 0]]
-            for k in range(1, 4):
-                h += self.tables[k][part[:, k]]
-            np.tanh(h, out=h)
-            target = part[:, 4]
-            kinds, members = target // PER_CLASS, target % PER_CLASS
-            logits = h @ self.net["to_class"] + self.net["class_bias"]
-            got = logits[np.arange(len(part)), kinds] - np.log(np.exp(logits).sum(axis=1))
-            for c, at in _by_class(kinds):
-                logits = h[at] @ self.net["to_word"][c] + self.net["word_bias"][c]
-                got[at] += logits[np.arange(len(at)), members[at]] - np.log(np.exp(logits).sum(axis=1))
-            out[a : a + 16_384] = got
-        return out
-
-
-def vocabulary(docs: DataFrame) -> list[str]:
-    """The FREQUENT most frequent words of the whole corpus, in lower case."""
+        self.past = {k: np.full(v.shape, 1e-4, np.float32) for k, v in net.items()}
+
+    def move(self, k: str, g: np.ndarray, at=...) -> None:
+        past, own = self.past[k], self.net[k]
+        past[at] += g * g
+        own[at] -= RATE * g / np.sqrt(past[at])
+
+    def __call__(self, w: np.ndarray) -> None:
+        for a in range(0, len(w), STEP):
+            self.step(w[a : a + STEP])
+
+    def step(self, part: np.ndarray) -> None:
+        net = self.net
+        part, kinds, ends = _classed(part)
+        members, rows = part[:, 4] % PER_CLASS, np.arange(len(part))
+        h = _hidden(net, part)
+        g_class = _softmax(h @ net["to_class"] + net["class_bias"])
+        g_class[rows, kinds] -= 1
+        g_class /= len(part)
+        g_h = g_class @ net["to_class"].T
+        for c in np.flatnonzero(ends[1:] > ends[:-1]):
+            at = slice(ends[c], ends[c + 1])
+            g = _softmax(h[at] @ net["to_word"][c] + net["word_bias"][c])
+            g[np.arange(len(g)), members[at]] -= 1
+            g /= len(part)
+            g_h[at] += g @ net["to_word"][c].T
+            self.move("to_word", h[at].T @ g, c)
+            self.move("word_bias", g.sum(0), c)
+        self.move("to_class", h.T @ g_class)
+        self.move("class_bias", g_class.sum(0))
+        g_h *= 1 - h * h
+        self.move("bias", g_h.sum(0))
+        for k in range(2 * SIDE):
+            order = np.argsort(part[:, k], kind="stable")
+            own = part[order, k]
+            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            self.move("places", np.add.reduceat(g_h[order], first, axis=0), (k, own[first]))
+
+
+def score_windows(net: dict[str, np.ndarray], w: np.ndarray) -> np.ndarray:
+    """Log-probabilities of the tokens in the last column."""
+    order = np.argsort(w[:, 4] // PER_CLASS, kind="stable")
+    part, kinds, ends = _classed(w)
+    members = part[:, 4] % PER_CLASS
+    h = _hidden(net, part)
+    got = _log_of(h @ net["to_class"] + net["class_bias"], kinds)
+    for c in np.flatnonzero(ends[1:] > ends[:-1]):
+        at = slice(ends[c], ends[c + 1])
+        got[at] += _log_of(h[at] @ net["to_word"][c] + net["word_bias"][c], members[at])
+    out = np.empty(len(w), np.float64)
+    out[order] = got
+    return out
+
+
+def vocabulary(docs: DataFrame) -> tuple[Vocabulary, int]:
+    """The vocabulary of the whole corpus, in lower case, and its number of words.  LISTED words at most, a row for each level of counts and for each shared token reach the driver."""
     words = docs.select(F.explode(F.split(F.lower(F.col("text").cast("string")), WORD_SPLIT)).alias("w")).where("w <> ''")
-    return [r.w for r in words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(FREQUENT).collect()]
+    counts = cut(words.groupBy("w").count(), "word-counts")
+    # the listed words are those from a count on: of the levels of counts, as many from above as LISTED words allow
+    counts = counts.withColumn("level", F.floor(F.log2("count") * 32).cast("int"))
+    room, least = LISTED, 1 << 30
+    for r in sorted(counts.groupBy("level").agg(F.count("*").alias("n")).collect(), reverse=True):
+        room -= r.n
+        if room < 0:
+            break
+        least = r.level
+    found = counts.where(F.col("level") >= least).select("w", "count").toArrow()
+    top = sorted(zip((-n for n in found.column("count").to_pylist()), found.column("w").to_pylist(), strict=True))
+    frequent = [w for _, w in top[:FREQUENT]]
+    by_end = (F.crc32(F.right("w", F.lit(3)).cast("binary")) % F.lit(TOKENS - FREQUENT)).cast("int")
+    rare = counts.where(~F.col("w").isin(frequent)) if frequent else counts
+    shared = {r.e: (r.n, r.k) for r in rare.groupBy(by_end.alias("e")).agg(F.sum("count").alias("n"), F.count("*").alias("k")).collect()}
+    total = counts.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    return Vocabulary([w for _, w in top], np.array([-n for n, _ in top], float), shared), total
+
+
+def train(docs: DataFrame, words: Vocabulary, total: int) -> bytes:
+    """The trained network.  At most FAN_IN replicas, of some 500 kB each, reach the driver."""
+    context = docs.sparkSession.sparkContext
+    sent = context.broadcast(words)
+    replicas = max(1, -(-total // REPLICA_WORDS))
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, of = Numbers(sent.value), sent.value.token
+        for batch in batches:
+            raw = [of[numbers_of(t, numbers)].astype("<i2").tobytes() for t in batch.column(1).to_pylist()]
+            keys = np.array([xxhash.xxh3_64_intdigest(r) >> 1 for r in raw], np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys), pa.array(raw, pa.binary())], names=["doc_id", "h", "tokens"])
+
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(released(tokens), "doc_id long, h long, tokens binary").where(F.length("tokens") > 0)
+    # the id takes part, so that a group of copies is dealt to all replicas
+    place = lambda k: F.xxhash64(F.lit(k), "h", "doc_id")
+    dealt = dealt.select((F.pmod(place(0), F.lit(FIRST)) == 0).alias("first"), F.pmod(place(1), F.lit(replicas)).cast("int").alias("replica"), place(2).alias("order"), "tokens")
+    dealt = cut(dealt, "tokens")
+    net = to_bytes(start())
+    kind = "k int, n long, net binary"
+    for turn in (True, False):
+        given = context.broadcast(net)
 
+        def replica(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
+            """Rows come in the order of replicas."""
+            now, own, seen, held, size = None, None, 0, [], 0
 
-def train(docs: DataFrame, frequent: list[str]) -> bytes:
-    """The trained network.  At most FAN_IN replicas, of some 300 kB each, reach the driver."""
-    sent = docs.sparkSession.sparkContext.broadcast(frequent)
+            def trained() -> None:
+                nonlocal held, size
+                for w in windows(held):
+                    own(w[np.random.default_rng(SEED).permutation(len(w))])
+                held, size = [], 0
 
-    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _Ids(sent.value)
-        for batch in batches:
-            found = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                t = token_ids(text, ids)
-                first = zlib.crc32(f"{doc} {len(t)}".encode()) % ONE_IN
-                found.append(windows(t)[first::ONE_IN])
-            w = np.concatenate(found) if found else np.zeros((0, 5), np.int16)
-            yield pa.RecordBatch.from_arrays([pa.array([w.astype("<i2").tobytes()], pa.binary())], names=["w"])
-
-    picked = cut(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(sample, "w binary"), "windows")
-    net = to_bytes(start())
-    for turn in range(ROUNDS):
-        given = docs.sparkSession.sparkContext.broadcast(net)
+            def result() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([seen], pa.int64()), pa.array([to_bytes(own.net)], pa.binary())], names=["k", "n", "net"])
 
-        def replica(batches: Iterator[pa.RecordBatch], given=given, turn=turn) -> Iterator[pa.RecordBatch]:
-            own, seen = from_bytes(given.value), 0
             for batch in batches:
-                for raw in batch.column(0):
-                    w = np.frombuffer(raw.as_buffer(), "<i2").reshape(-1, 5)
-                    w = w[np.random.default_rng([SEED, turn, len(w)]).permutation(len(w))]
-                    train_replica(own, w)
-                    seen += len(w)
-            if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([zlib.crc32(to_bytes(own))], pa.int64()), pa.array([seen], pa.int64()), pa.array([to_bytes(own)], pa.binary())], names=["k", "n", "net"])
+                for k, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    if k != now:
+                        if own is not None:
+                            trained()
+                            yield result()
+                        now, own, seen = k, Trainer(from_bytes(given.value)), 0
+                    t = np.frombuffer(raw.as_buffer(), "<i2")
+                    held.append(t)
+                    size, seen = size + len(t), seen + len(t)
+                    if size >= CHUNK:
+                        trained()
+            if own is not None:
+                trained()
+                yield result()
 
         def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total, seen = None, 0
+            """Rows come in the order of nodes, and of replicas in them."""
+            now, total, seen = None, None, 0
             for batch in batches:
-                for n, raw in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                    x = np.frombuffer(raw, "<f4").astype(np.float64) * n
+                for node, n, raw in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                    if node != now and now is not None:
+                        yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([seen], pa.int64()), pa.array([(total / seen).astype("<f4").tobytes()], pa.binary())], names=["k", "n", "net"])
+                        total, seen = None, 0
+                    now, x = node, np.frombuffer(raw, "<f4").astype(np.float64) * n
                     total, seen = x if total is None else total + x, seen + n
-            if seen:
-                raw = (total / seen).astype("<f4").tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([zlib.crc32(raw)], pa.int64()), pa.array([seen], pa.int64()), pa.array([raw], pa.binary())], names=["k", "n", "net"])
-
-        kind = "k long, n long, net binary"
-        nets = cut(picked.mapInArrow(replica, kind), f"replicas-{turn}")
-        while (count := nets.count()) > FAN_IN:
-            nets = cut(nets.repartition(-(-count // FAN_IN)).mapInArrow(average, kind), f"replicas-{turn}")
+            if now is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([seen], pa.int64()), pa.array([(total / seen).astype("<f4").tobytes()], pa.binary())], names=["k", "n", "net"])
+
+        own = dealt.where(F.col("first") if turn else ~F.col("first"))
+        ordered = own.repartition(replicas, "replica").sortWithinPartitions("replica", "order").select("replica", "tokens")
+        nets = cut(ordered.mapInArrow(released(replica), kind), "replicas")
+        while nets.count() > FAN_IN:
+            tree = nets.select(F.floor(F.col("k") / FAN_IN).cast("int").alias("node"), "k", "n", "net")
+            nets = cut(tree.repartition("node").sortWithinPartitions("node", "k").mapInArrow(average, kind), "replicas")
         rows = sorted(nets.collect())
-        if not rows:
-            break
-        total = sum(r.n for r in rows)
-        net = (sum(np.frombuffer(r.net, "<f4").astype(np.float64) * r.n for r in rows) / total).astype("<f4").tobytes()
+        if rows:
+            seen = sum(r.n for r in rows)
+            net = (sum(np.frombuffer(r.net, "<f4").astype(np.float64) * r.n for r in rows) / seen).astype("<f4").tobytes()
     return net
 
 
@@ -232,19 +326,36 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     worker_path(spark)
-    frequent = vocabulary(docs)
-    sent = spark.sparkContext.broadcast((frequent, train(docs, frequent)))
+    words, total = vocabulary(docs)
+    sent = spark.sparkContext.broadcast((words, train(docs, words, total)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, raw = sent.value
-        ids, score = _Ids(words), Scorer(from_bytes(raw))
+        known, raw = sent.value
+        numbers, net = Numbers(known), from_bytes(raw)
+
+        def scored(held: list[np.ndarray]) -> np.ndarray:
+            """Sums over texts."""
+            flat = np.concatenate(held)
+            each = known.log_share[flat]
+            if len(flat):
+                each = each + np.concatenate([score_windows(net, w) for w in windows([known.token[t] for t in held])])
+            sizes = np.array([len(t) for t in held])
+            ends = np.cumsum(sizes)
+            return np.array([each[e - n : e].sum() for e, n in zip(ends, sizes, strict=True)])
+
         for batch in batches:
-            sums, counts = [], []
+            sums, counts, held, size = [], [], [], 0
             for text in batch.column(1).to_pylist():
-                t = token_ids(text, ids)
+                t = numbers_of(text, numbers)
+                held.append(t)
                 counts.append(len(t))
-                sums.append(float(score(windows(t)).sum(dtype=np.float64)) if len(t) else 0.0)
-            n, s = np.array(counts), np.array(sums)
+                size += len(t)
+                if size >= CHUNK:
+                    sums.append(scored(held))
+                    held, size = [], 0
+            if held:
+                sums.append(scored(held))
+            n, s = np.array(counts), np.concatenate(sums) if sums else np.zeros(0)
             mean = np.divide(s, n, out=np.zeros(len(n)), where=n > 0)
             none = n == 0
             yield pa.RecordBatch.from_arrays(
@@ -253,7 +364,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
             )
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double, mean_logprob double, perplexity double")
+    return source.mapInArrow(released(run), "doc_id long, n_tokens long, log_likelihood double, mean_logprob double, perplexity double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
