@@ -323,7 +323,7 @@ def test_markdown_graph(spark):
     assert got and not [r for r in got if "preface" in r.id or r.id.endswith((":0000", ":0001"))]
     only = retrieve.query(nodes, edges, start, 3, 50, ["docs/"], ["chunk"]).collect()
     assert only and {r.kind for r in only} == {"chunk"}
-    traced = retrieve.pack(nodes, edges, start, 2, 5, traced=True)
+    traced = retrieve.pack(nodes, edges, start, 3, 50, traced=True)
     assert all(r.path[0] == "sec:docs/a.md:preface" for r in traced.collect())
     steps = retrieve.path_steps(traced.select("id", "path"), nodes).collect()
     assert {r.label for r in steps if r.step == 1} <= {"contains", "keyword", "on topic", "then"} and [r.quote for r in steps if r.node.endswith(":0002")][0].startswith("Sentence a")
