@@ -153,7 +153,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], list[fl
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([matcher.measures(t) for t in batch.column(1).to_pylist()], pa.list_(pa.float64()))], names=["y", "x"])
 
-    rows = sample.select("y", "text").mapInArrow(measured, "y int, x array<double>").collect()  # TRAIN_ROWS rows at most
+    rows = sorted(sample.select("y", "text").mapInArrow(measured, "y int, x array<double>").collect())  # TRAIN_ROWS rows at most, in an order that files don't give
     x = np.array([r.x for r in rows])
     return lexicon, _curve(x, np.array([r.y for r in rows], dtype=float)).tolist()
 

@@ -55,3 +55,13 @@ def test_lookup_tables_learn_an_interaction():
     model = gam.fit(x, y)
     assert np.mean((gam.predict(model, x) > 0.5) == y) > 0.9
     assert len(model["pairs"]) == 3
+
+
+def test_labels_that_disagree(spark, docs_of):
+    """Equal texts are one example, with the label of most; ids with several labels have the greater."""
+    from folioweave.llm.labelled import training_sample
+
+    docs = docs_of([(k, "same") for k in range(1, 7)] + [(20, "other"), (21, "tie"), (22, "tie"), (23, None)])
+    labels = label_table(spark, [(k, int(k > 4), 0) for k in range(1, 7)] + [(20, 0, 0), (20, 1, 0), (21, 0, 0), (22, 1, 0), (23, 1, 0)])
+    got = {r.text: (r.doc_id, r.y) for r in training_sample(docs, labels, "quality", 10_000, 9_999, 100).collect()}
+    assert got == {"same": (1, 0), "other": (20, 1), "tie": (21, 1), "": (23, 1)}
