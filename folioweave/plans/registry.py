@@ -536,7 +536,7 @@ def plain_questions(spark, d):
     return turns.select("conv_id", "turn", "role", F.md5(T.plain_question(F.col("text"))).alias("digest"))
 
 
-@query(r"""WITH n AS (SELECT conv_id, turn, role, text, list_filter(string_split_regex(lower(regexp_replace(regexp_replace(replace(text, ',', ''), '\b(?:and|the|an|a)\b', ' ', 'g'), '[!-/:-@\[-`{-~]', '', 'g')), '\s+'), lambda w: w <> '') AS w FROM conversations WHERE text IS NOT NULL),
+@query(r"""WITH n AS (SELECT conv_id, turn, role, text, list_filter(string_split_regex(lower(regexp_replace(replace(regexp_replace(regexp_replace(replace(text, ',', ''), '[\p{L}\p{N}\p{M}_]+', chr(1) || '\0' || chr(1), 'g'), '\x01(?:and|the|an|a)\x01', ' ', 'g'), chr(1), ''), '[!-/:-@\[-`{-~]', '', 'g')), '\s+'), lambda w: w <> '') AS w FROM conversations WHERE text IS NOT NULL),
 p AS (SELECT a.conv_id, a.turn, a.role, a.text, a.w AS x, b.w AS y FROM n a JOIN n b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)
 SELECT conv_id, turn, round(CASE WHEN len(x) = 0 OR len(y) = 0 THEN (len(x) = len(y))::INTEGER ELSE 2.0::DOUBLE * coalesce(list_sum(list_transform(list_distinct(x), lambda w: least(len(list_filter(x, lambda v: v = w)), len(list_filter(y, lambda v: v = w))))), 0) / (len(x) + len(y)) END, 6)::DOUBLE AS f1 FROM p""")
 def answer_f1(spark, d):
