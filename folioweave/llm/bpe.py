@@ -1,7 +1,7 @@
 """Worker-side BPE encoding with caches, equal to the tokenizers library's own output.
 
 A text is cut where the library's pre-tokenizer would cut it, and each distinct piece is
-merged once while a cache keeps it.  A coder, and with it its caches, lives as long as a task.  Texts
+merged once while a cache keeps it.  A worker keeps a coder and its caches until it is idle.  Texts
 with characters whose class may differ between regex engines, or with added-token strings, are
 handed to the library whole.
 """
@@ -16,7 +16,7 @@ import regex
 from tokenizers import Tokenizer
 
 #: Entries, of some 200 bytes, that a cache holds before it is emptied; results do not depend on it.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 800_000
 
 GPT_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"

@@ -8,6 +8,7 @@ import ctypes
 import gc
 import os
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -71,14 +72,48 @@ def _drop(base: str) -> None:
     _delete(spark, base)
 
 
+#: Seconds without a task after which a worker gives up what it keeps between tasks.
+IDLE = 3.0
+_kept: dict[str, object] = {}
+_timer: list[threading.Timer] = []
+
+
+def kept(name: str, make: Callable[[], object]) -> object:
+    """On a worker: what ``make`` gives, made once and kept between tasks that follow each other."""
+    if name not in _kept:
+        _kept[name] = make()
+    return _kept[name]
+
+
+def _begin() -> None:
+    while _timer:
+        _timer.pop().cancel()
+
+
+def _empty() -> None:
+    _kept.clear()
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # another C library has no such function
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def _end() -> None:
+    """Idle workers stay alive between tasks; after a while they give their memory back to the system."""
+    timer = threading.Timer(IDLE, _empty)
+    timer.daemon = True
+    _timer.append(timer)
+    timer.start()
+
+
 def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """A function for mapInArrow that gives memory back to the system at the end of its task: idle workers stay alive between tasks."""
+    """A function for mapInArrow whose worker gives its memory back once it is idle."""
 
     def wrapped(batches: Iterator) -> Iterator:
-        yield from run(batches)
-        gc.collect()
-        with contextlib.suppress(OSError, AttributeError):  # another C library has no such function
-            ctypes.CDLL(None).malloc_trim(0)
+        _begin()
+        try:
+            yield from run(batches)
+        finally:
+            _end()
 
     return wrapped
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import WordIds
-from .common import cut, released, table, worker_path
+from .common import cut, kept, released, table, worker_path
 from .token_counts import tokenizer_path
 
 #: Bins with this share of the capacity are nearly full and go no further up.
@@ -107,7 +107,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = 2048, end_id:
     end = int(end_id).to_bytes(4, "little")
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, part, seq, items = WordIds(path), TaskContext.get().partitionId(), 0, []
+        coder, part, seq, items = kept(f"words {path}", lambda: WordIds(path)), TaskContext.get().partitionId(), 0, []
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 items += [(p[3], [p]) for p in pieces_of(doc_id, coder.encode(text or "") + end, capacity)]

@@ -6,6 +6,7 @@ saves work, and every count is exact whatever it holds.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import PieceCounter
-from .common import released, table, worker_path
+from .common import kept, released, table, worker_path
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 #: Rows of the sample that fills the first tier, bytes of each that are looked at there, and entries broadcast at most.
@@ -46,10 +47,10 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = 512) ->
     spark = docs.sparkSession
     worker_path(spark)
     path = path or tokenizer_path("byte_bpe_50k.json")
-    sent = spark.sparkContext.broadcast(frequent_lengths(docs, path))
+    sent, mark = spark.sparkContext.broadcast(frequent_lengths(docs, path)), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PieceCounter(path, sent.value)
+        counter = kept(f"pieces {path} {mark}", lambda: PieceCounter(path, sent.value))
         for batch in batches:
             texts = [x or "" for x in batch.column(1).to_pylist()]
             n = [counter.count(x) for x in texts]
