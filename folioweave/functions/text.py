@@ -218,3 +218,11 @@ def normal_phrase(text: Column) -> Column:
 def metadata(json: Column) -> Column:
     """A map from a JSON object; anything else is an empty map."""
     return F.coalesce(F.from_json(json, "map<string,string>", {"mode": "PERMISSIVE"}), F.create_map().cast("map<string,string>"))
+
+
+def routed(path: Column, routes: list[tuple[str, str]], default: str) -> Column:
+    """The name of the first route whose prefix the path begins with."""
+    found = F.lit(default)
+    for prefix, name in reversed(routes):
+        found = F.when(path.startswith(prefix), name).otherwise(found)
+    return found

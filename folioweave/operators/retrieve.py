@@ -153,7 +153,3 @@ def best_of_session(hits: DataFrame, sessions: DataFrame) -> DataFrame:
     rows = sessions.select("session").distinct().join(best, "session", "full_outer")
     return rows.select("session", F.row_number().over(Window.orderBy(F.col("best").asc_nulls_last(), "session")).alias("rank"))
 
-
-def overlap(words: Column, text: Column) -> Column:
-    """Share of ``words`` that stand in the text, in lower case; 0 without words."""
-    return F.when(F.size(words) > 0, F.size(F.filter(words, lambda w: F.contains(F.lower(text), w))) / F.size(words)).otherwise(0.0)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,6 +90,35 @@ def fixed_size_groups(corpus: DataFrame, size: int = 512, overlap: int = 64, lea
     return cut.select("file_path", F.posexplode(texts).alias("idx", "text"))
 
 
+def neighbour_similarity(vectors: Column) -> Column:
+    """Dot products of each vector with the one after it; of unit vectors, their cosines."""
+    n = F.greatest(F.lit(0), F.size(vectors) - 1)
+    return F.zip_with(F.slice(vectors, F.lit(1), n), F.slice(vectors, F.lit(2), n), lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x))
+
+
+def semantic_groups(corpus: DataFrame, embed: Callable[[Column], Column], threshold: float = 0.75, size: int = 512, least: int = 50) -> DataFrame:
+    """(file_path, idx, text): sentences together until the next one's vector is less alike than ``threshold``, or ``size`` characters would be passed.
+
+    ``embed`` gives a vector of length 1 for a column of text.
+    """
+    cut = corpus.select("file_path", sentences(F.col("text")).alias("s")).where(F.size("s") > 0)
+    cut = cut.select("file_path", "s", F.transform("s", embed).alias("v")).select("file_path", "s", neighbour_similarity(F.col("v")).alias("near"))
+    strings = F.array().cast("array<string>")
+    start = F.struct(F.array().cast("array<array<string>>").alias("done"), strings.alias("open"), F.lit(0).alias("n"))
+    pairs = F.transform("s", lambda x, i: F.struct(x.alias("x"), F.coalesce(F.get("near", i - 1), F.lit(1.0)).alias("near")))
+
+    def step(a: Column, p: Column) -> Column:
+        x = p["x"]
+        apart = (F.size(a["open"]) > 0) & ((p["near"] < threshold) | (a["n"] + F.size(a["open"]) - 1 + F.length(x) > size))
+        return F.when(apart, F.struct(F.concat(a["done"], F.array(a["open"])).alias("done"), F.array(x).alias("open"), F.length(x).alias("n"))).otherwise(
+            F.struct(a["done"].alias("done"), F.concat(a["open"], F.array(x)).alias("open"), (a["n"] + F.length(x)).alias("n"))
+        )
+
+    groups = F.aggregate(pairs, start, step, lambda a: F.concat(a["done"], F.array(a["open"])))
+    texts = F.filter(F.transform(groups, lambda g: F.array_join(g, " ")), lambda t: F.length(t) >= least)
+    return cut.select("file_path", F.posexplode(texts).alias("idx", "text"))
+
+
 def heading_sections(corpus: DataFrame) -> DataFrame:
     """(file_path, part, level, title, body, start): text before the first heading has no title; blank untitled parts are dropped; ``start`` is the body's place in the file."""
     lines = corpus.select("file_path", F.posexplode(F.split("text", "\n")).alias("at", "line"))

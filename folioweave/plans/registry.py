@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import analyze, cluster, extract, graph, lexical, retrieve, segment, snapshots, vector
-from ..sources import corpus, tables
+from ..operators import analyze, cluster, evaluate, extract, graph, lexical, retrieve, segment, snapshots, vector
+from ..sources import corpus, sinks, tables
 
 #: A small catalog for the tables of invented prose: function words of its languages.
 CATALOG = {"english": ["the", "and", "with", "this", "from"], "french": ["dans", "pour", "que", "les", "avec"], "german": ["der", "und", "mit", "das", "ein"], "phrases": ["of the", "de la", "que el"]}
@@ -556,6 +556,64 @@ def session_ranks(spark, d):
     return retrieve.best_of_session(hits, turns.select(F.col("conv_id").cast("string").alias("session")))
 
 
+def _share_sql(words: str) -> str:
+    return f"CASE WHEN len({words}) > 0 THEN len(list_filter({words}, lambda w: contains(lower(text), lower(w)))) / len({words}) ELSE 0 END::DOUBLE"
+
+
+@query(rf"""WITH q AS (SELECT conv_id, min(text) AS text FROM conversations WHERE turn = 0 AND role = 'user' AND text IS NOT NULL GROUP BY conv_id),
+k AS (SELECT conv_id, list_filter(regexp_extract_all({BOUNDED.replace("(text", "(lower(text)")}, '\b[a-z]{{3,}}\b'), lambda w: w NOT IN {NO_CONTENT}) AS kws, list_distinct(list_filter(regexp_extract_all({BOUNDED}, '\b[A-Z][a-z]{{2,15}}\b'), lambda w: w NOT IN ({", ".join(f"'{w}'" for w in evaluate.NO_NAMES)}))) AS names,
+  list_filter(list_transform(regexp_extract_all(text, '\x27([^\x27]{{3,60}})\x27', 1) || regexp_extract_all(text, '"([^"]{{3,60}})"', 1), lambda p: trim(p)), lambda p: length(p) >= 3) AS quoted FROM q)
+SELECT c.conv_id, c.turn, c.role, round({_share_sql("kws")}, 6) AS words, round({_share_sql("names")}, 6) AS names, round({_share_sql("quoted")}, 6) AS quoted FROM conversations c JOIN k ON c.conv_id = k.conv_id WHERE c.text IS NOT NULL""")
+def question_overlap(spark, d):
+    """Every turn against the question that opens its conversation."""
+    turns = corpus.table(spark, d, "conversations").where("text IS NOT NULL")
+    asked = turns.where("turn = 0 AND role = 'user'").groupBy("conv_id").agg(F.min("text").alias("q"))
+    asked = asked.select("conv_id", evaluate.question_words(F.col("q")).alias("kws"), evaluate.names(F.col("q")).alias("ns"), evaluate.quoted(F.col("q")).alias("qs"))
+    share = lambda c: F.round(evaluate.share_in(F.col(c), F.col("text")), 6)
+    return turns.join(asked, "conv_id").select("conv_id", "turn", "role", share("kws").alias("words"), share("ns").alias("names"), share("qs").alias("quoted"))
+
+
+@query("""WITH t AS (SELECT max(ts)::DATE - 5 AS day FROM events), e AS (SELECT event_id, user_id, value, abs(datediff('day', day, ts::DATE)) AS apart FROM events, t),
+b AS (SELECT *, CASE WHEN apart <= 2 THEN 0.4::DOUBLE WHEN apart <= 6 THEN 0.4::DOUBLE * (1.0::DOUBLE - (apart - 2) / 4.0::DOUBLE) ELSE 0.0::DOUBLE END AS near FROM e)
+SELECT event_id, round(near, 6) AS near, round(value * (1 - near), 6) AS distance, 'session_' || user_id AS session FROM b""")
+def temporal_distance(spark, d):
+    """Events by closeness to five days before the last; their evidence and corpus ids lead to a session."""
+    events = corpus.table(spark, d, "events")
+    target = events.agg(F.date_sub(F.max("ts").cast("date"), 5).alias("day"))
+    rows = events.join(F.broadcast(target)).withColumn("near", evaluate.closeness(F.col("ts").cast("date"), F.col("day"), 2))  # one row
+    evidence = F.concat(F.lit("D"), "user_id", F.lit(":"), "event_id")
+    return rows.select("event_id", F.round("near", 6).alias("near"), F.round(evaluate.fused_distance(F.col("value"), F.lit(0.0), F.col("near")), 6).alias("distance"), evaluate.session_of_evidence(evidence).alias("session"))
+
+
+ROUTES = [("src1/", "first"), ("src1", "tens"), ("src2/", "second")]
+
+
+@query(f"WITH {CORPUS} SELECT file_path, CASE WHEN starts_with(file_path, 'src1/') THEN 'first' WHEN starts_with(file_path, 'src1') THEN 'tens' WHEN starts_with(file_path, 'src2/') THEN 'second' ELSE 'common' END AS catalog FROM corpus")
+def topic_routing(spark, d):
+    return docs_of(spark, d).select("file_path", T.routed(F.col("file_path"), ROUTES, "common").alias("catalog"))
+
+
+@query(f"""WITH {MARKDOWN}, t AS (SELECT section, any_value(title) AS title FROM sec WHERE section IS NOT NULL GROUP BY section), w AS (SELECT unnest(string_split_regex(regexp_replace(lower(title), '[^\\w\\s]', ' ', 'g'), '\\s+')) AS word FROM t WHERE length(title) > 3)
+SELECT word, count(*) AS n FROM w WHERE length(word) > 3 AND word NOT IN {NO_CONTENT} GROUP BY word ORDER BY n DESC, word LIMIT 30""")
+def heading_words(spark, d):
+    return analyze.heading_words(talks_graph(spark, d)["nodes"].where("kind = 'section'"))
+
+
+def _entries_sql() -> str:
+    top = _topic_sql()
+    head, _, tail = top.partition("SELECT id, topic, score, rank FROM found WHERE rank <= 3")
+    return f"""{head.rstrip()}, tp AS (SELECT id, topic, score, rank FROM found WHERE rank <= 3 {tail}), ws AS (SELECT id, string_agg(token, ',' ORDER BY rank) AS words FROM kw GROUP BY id)
+SELECT c.file_path, c.idx, c.idx = min(c.idx) OVER (PARTITION BY c.file_path) AS first_of_file, CASE WHEN topic IS NULL OR starts_with(topic, 'topic:') THEN 'fallback' ELSE 'supervised' END AS method,
+  c.id || ' | ' || coalesce(topic, 'unclassified') || ' | ' || printf('%.2f', round(coalesce(score, 0), 2)::DOUBLE) || ' | ' || CASE WHEN topic IS NULL OR starts_with(topic, 'topic:') THEN 'fallback' ELSE 'supervised' END || ' | ' || coalesce(words, '') || ' | ' || trim(replace(text, chr(10), ' ')) AS line
+FROM chunks c LEFT JOIN (SELECT * FROM tp WHERE rank = 1) t ON t.id = c.id LEFT JOIN ws ON ws.id = c.id"""
+
+
+@query(_entries_sql())
+def entry_lines(spark, d):
+    chunks = chunks_of(spark, d)
+    return sinks.entries(extract.topics(chunks, CATALOG), extract.keywords(chunks), chunks)
+
+
 SHOTS = "shots AS (SELECT 'k' || event_id AS key, ts, event_type AS branch, (event_id % 7 // 2 + 1)::BIGINT AS total_nodes, (event_id % 5 // 2)::BIGINT AS total_edges, round((event_id % 3) / 4.0::DOUBLE, 2)::DOUBLE AS coverage FROM events)"
 
 

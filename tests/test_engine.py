@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from folioweave.engine import DocumentGraph
 from folioweave.functions import text as T
-from folioweave.operators import analyze, cluster, extract, graph, lexical, retrieve, segment, snapshots, vector
+from folioweave.operators import analyze, cluster, evaluate, extract, graph, lexical, retrieve, segment, snapshots, vector
 from folioweave.plans import registry
-from folioweave.sources import corpus
+from folioweave.sources import corpus, sinks
 from folioweave.streaming import ingest
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -405,3 +405,37 @@ def test_entry_without_a_library_of_llm(lost):
     code = f"import sys\nsys.modules[{lost!r}] = None\nimport __spark_entry__ as e\nprint(len(e.queries()) >= 60)"
     out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True)
     assert out.stdout.strip().endswith("True"), out.stderr
+
+
+def test_semantic_groups(spark):
+    text = "Cats purr softly here today. Cats purr softly there today. Ships sail on seas. Ships sail on oceans. Cats purr."
+    got = segment.semantic_groups(files(spark, [("a", text), ("b", "")]), lambda s: vector.hashed_embedding(T.tokens(s)), 0.3, 200, 1).orderBy("idx").collect()
+    assert [r.text for r in got] == ["Cats purr softly here today. Cats purr softly there today.", "Ships sail on seas. Ships sail on oceans.", "Cats purr."]
+    small = segment.semantic_groups(files(spark, [("a", text)]), lambda s: vector.hashed_embedding(T.tokens(s)), -1.0, 60, 1).collect()
+    assert len(small) == 2 and all(len(r.text) <= 60 for r in small)
+
+
+def test_evaluation_scores(spark):
+    row = spark.createDataFrame([("When did Anna say 'red boat' or \"a\" to Anna?", "anna has a RED BOAT")], "q string, t string")
+    got = row.select(evaluate.names(F.col("q")).alias("n"), evaluate.quoted(F.col("q")).alias("p"), evaluate.question_words(F.col("q")).alias("w"), evaluate.share_in(evaluate.quoted(F.col("q")), F.col("t")).alias("s")).first()
+    assert got.n == ["Anna"] and got.p == ["red boat"] and got.w == ["anna", "say", "red", "boat", "anna"] and got.s == 1.0
+    days = spark.createDataFrame([(f"2024-01-{k:02}",) for k in (10, 12, 14, 16, 17)], "d string").select(evaluate.closeness(F.to_date("d"), F.lit("2024-01-10").cast("date"), 2).alias("c")).collect()
+    assert [round(r.c, 6) for r in days] == [0.4, 0.4, 0.2, 0.0, 0.0]
+    ids = spark.createDataFrame([("D12:3", "sess_1_turn_4"), ("x", "sess_turn_9_turn_2"), ("D:1", "sess_3")], "e string, c string").select(evaluate.session_of_evidence(F.col("e")).alias("e"), evaluate.session_of_id(F.col("c")).alias("c")).collect()
+    assert [(r.e, r.c) for r in ids] == [("session_12", "sess_1"), (None, "sess_turn_9"), (None, "sess_3")]
+
+
+def test_sinks_and_gold(spark, tmp_path):
+    chunks = spark.createDataFrame([("c0", "a", 0, "one\ntwo "), ("c1", "a", 1, "three")], "id string, file_path string, idx int, text string")
+    topics = spark.createDataFrame([("c0", "sea", 0.456, 1), ("c0", "land", 0.3, 2)], "id string, topic string, score double, rank int")
+    words = spark.createDataFrame([("c0", "b", 2), ("c0", "a", 1)], "id string, token string, rank int")
+    rows = sinks.entries(topics, words, chunks)
+    assert [(r.line, r.first_of_file) for r in rows.orderBy("idx").collect()] == [("c0 | sea | 0.46 | supervised | a,b | one two", True), ("c1 | unclassified | 0.00 | fallback |  | three", False)]
+    assert {r.method: (r.n, r.share) for r in sinks.method_counts(rows).collect()} == {"supervised": (1, 50.0), "fallback": (1, 50.0)}
+    sinks.write_entries(rows, str(tmp_path / "out"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "out")).collect()][1:3] == ["# === Source: a ===", "c0 | sea | 0.46 | supervised | a,b | one two"]
+    packed = spark.createDataFrame([("c0", "chunk", 1, "x"), ("d", "document", 2, None)], "id string, kind string, rank int, excerpt string")
+    assert "".join(r.value for r in sinks.pack_markdown(packed, "why").orderBy("rank").collect()) == "# Pack\n\n**Query:** `why`\n\n## Nodes\n\n### chunk — `c0`\n\n```\nx\n```\n### document — `d`\n"
+    path = tmp_path / "gold.csv"
+    path.write_text('query_id,query_text,expected_node_ids,book_relpath\nq1,"what, now","a;b|c",x.md\nq2,,a,x.md\nq3,t,,x.md\n')
+    assert [tuple(r) for r in sinks.gold_queries(spark, str(path)).collect()] == [("x.md", "q1", "what, now", ["a", "b", "c"])]
