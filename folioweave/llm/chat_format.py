@@ -55,14 +55,16 @@ def format_chats(turns: DataFrame, budget: int = BUDGET) -> DataFrame:
     """
     clean = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     base = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), clean("role").alias("role"), clean("text").alias("text"))
+    # a key that is never null: joins by it need no further shuffle
+    base = base.withColumn("key", F.coalesce(F.col("conv_id").cast("string"), F.lit("-")))
     base = base.withColumn("tokens", tokens(F.col("text"))).withColumn("block", F.floor(F.coalesce("turn", F.lit(-1)) / BLOCK))
     order = [F.col("turn").asc_nulls_first(), "role", "text"]
 
-    heads = base.groupBy("conv_id", "block").agg(F.sum("tokens").alias("own"), F.count("*").alias("n"), F.min(F.struct("turn", "role", "text", "tokens")).alias("head"))
-    by_conv = Window.partitionBy("conv_id").orderBy("block")
+    heads = base.groupBy("key", "block").agg(F.sum("tokens").alias("own"), F.count("*").alias("n"), F.min(F.struct("turn", "role", "text", "tokens")).alias("head"))
+    by_conv = Window.partitionBy("key").orderBy("block")
     before = by_conv.rowsBetween(Window.unboundedPreceding, -1)
     heads = heads.select(
-        F.col("conv_id").alias("c"), F.col("block").alias("b"),
+        F.col("key").alias("c"), F.col("block").alias("b"),
         F.coalesce(F.sum("own").over(before), F.lit(0)).alias("sum0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"),
         F.first("head").over(by_conv).alias("head"),
     )
@@ -70,16 +72,19 @@ def format_chats(turns: DataFrame, budget: int = BUDGET) -> DataFrame:
     room = F.greatest(F.lit(LEAST_ROOM), F.lit(budget - HISTORY) - F.coalesce(F.col("system.tokens"), F.lit(0)))
     heads = heads.withColumn("half", (room / 2).cast("long"))
 
-    in_block = Window.partitionBy("conv_id", "block").orderBy(*order)
+    in_block = Window.partitionBy("key", "block").orderBy(*order)
     placed = base.withColumn("upto", F.sum("tokens").over(in_block.rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens")).withColumn("at", F.row_number().over(in_block))
-    placed = placed.join(heads, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b")))
+    placed = placed.join(heads, (F.col("key") == F.col("c")) & (F.col("block") == F.col("b")))
     span = 2 * F.floor((F.col("sum0") + F.col("upto")) / F.col("half")) + (F.col("tokens") > F.col("half")).cast("int")
     place = F.col("n0") + F.col("at")
     turn = F.struct(place.alias("place"), "role", "text", "tokens", ((place == 1) & F.col("system").isNotNull()).alias("lead"))
-    spans = placed.groupBy("conv_id", span.alias("span")).agg(F.sort_array(F.collect_list(turn)).alias("new"), F.first("system").alias("system"))
+    spans = placed.groupBy("key", span.alias("span")).agg(F.first("conv_id").alias("conv_id"), F.sort_array(F.collect_list(turn)).alias("new"), F.first("system").alias("system"))
 
-    by_span = Window.partitionBy("conv_id").orderBy("span")
-    spans = spans.withColumn("window", F.row_number().over(by_span)).withColumn("history", F.lag(_tail(F.col("new"))).over(by_span))
+    # the window over a conversation carries span numbers and what may be repeated, and not the turns
+    by_span = Window.partitionBy("key").orderBy("span")
+    tails = spans.select("key", "span", _tail(F.col("new")).alias("tail"))
+    tails = tails.select("key", "span", F.row_number().over(by_span).alias("window"), F.lag("tail").over(by_span).alias("history"))
+    spans = spans.join(tails, ["key", "span"])
     plain = lambda c, fresh: F.transform(c, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"), t["tokens"].alias("tokens"), F.lit(fresh).alias("fresh")))
     none = plain(F.slice("new", 1, 0), False)
     again = F.when(F.col("window") > 1, F.concat(F.coalesce(plain(F.filter(F.array("system"), lambda t: t.isNotNull()), False), none), F.coalesce(plain(F.col("history"), False), none))).otherwise(none)
