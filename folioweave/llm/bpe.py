@@ -15,8 +15,8 @@ import unicodedata
 import regex
 from tokenizers import Tokenizer
 
-#: Entries, of some 200 bytes, that a cache holds before it is emptied; results do not depend on it.
-CACHE_ENTRIES = 800_000
+#: Entries, of some 200 bytes, that a worker's caches hold; results do not depend on it.
+CACHE_ENTRIES = 1_200_000
 
 GPT_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
@@ -118,26 +118,33 @@ class WordIds(Encoder):
 
     def __init__(self, path: str):
         super().__init__(path)
+        # two generations each: what is met again while it is in the older one stays
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.old_chunks: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
         self.find = regex.compile(WORD_PIECES).findall
 
     def _word(self, word: str) -> bytes:
         got = self.words.get(word)
         if got is None:
-            ids = [t.id for t in self.merged(word)]
-            got = struct.pack(f"<{len(ids)}I", *ids)
-            if len(self.words) >= CACHE_ENTRIES // 2:
-                self.words.clear()
+            got = self.old_words.get(word)
+            if got is None:
+                ids = [t.id for t in self.merged(word)]
+                got = struct.pack(f"<{len(ids)}I", *ids)
+            if len(self.words) >= CACHE_ENTRIES // 6:
+                self.old_words, self.words = self.words, {}
             if len(word) < 64:
                 self.words[word] = got
         return got
 
     def _chunk(self, chunk: str) -> bytes:
-        low = chunk.lower() if chunk.isascii() else self.whole.normalizer.normalize_str(chunk)
-        got = self._word(low) if low.isascii() and low.isalpha() else b"".join(map(self._word, self.find(low)))
-        if len(self.chunks) >= CACHE_ENTRIES // 2:
-            self.chunks.clear()
+        got = self.old_chunks.get(chunk)
+        if got is None:
+            low = chunk.lower() if chunk.isascii() else self.whole.normalizer.normalize_str(chunk)
+            got = self._word(low) if low.isascii() and low.isalpha() else b"".join(map(self._word, self.find(low)))
+        if len(self.chunks) >= CACHE_ENTRIES // 3:
+            self.old_chunks, self.chunks = self.chunks, {}
         if len(chunk) < 64:
             self.chunks[chunk] = got
         return got
