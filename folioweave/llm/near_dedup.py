@@ -436,7 +436,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, crowd: int = CROWD)
 
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs``, all columns, with one row of each class of near-duplicates."""
+    """The rows of ``docs``, all columns, with one row of each class of near-duplicates; of repeats that differ in other columns, the first by these."""
     found = cut(classes(docs, similarity), "classes")
     drop = cut(found.where("NOT kept").select(F.col("doc_id").alias("drop_id"), F.col("th").alias("drop_th")).distinct(), "dropped")
     th = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
@@ -448,7 +448,9 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         return left
     sent = few(again)
     single = left.join(sent, is_in("again_id", "again_th"), "left_anti")
-    return single.unionByName(left.join(sent, is_in("again_id", "again_th"), "left_semi").dropDuplicates(["doc_id", "text"]))
+    whole = F.struct(*[F.col(c) for c in docs.columns])
+    first = left.join(sent, is_in("again_id", "again_th"), "left_semi").groupBy("doc_id", "text").agg(F.min_by(whole, F.to_json(whole)).alias("row"))
+    return single.unionByName(first.select("row.*"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

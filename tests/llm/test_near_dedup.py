@@ -104,6 +104,8 @@ def test_edges(docs_of):
     assert by[1] == by[2] == by[3] == 1 and by[4] == by[5] == 4 and by[6] == 6 and by[7] == by[8] == 7
     left = nd.one_of_each(docs_of(rows))
     assert sorted((r.doc_id for r in left.collect()), key=str) == [1, 4, 6, 7, 9, None]
+    twice = docs_of([(1, "a b c d e f"), (1, "a b c d e f"), (2, "x")]).withColumn("score", F.concat("score", F.monotonically_increasing_id() % 2))
+    assert nd.one_of_each(twice).count() == 2 and nd.one_of_each(twice).columns == twice.columns
     assert nd.classes(docs_of([])).collect() == [] and nd.one_of_each(docs_of([])).collect() == []
 
 
