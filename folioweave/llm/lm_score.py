@@ -31,7 +31,7 @@ FREQUENT, PAD = TOKENS // 2, TOKENS
 LISTED = 200_000
 HIDDEN, SIDE = 24, 2
 #: Words of a replica; examples of a step; step size; replicas that meet in a node of the tree; the first round takes one document in so many.
-REPLICA_WORDS, STEP, RATE, FAN_IN, FIRST = 4_000_000, 4096, 0.1, 8, 8
+REPLICA_WORDS, STEP, RATE, FAN_IN, FIRST = 4_000_000, 8192, 0.1, 8, 8
 #: Tokens that are scored at once; words that a worker's cache holds.
 CHUNK, WORD_CACHE = 32_768, 300_000
 SEED = 7
@@ -127,11 +127,16 @@ def from_bytes(raw: bytes) -> dict[str, np.ndarray]:
     return net
 
 
+_ONES = np.ones(max(CLASSES, PER_CLASS), np.float32)
+#: Logits count as this at most, either way, while training, far beyond what it makes them.
+HIGHEST = 60.0
+
+
 def _softmax(x: np.ndarray) -> np.ndarray:
     """Probabilities, in place."""
-    x -= x.max(axis=1, keepdims=True)
+    np.clip(x, -HIGHEST, HIGHEST, out=x)
     np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
+    x /= (x @ _ONES[: x.shape[1]])[:, None]
     return x
 
 
@@ -140,7 +145,7 @@ def _log_of(x: np.ndarray, at: np.ndarray) -> np.ndarray:
     x -= x.max(axis=1, keepdims=True)
     own = x[np.arange(len(x)), at]
     np.exp(x, out=x)
-    return own - np.log(x.sum(axis=1))
+    return own - np.log(x @ _ONES[: x.shape[1]])
 
 
 def _hidden(net: dict[str, np.ndarray], part: np.ndarray) -> np.ndarray:
@@ -305,7 +310,7 @@ def train(docs: DataFrame, words: Vocabulary, total: int) -> bytes:
                 yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([seen], pa.int64()), pa.array([(total / seen).astype("<f4").tobytes()], pa.binary())], names=["k", "n", "net"])
 
         own = dealt.where(F.col("first") if turn else ~F.col("first"))
-        ordered = own.repartition(replicas, "replica").sortWithinPartitions("replica", "order").select("replica", "tokens")
+        ordered = own.repartitionByRange(replicas, "replica").sortWithinPartitions("replica", "order").select("replica", "tokens")
         nets = cut(ordered.mapInArrow(released(replica), kind), "replicas")
         while nets.count() > FAN_IN:
             tree = nets.select(F.floor(F.col("k") / FAN_IN).cast("int").alias("node"), "k", "n", "net")
