@@ -9,17 +9,24 @@ handed to the library whole.
 from __future__ import annotations
 
 import functools
+import re
 import struct
+import sys
 import unicodedata
 
 import regex
 from tokenizers import Tokenizer
 
-#: Entries, of some 200 bytes, that a worker's caches hold; results do not depend on it.
-CACHE_ENTRIES = 1_200_000
+#: Entries, of some 200 bytes, that a cache of counts holds, and bytes that a cache of ids holds; results do not depend on them.
+CACHE_ENTRIES, CACHE_BYTES = 1_200_000, 48_000_000
+#: Bytes of an entry in a dict beside its key and value, growth included.
+SLOT = 64
 
 GPT_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+#: Letters and numbers of the first 256 characters in lower case, and the same pieces over these for the faster ``re``.
+NARROW_L, NARROW_N = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+NARROW_PIECES = rf"[{NARROW_L}]+|[{NARROW_N}]|'(?:s|t|re|ve|m|ll|d)|[^\s{NARROW_L}{NARROW_N}]+"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -53,12 +60,17 @@ def unsafe_bytes() -> tuple[bytes, ...]:
     return tuple(bytes([c]) for c in range(256) if chr(c) not in safe())
 
 
-def is_safe(text: str) -> bool:
+def narrow(text: str) -> bytes | None:
+    """A byte a character, if all are of the first 256."""
     try:
-        narrow = text.encode("latin-1")
+        return text.encode("latin-1")
     except UnicodeEncodeError:
-        return safe().issuperset(text)
-    return not any(b in narrow for b in unsafe_bytes())
+        return None
+
+
+def is_safe(text: str) -> bool:
+    got = narrow(text)
+    return safe().issuperset(text) if got is None else not any(b in got for b in unsafe_bytes())
 
 
 @functools.lru_cache(2)
@@ -118,35 +130,29 @@ class WordIds(Encoder):
 
     def __init__(self, path: str):
         super().__init__(path)
-        # two generations each: what is met again while it is in the older one stays
-        self.chunks: dict[str, bytes] = {}
+        # two generations: what is met again while it is in the older one stays
         self.words: dict[str, bytes] = {}
-        self.old_chunks: dict[str, bytes] = {}
-        self.old_words: dict[str, bytes] = {}
-        self.find = regex.compile(WORD_PIECES).findall
+        self.old: dict[str, bytes] = {}
+        self.held = 0  # bytes of the younger one
+        self.find, self.find_narrow = regex.compile(WORD_PIECES).findall, re.compile(NARROW_PIECES).findall
+
+    def _lower(self, text: str) -> str:
+        """A safe text as the library's normalizer gives it, blanks aside; only a sigma's lower case depends on what stands around it."""
+        text = unicodedata.normalize("NFC", text)
+        return self.whole.normalizer.normalize_str(text) if "\u03a3" in text else text.lower()
 
     def _word(self, word: str) -> bytes:
         got = self.words.get(word)
         if got is None:
-            got = self.old_words.get(word)
+            got = self.old.get(word)
             if got is None:
                 ids = [t.id for t in self.merged(word)]
                 got = struct.pack(f"<{len(ids)}I", *ids)
-            if len(self.words) >= CACHE_ENTRIES // 6:
-                self.old_words, self.words = self.words, {}
             if len(word) < 64:
+                if self.held >= CACHE_BYTES // 2:
+                    self.old, self.words, self.held = self.words, {}, 0
                 self.words[word] = got
-        return got
-
-    def _chunk(self, chunk: str) -> bytes:
-        got = self.old_chunks.get(chunk)
-        if got is None:
-            low = chunk.lower() if chunk.isascii() else self.whole.normalizer.normalize_str(chunk)
-            got = self._word(low) if low.isascii() and low.isalpha() else b"".join(map(self._word, self.find(low)))
-        if len(self.chunks) >= CACHE_ENTRIES // 3:
-            self.old_chunks, self.chunks = self.chunks, {}
-        if len(chunk) < 64:
-            self.chunks[chunk] = got
+                self.held += sys.getsizeof(word) + sys.getsizeof(got) + SLOT
         return got
 
     def encode(self, text: str) -> bytes:
@@ -155,9 +161,10 @@ class WordIds(Encoder):
         if not self.plain(text):
             ids = self.whole.encode(text, add_special_tokens=False).ids
             return struct.pack(f"<{len(ids)}I", *ids)
-        parts = text.split()
-        got = list(map(self.chunks.get, parts))
+        # the first 256 characters are composed already
+        words = self.find(self._lower(text)) if narrow(text) is None else self.find_narrow(text.lower())
+        got = list(map(self.words.get, words))
         if None in got:
-            chunk = self._chunk
-            got = [chunk(p) if g is None else g for p, g in zip(parts, got, strict=True)]
+            word = self._word
+            got = [word(w) if g is None else g for w, g in zip(words, got, strict=True)]
         return b"".join(got)

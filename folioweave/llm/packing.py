@@ -22,6 +22,8 @@ from .bpe import WordIds
 from .common import cut, kept, released, table, worker_path
 from .token_counts import tokenizer_path
 
+#: Rows of a batch that are Python objects at a time.
+SLICE = 256
 #: Bins with this share of the capacity are nearly full and go no further up.
 NEARLY_FULL = 0.995
 #: Partitions that meet in a node of the tree; pieces that a partition packs at once, and those of a node; saving of a round, of the bins it took, under which the rounds end.
@@ -108,7 +110,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = 2048, end_id:
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, seq, items = kept(f"words {path}", lambda: WordIds(path)), TaskContext.get().partitionId(), 0, []
-        for batch in batches:
+        for batch in (whole.slice(k, SLICE) for whole in batches for k in range(0, whole.num_rows, SLICE)):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 items += [(p[3], [p]) for p in pieces_of(doc_id, coder.encode(text or "") + end, capacity)]
                 if len(items) >= BLOCK:

@@ -1,4 +1,6 @@
+import gc
 import struct
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -8,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from folioweave.llm import packing
+from folioweave.llm import bpe, packing
 from folioweave.llm.bpe import PieceCounter, WordIds, is_safe
 from folioweave.llm.packing import best_fit, pack
 from folioweave.llm.token_counts import token_counts
@@ -53,6 +55,30 @@ def test_every_safe_character_as_the_library(library):
         assert coder.encode(text) == struct.pack(f"<{len(want)}I", *want), text
 
 
+def test_ids_of_ever_new_words_take_bounded_memory(library):
+    """Two workers share an executor with its heap; what a coder keeps doesn't grow with the words it meets."""
+    coder, letters = WordIds(WORD), "etaoinshrdlucmfw"
+    coder.encode("some words")
+    gc.collect()
+    tracemalloc.start()
+    try:
+        for k in range(0, 500_000, 5_000):
+            coder.encode(" ".join("".join(letters[n >> s & 15] for s in range(0, 20, 4)) + "." for n in range(k, k + 5_000)))
+        gc.collect()
+        assert tracemalloc.get_traced_memory()[0] < 60_000_000
+    finally:
+        tracemalloc.stop()
+
+
+def test_ids_with_hardly_a_cache(library, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 1_000, raising=False)
+    coder = WordIds(WORD)
+    for text in [t for t in HARD if t] + ["\u201cN\u00e9e\u201d I'LL \u03a3\u0391\u03a3 e\u0301 \xb5\xaa\xb2'S"]:
+        for _ in range(2):
+            want = ids(library[1], text)
+            assert coder.encode(text) == struct.pack(f"<{len(want)}I", *want), text
+
+
 def test_counts(docs_of, library):
     rows = [(k, t) for k, t in enumerate(HARD)] + [(3, HARD[3]), (None, "ab")]
     got = sorted(map(tuple, token_counts(docs_of(rows), limit=5).collect()), key=str)
