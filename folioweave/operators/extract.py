@@ -2,17 +2,83 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import heapq
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import text as T
 
 
+#: Keywords of a chunk that listed() keeps.
+LISTED = 4
+
+
+def listed(chunks: DataFrame, most: int = LISTED) -> DataFrame:
+    """``chunks`` (id, text, ...) with ``kw``, array<struct<token, n>>: the ``most`` frequent words of each but stop words; ties by the word.
+
+    A chunk's words are counted where it is, in Arrow batches, so no row moves; what has such a column keeps it.
+    """
+    if "kw" in chunks.columns and most <= LISTED:
+        return chunks
+    token, stop = T.TOKEN.replace("A-Z", "").encode(), frozenset(w.encode() for w in T.STOP_WORDS)
+    each = pa.list_(pa.struct([("token", pa.string()), ("n", pa.int64())]))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = re.compile(token)
+        for batch in batches:
+            ends, tokens, ns = [0], [], []
+            for text in batch.column("text"):
+                # tokens are ASCII: of bytes, lower() takes no other letters, and no other letter has bytes in common with them
+                n = Counter(words.findall((text.as_py() or "").encode().lower()))
+                for w in stop & n.keys():
+                    del n[w]
+                for w, k in heapq.nsmallest(most, n.items(), key=lambda x: (-x[1], x[0])):
+                    tokens.append(w.decode())
+                    ns.append(k)
+                ends.append(len(tokens))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(tokens, pa.string()), pa.array(ns, pa.int64())], ["token", "n"]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists.cast(each)], [*batch.schema.names, "kw"])
+
+    rows = chunks.drop("kw").withColumn("text", F.make_valid_utf8("text"))
+    return rows.mapInArrow(count, StructType([*rows.schema.fields, *StructType.fromDDL("kw array<struct<token string, n bigint>>").fields]))
+
+
 def keywords(chunks: DataFrame, most: int = 4) -> DataFrame:
     """(id, token, n, rank): the most frequent words of each chunk but stop words; ties by the word."""
-    each = chunks.select("id", F.explode(T.content_tokens(F.col("text"))).alias("token")).groupBy("id", "token").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("n"), "token"))
-    return each.withColumn("rank", rank).where(F.col("rank") <= most)
+    each = listed(chunks if "kw" in chunks.columns else chunks.select("id", "text"), most)
+    each = each.select("id", F.posexplode(F.slice("kw", 1, most)).alias("at", "k"))
+    return each.select("id", "k.token", "k.n", (F.col("at") + 1).alias("rank"))
+
+
+def topic_lists(chunks: DataFrame, catalog: dict[str, list[str]], threshold: float = 0.2, most: int = 3) -> DataFrame:
+    """``chunks`` with ``kw`` and ``topics``, array<struct<topic, score>>, as topics() has them."""
+    rows = listed(chunks)
+    once = lambda rows, **cols: rows.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in cols.items()]))))  # noqa: E731  # a generator of one row, before which all is worked out once
+    rows = once(rows, _low=F.lower("text"), _own=F.array_distinct(T.tokens(F.col("text"))))
+    each = []
+    for words in catalog.values():
+        single, several = [w for w in set(words) if " " not in w], [w for w in set(words) if " " in w]
+        hits = F.size(F.array_intersect("_own", F.array(*map(F.lit, sorted(single))))) if single else F.lit(0)
+        for w in sorted(several):
+            hits = hits + F.when(F.contains("_low", F.lit(w)), 1).otherwise(0)
+        each.append(hits)
+    rows = once(rows, _n=F.size("_own"), **{f"_{k}": x for k, x in enumerate(each)})
+    scored = []
+    for place, (name, words) in enumerate(catalog.items()):
+        part = 0.75 * F.col(f"_{place}") / len(set(words)) + 0.25 * F.col(f"_{place}") / F.greatest(F.lit(1), F.least(F.lit(12), F.col("_n")))
+        scored.append(F.struct(F.least(F.lit(1.0), part).alias("score"), F.lit(place).alias("place"), F.lit(name).alias("topic")))
+    found = F.transform(F.filter(F.array(*scored), lambda t: t["score"] >= threshold), lambda t: F.struct((-F.round(t["score"], 4)).alias("less"), t["place"].alias("place"), t["topic"].alias("topic")))
+    rows = once(rows, _found=F.array_sort(found)).select(*chunks.columns, *[c for c in ("kw",) if c not in chunks.columns], "_found")
+    matched = F.transform(F.slice("_found", 1, most), lambda t: F.struct(t["topic"].alias("topic"), (-t["less"]).alias("score")))
+    pair = F.concat(F.lit("topic:"), F.array_join(F.transform(F.slice("kw", 1, 2), lambda k: k["token"]), "_"))
+    fallback = F.when(F.size("kw") > 0, F.array(F.struct(pair.alias("topic"), F.lit(0.2).alias("score")))).otherwise(F.array().cast("array<struct<topic:string,score:double>>"))
+    return rows.withColumn("topics", F.when(F.size("_found") > 0, matched).otherwise(fallback)).drop("_found")
 
 
 def topics(chunks: DataFrame, catalog: dict[str, list[str]], threshold: float = 0.2, most: int = 3) -> DataFrame:
@@ -21,22 +87,9 @@ def topics(chunks: DataFrame, catalog: dict[str, list[str]], threshold: float =
     A one-word keyword matches a token, a longer one a part of the text.  The catalog is a constant of the
     plan: it is a few hundred words.
     """
-    own = T.tokens(F.col("text"))
-    base = chunks.select("id", F.lower("text").alias("low"), F.array_distinct(own).alias("own"))
-    scored = []
-    for place, (name, words) in enumerate(catalog.items()):
-        words = sorted(set(words))
-        single, several = [w for w in words if " " not in w], [w for w in words if " " in w]
-        hits = F.size(F.array_intersect("own", F.array(*map(F.lit, single)))) if single else F.lit(0)
-        for w in several:
-            hits = hits + F.when(F.contains("low", F.lit(w)), 1).otherwise(0)
-        part = 0.75 * hits / len(words) + 0.25 * hits / F.greatest(F.lit(1), F.least(F.lit(12), F.size("own")))
-        scored.append(F.struct(F.least(F.lit(1.0), part).alias("score"), F.lit(place).alias("place"), F.lit(name).alias("topic")))
-    found = base.select("id", F.filter(F.array(*scored), lambda t: t["score"] >= threshold).alias("t"))
-    matched = found.select("id", F.explode("t").alias("t")).select("id", "t.topic", F.round("t.score", 4).alias("score"), F.row_number().over(Window.partitionBy("id").orderBy(F.desc(F.round("t.score", 4)), "t.place")).alias("rank"))
-    pairs = keywords(chunks, 2).groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "token"))), lambda r: r["token"]), "_").alias("pair"))
-    fallback = pairs.join(found.where(F.size("t") > 0), "id", "left_anti").select("id", F.concat(F.lit("topic:"), "pair").alias("topic"), F.lit(0.2).alias("score"), F.lit(1).alias("rank"))
-    return matched.where(F.col("rank") <= most).unionByName(fallback)
+    own = chunks.select("id", "text", *[c for c in ("kw",) if c in chunks.columns])
+    each = topic_lists(own, catalog, threshold, most).select("id", F.posexplode("topics").alias("at", "t"))
+    return each.select("id", "t.topic", "t.score", (F.col("at") + 1).alias("rank"))
 
 
 ENTITY_STOP = "with into from the but for and to or on of it is in if by at as an a".split()
@@ -67,8 +120,14 @@ def entities(text: Column, most: int = 8) -> Column:
 
 def cooccurrence(members: DataFrame) -> DataFrame:
     """CO_OCCURS_WITH edges, both ways, between the (id, target) pairs that share an id; a chunk has few targets."""
-    sets = members.groupBy("id").agg(F.sort_array(F.collect_set("target")).alias("t"))
+    return cooccurring(members.groupBy("id").agg(F.collect_set("target").alias("t")).select("t"))
+
+
+def cooccurring(sets: DataFrame) -> DataFrame:
+    """CO_OCCURS_WITH edges, both ways, between the elements of each array ``t``, none of which is in it twice."""
+    sets = sets.select(F.inline(F.array(F.struct(F.sort_array("t").alias("t")))))
     pairs = F.flatten(F.transform("t", lambda a, i: F.transform(F.slice("t", i + 2, F.greatest(F.lit(0), F.size("t") - i - 1)), lambda b: F.struct(a.alias("src"), b.alias("dst")))))
+    # src is below dst here, so that the other way has no edge of these
     one = sets.select(F.explode(pairs).alias("p")).select("p.src", "p.dst").distinct()
     both = one.union(one.select("dst", "src"))
-    return both.select("src", F.lit("CO_OCCURS_WITH").alias("rel"), "dst").distinct()
+    return both.select("src", F.lit("CO_OCCURS_WITH").alias("rel"), "dst")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ VERSE = "^(\\d+):(\\d+)\\s"
 BLANKS = " \t\n\r\x0b\x0c"
 #: Elements that prefix sums take together.
 STRIDE = 256
+#: Characters of groups that a worker gathers before it hands them over.
+FLUSH = 4 << 20
 
 
 def sentences(text: Column) -> Column:
@@ -34,27 +38,59 @@ def prefix_sums(lengths: Column) -> Column:
     return F.transform(lengths, lambda _, i: F.get(before, F.floor(i / STRIDE).cast("int")) + add(F.slice(lengths, F.floor(i / STRIDE).cast("int") * STRIDE + 1, i % STRIDE)))
 
 
-def sentence_spans(text: Column) -> Column:
-    """array<struct<start, end>>: where each of sentences() stands in the text, in characters from 0."""
-    bare = lambda parts: F.filter(parts, lambda s: F.btrim(s, F.lit(BLANKS)) != "")
-    first, blank = F.split(text, "(?<=[.!?])(?=\\s+[A-Z\"'(\\[])"), F.split(text, "(?=\\n\\s*\\n)")
-    parts = F.when(F.size(bare(first)) > 1, first).otherwise(blank)
-    spans = lambda p: F.zip_with(p, prefix_sums(F.transform(p, lambda s: F.length(s))), lambda s, b: F.struct((b + F.length(s) - F.length(F.ltrim(s, F.lit(BLANKS)))).alias("start"), (b + F.length(F.rtrim(s, F.lit(BLANKS)))).alias("end")))
-    return F.filter(F.element_at(F.transform(F.array(parts), spans), 1), lambda s: s["end"] > s["start"])
-
-
 def sentence_groups(corpus: DataFrame, size: int = 4, least: int = 50) -> DataFrame:
     """(file_path, idx, text, char_start, char_end): groups of ``size`` sentences, numbered from 0 in each file.
 
     A group's text is the part of the source that it spans; dropped are those that are shorter than ``least``
-    with single spaces between their sentences.
+    with single spaces between their sentences.  Each text is gone through once in Arrow batches, so the time goes with
+    its length; what is gathered leaves the worker from FLUSH characters on.
     """
-    cut = corpus.select("file_path", "text", sentence_spans(F.col("text")).alias("s")).where(F.size("s") > 0)
-    groups = F.transform(F.sequence(F.lit(0), F.size("s") - 1, F.lit(size)), lambda i: F.slice("s", i + 1, size))
-    joined = lambda g: F.aggregate(g, F.lit(0), lambda a, x: a + x["end"] - x["start"]) + F.size(g) - 1
-    kept = F.transform(F.filter(groups, lambda g: joined(g) >= least), lambda g: F.struct(F.element_at(g, 1)["start"].alias("s"), F.element_at(g, -1)["end"].alias("e")))
-    each = cut.select("file_path", "text", F.posexplode(kept).alias("idx", "g"))
-    return each.select("file_path", "idx", F.substring("text", F.col("g.s") + 1, F.col("g.e") - F.col("g.s")).alias("text"), F.col("g.s").alias("char_start"), F.col("g.e").alias("char_end"))
+    blanks, flush = BLANKS, FLUSH
+    columns = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32()]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # white space as in Java, which is what BLANKS has; the next sentence begins at the end of a match
+        end, gap, word = (re.compile(x, re.ASCII) for x in ("[.!?]\\s+(?=[A-Z\"'(\\[])", "\\n\\s*\\n", "\\S"))
+        out, held = [[] for _ in columns], 0
+
+        def batch() -> pa.RecordBatch:
+            found = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, columns, strict=True)], ["file_path", "idx", "text", "char_start", "char_end"])
+            for c in out:
+                c.clear()
+            return found
+
+        for rows in batches:
+            for path, text in zip(rows.column("file_path"), rows.column("text"), strict=True):
+                path, text = path.as_py(), text.as_py() or ""
+                last = len(text.rstrip(blanks))
+                if not last:
+                    continue
+                first = len(text) - len(text.lstrip(blanks))
+                starts, ends = [first], []
+                for m in end.finditer(text):
+                    ends.append(m.start() + 1)
+                    starts.append(m.end())
+                if not ends:
+                    for m in gap.finditer(text, first, last):
+                        ends.append(starts[-1] + len(text[starts[-1] : m.start()].rstrip(blanks)))
+                        starts.append(word.search(text, m.end()).start())
+                ends.append(last)
+                idx = 0
+                for k in range(0, len(starts), size):
+                    s, e = starts[k : k + size], ends[k : k + size]
+                    if sum(e) - sum(s) + len(s) - 1 >= least:
+                        for c, x in zip(out, (path, idx, text[s[0] : e[-1]], s[0], e[-1]), strict=True):
+                            c.append(x)
+                        idx += 1
+                        held += e[-1] - s[0]
+                if held >= flush:
+                    yield batch()
+                    held = 0
+        if out[0]:
+            yield batch()
+
+    texts = corpus.select("file_path", F.make_valid_utf8("text").alias("text"))
+    return texts.mapInArrow(cut, "file_path string, idx int, text string, char_start int, char_end int")
 
 
 def fixed_size_groups(corpus: DataFrame, size: int = 512, overlap: int = 64, least: int = 50) -> DataFrame:

@@ -21,10 +21,14 @@ def entries(topics: DataFrame, keywords: DataFrame, chunks: DataFrame) -> DataFr
     first = topics.where("rank = 1").select("id", "topic", "score")
     words = keywords.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "token"))), lambda x: x["token"]).alias("words"))
     rows = chunks.select("id", "file_path", "idx", "text").join(first, "id", "left").join(words, "id", "left")
+    return lines(rows, F.lag("file_path").over(Window.partitionBy("file_path").orderBy("idx")).isNull())
+
+
+def lines(rows: DataFrame, first_of_file: Column) -> DataFrame:
+    """entries() of chunks that have their first topic, its score and their words with them."""
     method = F.when(F.col("topic").startswith("topic:") | F.col("topic").isNull(), "fallback").otherwise("supervised")
-    before = F.lag("file_path").over(Window.partitionBy("file_path").orderBy("idx"))
     line = entry_line(F.col("id"), F.col("topic"), F.coalesce("score", F.lit(0.0)), F.col("method"), F.col("words"), F.col("text"))
-    return rows.withColumn("method", method).select("file_path", "idx", "method", before.isNull().alias("first_of_file"), line.alias("line"))
+    return rows.withColumn("method", method).select("file_path", "idx", "method", first_of_file.alias("first_of_file"), line.alias("line"))
 
 
 def method_counts(rows: DataFrame) -> DataFrame:

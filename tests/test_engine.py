@@ -439,3 +439,34 @@ def test_sinks_and_gold(spark, tmp_path):
     path = tmp_path / "gold.csv"
     path.write_text('query_id,query_text,expected_node_ids,book_relpath\nq1,"what, now","a;b|c",x.md\nq2,,a,x.md\nq3,t,,x.md\n')
     assert [tuple(r) for r in sinks.gold_queries(spark, str(path)).collect()] == [("x.md", "q1", "what, now", ["a", "b", "c"])]
+
+
+def test_texts_are_cut_once(spark):
+    """Nodes and edges come of one pass over the texts, and no edge of a chunk is moved to be found."""
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    rows = files(spark, [(f"f{k}", " ".join(f"Some words of file {k} and sentence {n} stand here_and here-and there." for n in range(9))) for k in range(6)])
+    nodes, edges = graph.build(rows.mapInArrow(seen, rows.schema), {"stand": ["stand", "words"]})
+    n = read.value
+    assert n == 6 and nodes.where("kind = 'chunk'").count() == 18 and edges.where("rel = 'HAS_KEYWORD'").count() == 54 and edges.where("rel = 'HAS_TOPIC'").count() == 18
+    assert read.value == n
+    chunks = graph.chunk_nodes(rows)
+    for df in (extract.keywords(chunks), graph.keyword_edges(chunks), extract.topics(chunks, {"stand": ["stand"]}), lexical.postings(chunks), edges):
+        assert "Exchange" not in df._jdf.queryExecution().toString()
+
+
+def test_groups_as_sentences(spark):
+    """Groups of one sentence are the sentences, of texts with odd white space, empty lines and none."""
+    texts = ["", "  ", "one", "A. B", " A.\x0b B!\x0c(c) d. ", "a\n \n\n b \n\t\nc", "a \n \n", "\n\na\n\nb.", "A.\u00a0B. C", "x?\r\n\r\nY \U0001f600. \"Z\" \n\n w", None]
+    rows = files(spark, [(f"{k:02d}", t) for k, t in enumerate(texts)])
+    want = {r.file_path: r.s for r in rows.select("file_path", segment.sentences(F.coalesce("text", F.lit(""))).alias("s")).collect()}
+    got = {k: [] for k in want}
+    for r in segment.sentence_groups(rows, 1, 0).orderBy("file_path", "idx").collect():
+        got[r.file_path].append(r.text)
+        assert r.text == texts[int(r.file_path)][r.char_start : r.char_end]
+    assert got == want
