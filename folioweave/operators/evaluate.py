@@ -19,7 +19,7 @@ def question_words(text: Column, stop: tuple[str, ...] = NO_CONTENT) -> Column:
 def quoted(text: Column) -> Column:
     """What stands in single, then in double quotes, 3 to 60 characters."""
     each = lambda q: F.regexp_extract_all(text, F.lit(f"{q}([^{q}]{{3,60}}){q}"), F.lit(1))
-    return F.filter(F.transform(F.concat(each("'"), each('"')), F.trim), lambda p: F.length(p) >= 3)
+    return F.filter(F.transform(F.concat(each("'"), each('"')), lambda p: F.trim(p)), lambda p: F.length(p) >= 3)
 
 
 def names(text: Column, stop: tuple[str, ...] = NO_NAMES) -> Column:

@@ -111,7 +111,7 @@ VALUES = (
 def entities(text: Column, most: int = 8) -> Column:
     """array<string>: capitalised names, acronyms and mixed-case words by their place, then percentages, amounts, colours and roles; the first spelling of each."""
     found = F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in (NAMES, *VALUES)])
-    named = F.filter(F.transform(found, F.trim), lambda e: ~F.lower(e).isin(ENTITY_STOP) & (F.length(e) >= 2))
+    named = F.filter(F.transform(found, lambda e: F.trim(e)), lambda e: ~F.lower(e).isin(ENTITY_STOP) & (F.length(e) >= 2))
     pairs = F.transform(named, lambda e: F.struct(F.lower(e).alias("low"), e.alias("e")))
     start = F.struct(F.array().cast("array<string>").alias("lows"), F.array().cast("array<string>").alias("es"))
     step = lambda a, p: F.when(F.array_contains(a["lows"], p["low"]) | (F.size(a["es"]) >= most), a).otherwise(F.struct(F.array_append(a["lows"], p["low"]).alias("lows"), F.array_append(a["es"], p["e"]).alias("es")))

@@ -58,6 +58,6 @@ def gold_queries(spark: SparkSession, path: str) -> DataFrame:
     """(book, qid, query, expected) of a CSV with query_id, query_text, expected_node_ids and book_relpath; ids are split at commas, semicolons, pipes and line ends, and incomplete rows go."""
     raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
     clean = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
-    ids = F.filter(F.transform(F.split(clean("expected_node_ids"), "[,;|\\n]"), F.trim), lambda x: x != "")
+    ids = F.filter(F.transform(F.split(clean("expected_node_ids"), "[,;|\\n]"), lambda x: F.trim(x)), lambda x: x != "")
     rows = raw.select(clean("book_relpath").alias("book"), clean("query_id").alias("qid"), clean("query_text").alias("query"), ids.alias("expected"))
     return rows.where((F.col("book") != "") & (F.col("query") != "") & (F.size("expected") > 0))

@@ -470,3 +470,13 @@ def test_groups_as_sentences(spark):
         got[r.file_path].append(r.text)
         assert r.text == texts[int(r.file_path)][r.char_start : r.char_end]
     assert got == want
+
+
+def test_trimmed_are_blanks_alone(spark, tmp_path):
+    """trim() takes the characters to trim second, and a function of two parameters is given the place in the list."""
+    text = "The KA0. Here WB1 and XC2 or YD33 'a 4' '1 b 1' \"quotes 2\""
+    row = spark.createDataFrame([(text,)], "text string").select(extract.entities(F.col("text")).alias("e"), evaluate.quoted(F.col("text")).alias("q")).first()
+    assert row.e == ["KA0", "Here", "WB1", "XC2", "YD33"]
+    assert row.q == ["a 4", "1 b 1", "quotes 2"]
+    (tmp_path / "gold.csv").write_text('query_id,query_text,expected_node_ids,book_relpath\nq1,what,"n0, n1;0n2",b\n')
+    assert sinks.gold_queries(spark, str(tmp_path / "gold.csv")).first().expected == ["n0", "n1", "0n2"]
