@@ -491,3 +491,25 @@ def test_boosts_whatever_is_reached(spark):
     got = retrieve.query(nodes, edges, seeds, 1, 3).orderBy("rank").collect()
     assert [(r.id, r.boost) for r in got] == [("s", 4.0), ("n30", 3.1), ("n31", 3.1)]
     assert [r.id for r in retrieve.pack(nodes, edges, seeds, 1, 3).orderBy("rank").collect()] == ["s", "n30", "n31"]
+
+
+def test_neighbours_move_no_blocks(spark, monkeypatch):
+    """In many small blocks as in one, with equal vectors and ties; what a pair of blocks hands over is the k best of one, whatever the number of pairs."""
+    import numpy as np
+
+    some = np.random.default_rng(3).normal(size=(90, 6)).astype("float32")
+    some /= np.linalg.norm(some, axis=1)[:, None]
+    some[20:60] = some[0]  # a group of copies
+    rows = [(f"{(k * 37) % 90:03d}", [float(x) for x in v]) for k, v in enumerate(some)]
+    v = spark.createDataFrame(rows, "id string, vector array<float>")
+    sims = np.round(np.array([r[1] for r in rows]) @ np.array([r[1] for r in rows]).T, 6)
+    want = {a: [rows[j][0] for j in sorted((j for j in range(90) if j != i), key=lambda j: (-sims[i, j], rows[j][0]))[:3]] for i, (a, _) in enumerate(rows)}
+    monkeypatch.setattr(vector, "BLOCK", 7)
+    found = vector.neighbours_in_blocks(v, 3)
+    got = {}
+    for r in found.orderBy("a", "r").collect():
+        got.setdefault(r.a, []).append(r.b)
+    assert got == want
+    assert vector.neighbours_in_blocks(v, 0, 0.5).count() == int((sims >= 0.5).sum()) - 90
+    plan = found._jdf.queryExecution().toString()
+    assert "CartesianProduct" in plan and "FlatMapGroupsInArrow" not in plan
