@@ -22,7 +22,9 @@ def _accents() -> tuple[str, str]:
 def folded(text: Column) -> Column:
     """Lower case without the marks of Latin letters, composed or combining."""
     marked, bare = _accents()
-    return F.regexp_replace(F.translate(F.lower(text), marked, bare), "[\\u0300-\\u036f]", "")
+    whole = F.regexp_replace(F.translate(F.lower(text), marked, bare), "[\\u0300-\\u036f]", "")
+    # as many bytes as characters: ASCII, which has no marks
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(whole)
 
 
 def slug(name: Column) -> Column:
